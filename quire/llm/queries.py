@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dac, packing, secrets, sharding, simhash
+from quire.llm import dac, decontaminate, packing, secrets, sharding, simhash
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op7(documents(spark, sf_dir))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op8(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,7 +38,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_output, op3_simhash, op7_sharding, op9_packing, op10_secrets)
+    own = (op1_token_output, op3_simhash, op7_sharding, op8_decontaminate, op9_packing, op10_secrets)
     return {f.__name__: f for f in own}
 
 
