@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dac, decontaminate, packing, secrets, sharding, simhash
+from quire.llm import dac, decontaminate, packing, quality, secrets, sharding, simhash
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.op1(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_output, op3_simhash, op7_sharding, op8_decontaminate, op9_packing, op10_secrets)
+    own = (op1_token_output, op2_quality, op3_simhash, op7_sharding, op8_decontaminate, op9_packing, op10_secrets)
     return {f.__name__: f for f in own}
 
 
