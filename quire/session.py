@@ -59,3 +59,10 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def free(self) -> None:
+        """Let go of the shuffle files of finished steps, which else stay until the driver collects its garbage."""
+        import gc
+
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
