@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def search(docs: list[list[bytes]], w: Windows) -> list[tuple[list[tuple[int, in
     for d, words in enumerate(docs):
         if len(words) < w.least:
             continue
-        ids = np.fromiter((get(x, 1) for x in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(1)), np.int64, len(words))
         known = np.concatenate([[False], ids > 1, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -80,13 +81,15 @@ def search(docs: list[list[bytes]], w: Windows) -> list[tuple[list[tuple[int, in
     begin, spans = np.asarray(starts), {}
     for n, patterns in w.patterns.items():
         lo, hi = index.count(patterns)
-        for p in np.flatnonzero(hi > lo).tolist():
-            pos = index.locate(np.arange(lo[p], hi[p]))
-            k = np.searchsorted(begin, pos, "right") - 1
-            for seg, x in zip(k.tolist(), (pos - begin[k]).tolist(), strict=True):
-                d, a = doc_of[seg], word_of[seg] + x
-                spans.setdefault(d, []).append((a, a + n))
-                out[d][1].update(w.owners[n][p])
+        # All rows of all windows are located at once: row r is the (r - begins)-th of its window.
+        each = hi - lo
+        of = np.repeat(np.arange(len(each)), each)
+        pos = index.locate(np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + lo[of])
+        k = np.searchsorted(begin, pos, "right") - 1
+        for p, seg, x in zip(of.tolist(), k.tolist(), (pos - begin[k]).tolist(), strict=True):
+            d, a = doc_of[seg], word_of[seg] + x
+            spans.setdefault(d, []).append((a, a + n))
+            out[d][1].update(w.owners[n][p])
     for d, s in spans.items():
         out[d] = (merged(s), out[d][1])
     return out
