@@ -25,7 +25,6 @@ texts have no words. Hashes are of 128 bits (anchor and words).
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +41,20 @@ _WORDS = 1 << 20
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so powers have inverses mod 2^64
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for x in (base, inverse):
-        p = np.full(n, x, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _sized(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(12, (n + 1).bit_length()))
+    """Powers of base and of its inverse mod 2^64, n of them or more; kept by the worker."""
+    have = _tables.get(base)
+    if have is None or len(have[0]) < n:
+        size, out = 1 << max(16, n.bit_length()), []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=np.uint64))
+        have = _tables[base] = (out[0], out[1])
+    return have
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,6 +127,14 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _lists(column: pa.Array, *fields: str):
+    """Of an array of structs: for each row a tuple of its fields as numpy arrays, empty where it is null."""
+    values, ends = column.values, column.offsets.to_numpy()
+    flat = [values.field(f).to_numpy() for f in fields]
+    for a, b, known in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist(), strict=True):
+        yield tuple(x[a:b] if known else x[:0] for x in flat)
+
+
 def _index(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("a", pa.int64()), ("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
 
@@ -153,14 +161,17 @@ def _windows(docs: DataFrame) -> DataFrame:
 
     def run(it):
         for b in it:
-            held = []
-            for d, t, x, checks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            held, rows = [], 0
+            for d, t, x, (first, count, anchor) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), _lists(b.column(3), "s", "n", "a"), strict=True):
                 h = word_hashes(x.as_py().encode("utf-8", "surrogatepass"))
-                for c in checks:
-                    w = runs(_sums(h[c["s"] : c["s"] + c["n"] + WINDOW - 1]), WINDOW)
-                    held.append((np.full(c["n"], d), np.full(c["n"], t), np.full(c["n"], c["a"]), w, np.arange(c["s"], c["s"] + c["n"])))
-            for i in range(0, len(held), 4096):
-                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(c)) for c in zip(*held[i : i + 4096], strict=True)], schema=schema)
+                for s, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
+                    held.append((np.full(n, d), np.full(n, t), np.full(n, a), runs(_sums(h[s : s + n + WINDOW - 1]), WINDOW), np.arange(s, s + n)))
+                    rows += n
+                if rows > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([_i64(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+                    held, rows = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, t long, a long, w long, s long")
 
@@ -208,12 +219,12 @@ def op6(docs: DataFrame) -> DataFrame:
     def run(it):
         def rows():
             for b in it:
-                for d, x, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                for d, x, (first, count) in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2), "s", "n"), strict=True):
                     w, n = (x.as_py() or "").encode("utf-8", "surrogatepass").split(), 0
                     kept = w
-                    if found:
+                    if len(first):
                         kept, at = [], 0
-                        for a, e in factors([(f["s"], f["n"]) for f in found]):
+                        for a, e in factors(list(zip(first.tolist(), count.tolist(), strict=True))):
                             kept += w[at:a]
                             n, at = n + e - a, e
                         kept += w[at:]
