@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dac, decontaminate, language, packing, quality, secrets, sharding, simhash, substrings
+from quire.llm import dac, decontaminate, language, packing, pii, quality, secrets, sharding, simhash, substrings
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4(documents(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op5(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_output, op2_quality, op3_simhash, op5_language, op6_substrings, op7_sharding, op8_decontaminate, op9_packing, op10_secrets)
+    own = (op1_token_output, op2_quality, op3_simhash, op4_pii, op5_language, op6_substrings, op7_sharding, op8_decontaminate, op9_packing, op10_secrets)
     return {f.__name__: f for f in own}
 
 
