@@ -186,3 +186,43 @@ def contaminated():
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated (the contract's rule).
+
+    Spans are found and judged where the text is; with a benchmark of several blocks
+    hits by block are not enough, so a document's hit words are counted over all of them.
+    """
+    blocks = [Windows(b, window) for b in _blocks(benchmark, BLOCK_CHARS)]
+    sent = docs.sparkSession.sparkContext.broadcast(blocks) if len(blocks) == 1 else None
+    if sent is None:
+        own = docs.select("*", F.monotonically_increasing_id().alias("_row"))
+        kept = Scratch(docs.sparkSession, "decontaminate").write(own, "docs")
+        bad = _hits(kept.select(F.col("_row").alias("row"), "doc_id", "text"), blocks).where(contaminated()).select(F.col("row").alias("_row"))
+        return kept.join(bad, "_row", "left_anti").select(*docs.columns)
+    i = docs.columns.index("text")
+
+    def run(it):
+        w = sent.value[0]
+        for b in it:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                words = [split(t.as_py()) for t in part.column(i)]
+                hits = [sum(e - a for a, e in spans) for spans, _ in search(words, w)]
+                yield part.filter(pa.array([not (n > 0 and 20 * n >= len(x)) for n, x in zip(hits, words, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _hits(docs: DataFrame, blocks: list[Windows]) -> DataFrame:
+    """row, n_words, n_hit over all blocks, of docs (row, doc_id, text)."""
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    every = None
+    for k, w in enumerate(blocks):
+        f = scratch.write(_search_block(docs, w).where("size(spans) > 0").select("row", "n_words", "spans"), f"hits{k}")
+        every = f if every is None else every.unionByName(f)
+    all_ = every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+    all_ = all_.withColumn("spans", _merged(F.array_sort("spans")))
+    return all_.select("row", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_hit"))

@@ -198,7 +198,7 @@ def spans(docs: DataFrame) -> DataFrame:
     shared = index.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
     known = scratch.write(index.join(shared, "a"), "known")
     scratch.free()
-    firsts = scratch.write(known.groupBy("a", "c").agg(F.min("doc_id").alias("first")), "firsts")
+    firsts = known.groupBy("a", "c").agg(F.min("doc_id").alias("first"))
     several = firsts.groupBy("a").agg(F.count("*").alias("phrases"))
     judged = scratch.write(known.join(firsts.join(several, "a"), ["a", "c"]).select("doc_id", "t", "a", "s", "n", (F.col("first") < F.col("doc_id")).alias("old"), (F.col("phrases") > 1).alias("open")), "judged")
     checks = judged.where("not old and open").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n", "a")).alias("checks"))
@@ -207,8 +207,7 @@ def spans(docs: DataFrame) -> DataFrame:
     first = windows.groupBy("a", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "w", "first")
     single = windows.join(first, ["a", "w"]).where("first < doc_id").select("doc_id", "t", "s", F.lit(1).cast("long").alias("n"))
     found = judged.where("old").select("doc_id", "t", "s", "n").unionByName(single)
-    found = scratch.write(found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("found")), "found")
-    scratch.free()
+    found = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("found"))
     return docs.join(found, ["doc_id", "t"], "left").select("doc_id", "text", "found")
 
 
