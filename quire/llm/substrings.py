@@ -207,7 +207,8 @@ def spans(docs: DataFrame) -> DataFrame:
     first = windows.groupBy("a", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "w", "first")
     single = windows.join(first, ["a", "w"]).where("first < doc_id").select("doc_id", "t", "s", F.lit(1).cast("long").alias("n"))
     found = judged.where("old").select("doc_id", "t", "s", "n").unionByName(single)
-    found = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("found"))
+    found = scratch.write(found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("found")), "found")
+    scratch.free()
     return docs.join(found, ["doc_id", "t"], "left").select("doc_id", "text", "found")
 
 
