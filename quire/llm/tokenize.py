@@ -141,7 +141,10 @@ _BYTES = _byte_letters()
 
 
 def _letters(word: str) -> str:
-    return word.encode("utf-8").decode("latin-1").translate(_BYTES) if not word.isascii() or " " in word else word
+    """A word of letters, with a blank before it or not, as the model spells it."""
+    if word.isascii():
+        return _BYTES[32] + word[1:] if word[0] == " " else word
+    return word.encode("utf-8").decode("latin-1").translate(_BYTES)
 
 
 def _latin(text: str) -> bool:
