@@ -194,17 +194,19 @@ def spans(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
     index = scratch.write(_index(docs), "phrases")
-    # Anchors of two documents or more; of them, each phrase's first document, and how many phrases an anchor has.
-    shared = index.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
+    # What is aggregated is written before it is joined: then a join's hot keys can be split, as nothing asks for them whole.
+    # Anchors of two documents or more; of them, each phrase's first document, and whether an anchor has several phrases.
+    shared = scratch.write(index.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a"), "shared")
     known = scratch.write(index.join(shared, "a"), "known")
     scratch.free()
-    firsts = known.groupBy("a", "c").agg(F.min("doc_id").alias("first"))
-    several = firsts.groupBy("a").agg(F.count("*").alias("phrases"))
-    judged = scratch.write(known.join(firsts.join(several, "a"), ["a", "c"]).select("doc_id", "t", "a", "s", "n", (F.col("first") < F.col("doc_id")).alias("old"), (F.col("phrases") > 1).alias("open")), "judged")
+    firsts = scratch.write(known.groupBy("a", "c").agg(F.min("doc_id").alias("first")), "firsts")
+    several = scratch.write(firsts.groupBy("a").agg(F.count("*").alias("phrases")).where("phrases > 1").select("a", F.lit(True).alias("open")), "several")
+    firsts = scratch.write(firsts.join(several, "a", "left"), "contexts")
+    judged = scratch.write(known.join(firsts, ["a", "c"]).select("doc_id", "t", "a", "s", "n", (F.col("first") < F.col("doc_id")).alias("old"), F.coalesce("open", F.lit(False)).alias("open")), "judged")
     checks = judged.where("not old and open").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n", "a")).alias("checks"))
     windows = scratch.write(_windows(docs.where("text is not null").join(checks, ["doc_id", "t"]).select("doc_id", "t", "text", "checks")), "windows")
     scratch.free()
-    first = windows.groupBy("a", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "w", "first")
+    first = scratch.write(windows.groupBy("a", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "w", "first"), "first")
     single = windows.join(first, ["a", "w"]).where("first < doc_id").select("doc_id", "t", "s", F.lit(1).cast("long").alias("n"))
     found = judged.where("old").select("doc_id", "t", "s", "n").unionByName(single)
     found = scratch.write(found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("found")), "found")
