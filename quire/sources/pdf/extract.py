@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from typing import Any
 
+from quire.functions import filters
 from quire.sources.pdf.content import boxes
 from quire.sources.pdf.objects import File, Name, Ref, Stream, text
 
@@ -224,6 +225,34 @@ class Document:
         js = self.f.at(self.f.at(self.f.get(d.get("AA")), key), "JS")
         return self.f.decoded(js).decode("utf-8", "replace") if isinstance(js, Stream) else text(js) if isinstance(js, bytes) else ""
 
+    def xfa_boxes(self) -> list[dict]:
+        from quire.sources.xfa import read_xfa
+
+        boxes, _ = read_xfa(self.xfa(self.f.at(self.f.at(self.f.root(), "AcroForm"), "XFA")))
+        return [{"ord": i} | b for i, b in enumerate(boxes)]
+
+    def images(self) -> list[dict]:
+        """Image objects: size, bits, colour space, filter that is left, and the bytes before it."""
+        f, out = self.f, []
+        for n in sorted(f.numbers()):
+            o = f.object(n)
+            if not isinstance(o, Stream) or f.at(o, "Subtype") != "Image":
+                continue
+            data, left = filters.decoded(o.raw, *f.filters_of(o))
+            space = f.at(o, "ColorSpace")
+            mask = o.head.get("SMask")
+            out.append({"obj": n, "w": int(f.at(o, "Width", 0) or 0), "h": int(f.at(o, "Height", 0) or 0), "bits": int(f.at(o, "BitsPerComponent", 1 if f.at(o, "ImageMask") else 8) or 8), "space": str(f.get(space[0]) if isinstance(space, list) and space else space or ""), "filter": left, "stencil": bool(f.at(o, "ImageMask", False)), "smask": mask.num if isinstance(mask, Ref) else 0, "data": data})
+        return out
+
+    def checked_signatures(self) -> list[dict]:
+        from quire.functions.signature import check
+
+        data, out = self.f.data, []
+        for s in self.signatures():
+            a, b, c, d = s["byte_range"]
+            out.append({k: s[k] for k in ("name", "date", "reason", "covers")} | check(s["der"], data[a : a + b] + data[c : c + d]) | {"told": s["reason"]})
+        return out
+
     # Layers, attachments, signatures.
     def layers(self) -> list[dict]:
         f = self.f

@@ -40,6 +40,9 @@ SCHEMAS = {
     "signatures": "doc_id long, name string, date string, reason string, sub string, der binary, byte_range array<long>, covers boolean, sha256 string",
     "structure": "doc_id long, node_id int, parent_id int, depth int, role string, alt string, page_no int, mcid int",
     "label_ranges": "doc_id long, start_page int, style string, prefix string, first int",
+    "images": "doc_id long, obj int, w int, h int, bits int, space string, filter string, stencil boolean, smask int, data binary",
+    "xfa_boxes": "doc_id long, ord int, page int, x double, y double, w double, h double, text string, name string, size double, bold boolean, align string, border boolean, field boolean",
+    "checked_signatures": "doc_id long, name string, date string, told string, covers boolean, intact boolean, verified boolean, hash string, signer string, reason string",
     "objects": "doc_id long, num int, gen int, offset long, rank int, in_objstm boolean, kind string, refs array<int>",
 }
 
@@ -121,6 +124,9 @@ _RECORDS: dict[str, Callable[[Document, set[int] | None], object]] = {
     "signatures": lambda d, _: d.signatures(),
     "structure": lambda d, _: d.structure(),
     "label_ranges": lambda d, _: d.label_ranges(),
+    "images": lambda d, _: d.images(),
+    "xfa_boxes": lambda d, _: d.xfa_boxes(),
+    "checked_signatures": lambda d, _: d.checked_signatures(),
     "objects": lambda d, _: d.objects(),
     "errors": lambda d, _: [],
 }
