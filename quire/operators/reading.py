@@ -258,8 +258,113 @@ def _tables(lines: list[dict], body: float) -> dict[int, tuple[int, list[list[st
     return out
 
 
-def document_blocks(lines: list[dict], pages: dict[int, dict]) -> list[dict]:
-    """Blocks of a document's lines (with page_no): headings, paragraphs, items, code and tables."""
+def merged_rules(rules: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Collinear segments (k, a, b) that touch, as one; what stays short goes."""
+    out: list[list[float]] = []
+    for k, a, b in sorted(rules):
+        if out and abs(out[-1][0] - k) < 1.5 and a <= out[-1][2] + 2:
+            out[-1][2] = max(out[-1][2], b)
+        else:
+            out.append([k, a, b])
+    return [(k, a, b) for k, a, b in out if b - a >= 8]
+
+
+def ruled_tables(lines: list[dict], geom: list[dict]) -> list[dict]:
+    """Tables between rules of one page: bbox, rows, and the lines inside (by line_id)."""
+    flat = [g for g in geom if g["kind"] == "rule"]
+    flat += [dict(g, kind="rule", y1=g["y0"]) for g in geom if g["kind"] == "box"] + [dict(g, kind="rule", y0=g["y1"]) for g in geom if g["kind"] == "box"]
+    flat += [dict(g, kind="rule", x1=g["x0"]) for g in geom if g["kind"] == "box"] + [dict(g, kind="rule", x0=g["x1"]) for g in geom if g["kind"] == "box"]
+    across = merged_rules([(g["y0"], min(g["x0"], g["x1"]), max(g["x0"], g["x1"])) for g in flat if abs(g["y0"] - g["y1"]) < 1])
+    down = merged_rules([(g["x0"], min(g["y0"], g["y1"]), max(g["y0"], g["y1"])) for g in flat if abs(g["x0"] - g["x1"]) < 1])
+    groups: list[list[tuple[float, float, float]]] = []
+    for r in across:
+        g = next((g for g in groups if any(min(r[2], q[2]) - max(r[1], q[1]) > 20 and abs(r[0] - q[0]) < 400 for q in g)), None)
+        if g is None:
+            groups.append([r])
+        else:
+            g.append(r)
+    out = []
+    for g in groups:
+        ys = sorted({r[0] for r in g})
+        x0, x1, top, bottom = min(r[1] for r in g), max(r[2] for r in g), ys[0], ys[-1]
+        inside = [x for x in lines if top - 2 <= x["y"] + x["size"] / 2 <= bottom + 2 and x["x"] >= x0 - 4 and x["x"] + x["w"] <= x1 + 4]
+        if len(ys) < 2 or len(inside) < 2:
+            continue
+        bounds: list[float] = []
+        for k, a, b in down:
+            if x0 - 4 <= k <= x1 + 4 and min(b, bottom) - max(a, top) >= 0.6 * (bottom - top) and not any(abs(k - q) < 4 for q in bounds):
+                bounds.append(k)
+        bounds.sort()
+        if len(bounds) < 2:
+            starts = sorted(at for x in inside for at, _ in x["cells"])
+            bounds = [a for i, a in enumerate(starts) if i == 0 or a - starts[i - 1] > 6]
+        elif bounds[0] > x0 + 4:
+            bounds.insert(0, x0)
+        bounds = [b for b in bounds if b < x1 - 4]
+        if len(bounds) < 2:
+            continue
+        rows: list[list[str]] = []
+        full = len(ys) > 3
+        last = None
+        for x in sorted(inside, key=lambda x: (x["y"], x["x"])):
+            middle = x["y"] + x["size"] / 2
+            band = sum(y <= middle for y in ys) if full else round(x["y"] / max(1, 0.8 * x["size"]))
+            if band != last:
+                rows.append([""] * len(bounds))
+                last = band
+            for at, said in x["cells"]:
+                k = max(0, sum(b <= at + 1 for b in bounds) - 1)
+                rows[-1][k] = (rows[-1][k] + " " + said).strip()
+        cells = [c for r in rows for c in r]
+        if len(rows) >= 2 and sum(not c for c in cells) <= 0.6 * len(cells):
+            out.append({"bbox": [x0, top, x1, bottom], "rows": rows, "lines": {x["line_id"] for x in inside}})
+    return out
+
+
+_CONTENTS = re.compile(r"(?:table of )?contents|차례|목차", re.I)
+_ENDS_IN_PAGE = re.compile(r"\s[0-9]{1,4}$")
+
+
+def settled(blocks: list[dict]) -> list[dict]:
+    """Contents pages and runs of numbered headings become lists; headings before the first section that are none become paragraphs."""
+    out: list[dict] = []
+    i = 0
+    while i < len(blocks):
+        b = blocks[i]
+        out.append(b)
+        i += 1
+        if b["kind"] == "heading" and _CONTENTS.fullmatch(b["text"].strip()):
+            j = i
+            while j < len(blocks) and blocks[j]["page_no"] <= b["page_no"] + 1 and (blocks[j]["page_no"] == b["page_no"] or _ENDS_IN_PAGE.search(blocks[j]["text"])):
+                j += 1
+            if j > i:
+                items = [t for x in blocks[i:j] for t in (x["items"] or [" ".join(r) for r in x["rows"]] or x["text"].split("\n")) if t]
+                out.append(blocks[i] | {"kind": "list", "level": 0, "text": "", "items": items, "rows": []})
+            i = j
+    blocks, out, i = out, [], 0
+    while i < len(blocks):
+        j = i
+        while j < len(blocks) and blocks[j]["kind"] == "heading" and _ENDS_IN_PAGE.search(blocks[j]["text"]):
+            j += 1
+        if j - i >= 4:
+            out.append(blocks[i] | {"kind": "list", "level": 0, "text": "", "items": [x["text"] for x in blocks[i:j]]})
+            i = j
+        else:
+            out.append(blocks[i])
+            i += 1
+    title = next((k for k, b in enumerate(out) if b["kind"] == "heading" and b["level"] == 1 and not re.match(NUMBERED, b["text"])), None)
+    first = next((k for k, b in enumerate(out) if b["kind"] == "heading" and (re.match(NUMBERED, b["text"]) or re.fullmatch("abstract|introduction", b["text"], re.I))), None)
+    if title is not None and first is not None:
+        for b in out[title + 1 : first]:
+            if b["kind"] == "heading" and b["level"] >= 2 and len(b["text"]) <= 60:
+                b |= {"kind": "para", "level": 0}
+    return out
+
+
+def document_blocks(lines: list[dict], pages: dict[int, dict], geom: dict[int, list[dict]] | None = None) -> list[dict]:
+    """Blocks of a document's lines (with page_no): headings, paragraphs, items, code and tables.
+
+    geom: rules and boxes by page, for tables that have them."""
     upright = [x for x in lines if abs(x["angle"]) < 0.01] or lines
     if not upright:
         return []
@@ -268,8 +373,14 @@ def document_blocks(lines: list[dict], pages: dict[int, dict]) -> list[dict]:
     kept = [x for x in upright if (x["page_no"], x["line_id"]) not in gone]
     known = {w for x in kept for w in re.findall("[a-z]+-[a-z]+", x["text"].lower())}
     sizes = sorted({math.floor(x["size"] * 2 + 0.5) / 2 for x in kept if x["size"] > LIMITS.head_share * body and len(x["text"]) <= LIMITS.head_chars}, reverse=True)[: LIMITS.ranks]
-    tables = _tables(kept, body)
+    ruled: dict[tuple[int, int], dict] = {}
+    for n, g in (geom or {}).items():
+        for t in ruled_tables([x for x in kept if x["page_no"] == n], g):
+            ruled |= {(n, i): t for i in t["lines"]}
+    plain = [x if (x["page_no"], x["line_id"]) not in ruled else x | {"cells": x["cells"][:1]} for x in kept]
+    tables = _tables(plain, body)
     out: list[dict] = []
+    shown: set[int] = set()
     i, last = 0, None
 
     def add(kind: str, x: dict, **more) -> dict:
@@ -292,6 +403,12 @@ def document_blocks(lines: list[dict], pages: dict[int, dict]) -> list[dict]:
             i, last = i + n, None
             continue
         i += 1
+        if (t := ruled.get((x["page_no"], x["line_id"]))) is not None:
+            if id(t) not in shown:
+                shown.add(id(t))
+                add("table", x, rows=t["rows"], bbox=t["bbox"])
+            last = None
+            continue
         if not re.search(r"\w", x["text"]):
             continue
         gap = x["y"] - last["y"] - last["size"] if last and last["page_no"] == x["page_no"] else None
@@ -332,6 +449,7 @@ def document_blocks(lines: list[dict], pages: dict[int, dict]) -> list[dict]:
         else:
             add("para", x, text=x["text"])["_x"] = x["x"]
         last = x
+    out = settled(out)
     for k, b in enumerate(out):
         b.pop("_x", None)
         b["block_id"] = k

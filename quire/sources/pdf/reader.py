@@ -93,9 +93,13 @@ def _text(d: Document, only: set[int] | None) -> Iterator[dict]:
 def _blocks(d: Document, only: set[int] | None) -> list[dict]:
     from quire.operators.tagged import tagged_blocks
 
-    pages = {r["page_no"]: r for r in d.page_rows()}
-    lines = list(_lines(d, only))
-    return tagged_blocks(d.structure(), list(_pieces(d, only)), lines) or reading.document_blocks(lines, pages)
+    pages, lines, pieces, geom = {}, [], [], {}
+    for n, row, p in _pages_of(d, only):
+        pages[n] = row
+        pieces += [{"page_no": n} | x for x in p.pieces]
+        lines += [{"page_no": n} | x for x in reading.page_lines(p.pieces, row)]
+        geom[n] = reading.rules(p.ops, row)
+    return tagged_blocks(d.structure(), pieces, lines) or reading.document_blocks(lines, pages, geom)
 
 
 def _markdown(d: Document, only: set[int] | None) -> Iterator[dict]:
