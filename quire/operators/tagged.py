@@ -109,9 +109,30 @@ def tagged_blocks(nodes: list[dict], pieces: list[dict], lines: list[dict]) -> l
 
     for n in kids[None]:
         walk(n, 0)
+    _leftovers(out, lines, {(n["page_no"] or 1, n["mcid"]) for n in nodes if n["mcid"] >= 0})
+    for k, b in enumerate(out):
+        b["block_id"] = k
     return out
 
 
+def _leftovers(out: list[dict], lines: list[dict], known: set[tuple[int, int]]) -> None:
+    """Lines that the tree does not know, and that are no artifacts, as paragraphs after their page's blocks."""
+    free: list[dict] = []
+    for x in lines:
+        if abs(x["angle"]) > 0.01 or any((x["page_no"], m) in known or m == -2 for m in x["mcids"]):
+            continue
+        box = [x["x"], x["y"], x["x"] + x["w"], x["y"] + x["size"]]
+        last = free[-1] if free else None
+        if last and last["page_no"] == x["page_no"] and 0 <= x["y"] - last["bbox"][3] <= 0.8 * x["size"]:
+            last["text"] += " " + x["text"]
+            last["bbox"] = [min(last["bbox"][0], box[0]), last["bbox"][1], max(last["bbox"][2], box[2]), box[3]]
+        else:
+            free.append({"block_id": 0, "kind": "para", "page_no": x["page_no"], "bbox": box, "level": 0, "text": x["text"], "items": [], "rows": []})
+    for b in free:
+        at = max((i + 1 for i, x in enumerate(out) if x["page_no"] <= b["page_no"]), default=0)
+        out.insert(at, b)
+
+
 def _rows(pieces: list[dict], between: str = " ") -> str:
     """A fragment's text, row by row as its pieces come."""
     found: list[list[dict]] = []

@@ -150,7 +150,7 @@ def test_metadata():
 def tagged() -> bytes:
     m = Maker()
     mark = lambda tag, n, s: f"/{tag} <</MCID {n}>> BDC {s} EMC\n"
-    c = mark("H1", 0, say(72, 700, 18, "Heading")) + mark("P", 1, say(72, 670, 10, "First part") + say(72, 658, 10, "of it.")) + mark("L", 2, say(72, 630, 10, "one")) + mark("L", 3, say(90, 618, 10, "nested")) + mark("T", 4, say(72, 590, 10, "h1")) + mark("T", 5, say(150, 590, 10, "h2")) + mark("T", 6, say(72, 578, 10, "a")) + mark("T", 7, say(150, 578, 10, "b"))
+    c = mark("H1", 0, say(72, 700, 18, "Heading")) + mark("P", 1, say(72, 670, 10, "First part") + say(72, 658, 10, "of it.")) + mark("L", 2, say(72, 630, 10, "one")) + mark("L", 3, say(90, 618, 10, "nested")) + mark("T", 4, say(72, 590, 10, "h1")) + mark("T", 5, say(150, 590, 10, "h2")) + mark("T", 6, say(72, 578, 10, "a")) + mark("T", 7, say(150, 578, 10, "b")) + say(72, 300, 10, "Untagged line") + say(72, 288, 10, "goes on.") + "/Artifact BMC " + say(72, 20, 8, "foot") + "EMC"
     p = m.page(c)
     e = lambda s, k: m.put({"S": Name(s), "K": k, "Pg": p})
     inner = e("L", [e("LI", [e("LBody", 3)])])
@@ -163,7 +163,8 @@ def tagged() -> bytes:
 def test_tagged_structure():
     d = Document(tagged())
     b = reader._blocks(d, None)
-    assert [(x["kind"], x["level"], x["text"], x["items"], x["rows"]) for x in b] == [("heading", 1, "Heading", [], []), ("para", 0, "First part of it.", [], []), ("list", 0, "", ["one", "\tnested"], []), ("table", 0, "", [], [["h1", "h2"], ["a", "b"]]), ("para", 0, "A picture", [], [])]
+    assert [(x["kind"], x["level"], x["text"], x["items"], x["rows"]) for x in b] == [("heading", 1, "Heading", [], []), ("para", 0, "First part of it.", [], []), ("list", 0, "", ["one", "\tnested"], []), ("table", 0, "", [], [["h1", "h2"], ["a", "b"]]), ("para", 0, "A picture", [], []), ("para", 0, "Untagged line goes on.", [], [])]
+    assert [x["block_id"] for x in b] == list(range(6))
     assert "- one\n  - nested" in reading.markdown(b) and "| h1 | h2 |\n| --- | --- |\n| a | b |" in reading.markdown(b)
 
 
