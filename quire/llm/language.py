@@ -34,6 +34,8 @@ DIMENSIONS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 #: Training rows and landmarks for each language, and the most languages (the most frequent ones).
 PER_LANGUAGE, LANDMARKS, LANGUAGES = 400, 60, 256
+#: Training rows and landmarks in all, shared out evenly where languages are many: 16 MB of bits, 64 MB of landmarks.
+MOST_ROWS, MOST_LANDMARKS = 4096, 512
 RIDGE = 1e-3
 _LETTER = re.compile(r"[^\W\d_]")
 _BATCH = 64
@@ -87,13 +89,14 @@ def train(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: floa
         return Model([], np.zeros((DIMENSIONS, 0), np.float32))
     bits = np.array([np.frombuffer(b, np.uint8) for _, b in rows])
     y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in rows])
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
     chosen = np.concatenate([np.flatnonzero([lang == x for lang, _ in rows])[:landmarks] for x in languages])
 
     def unit(at: np.ndarray) -> np.ndarray:
         x = np.unpackbits(bits[at], axis=1).astype(np.float32)
         return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
-    z = unit(chosen)
+    z = unit(chosen)  # MOST_LANDMARKS rows at most
     kzz = (z @ z.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kzz)
     good = values > 1e-6 * values.max()
@@ -118,6 +121,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return train([])
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     # By hash about one and a half times what is taken, so that what is ranked has a bound too.
     share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(1.5 * per_language / r["count"] + 20 / r["count"]))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
