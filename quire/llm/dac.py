@@ -58,12 +58,12 @@ def pack(doc_ids: list[int | None], docs: list[np.ndarray], widths: tuple[int, .
         np.asarray([d is None for d in doc_ids], "u1").tobytes(),
         ends.tobytes(),
     ]
-    rest = ids.astype(np.uint64)
+    rest = ids.copy()
     for level, w in enumerate(widths):
-        out += [struct.pack("<Q", len(rest)), (rest & np.uint64((1 << w) - 1)).astype(_store(w)).tobytes()]
+        out += [struct.pack("<Q", len(rest)), (rest & np.uint32((1 << w) - 1)).astype(_store(w)).tobytes()]
         if level == len(widths) - 1:
             break
-        rest >>= np.uint64(w)
+        rest >>= np.uint32(w)
         more = rest > 0
         bits = np.packbits(more, bitorder="little")
         bits = np.pad(bits, (0, -len(bits) % 64))
