@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from collections.abc import Callable
 from typing import Any
@@ -147,6 +148,33 @@ class Build:
         self.root["PageLabels"] = {"Nums": nums}
         return self
 
+    def _of(self, o: Any) -> Any:
+        return self.objects.get(o.num) if isinstance(o, Ref) else o
+
+    def watermark(self, said: str) -> Build:
+        """said across each page, as large as its diagonal allows, in light grey under nothing else's state."""
+        font = Ref(max(self.objects) + 1, 0)
+        self.objects[font.num] = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}
+        before = Ref(font.num + 1, 0)
+        self.objects[before.num] = Stream({}, b"q\n")
+        raw = said.encode("cp1252", "replace")
+        for k in {k.num for k in self.kids}:
+            page = self.objects[k]
+            box = [float(self._of(x)) for x in self._of(page.get("MediaBox")) or (0, 0, 612, 792)]
+            w, h = box[2] - box[0], box[3] - box[1]
+            diagonal = math.hypot(w, h)
+            size = 0.62 * diagonal / max(1.0, 0.5 * len(raw))
+            c, s = w / diagonal, h / diagonal
+            start = (box[0] + w / 2 - 0.31 * diagonal * c, box[1] + h / 2 - 0.31 * diagonal * s)
+            text = b"Q q 0.85 g %s %s %s %s %s %s cm BT /QuireMark %s Tf <%s> Tj ET Q" % (*(shown(float(v)) for v in (c, s, -s, c, *start)), shown(size), raw.hex().encode())
+            own = Ref(max(self.objects) + 1, 0)
+            self.objects[own.num] = Stream({}, text)
+            res = dict(self._of(page.get("Resources")) or {})
+            res["Font"] = dict(self._of(res.get("Font")) or {}) | {"QuireMark": font}
+            old = self._of(page.get("Contents")) if isinstance(self._of(page.get("Contents")), list) else [page["Contents"]] if "Contents" in page else []
+            self.objects[k] = page | {"Resources": res, "Contents": [before, *old, own]}
+        return self
+
     def bytes(self, password: str | None = None, random: Callable[[int], bytes] = os.urandom) -> bytes:
         objects = self.objects | {1: self.root, 2: {"Type": Name("Pages"), "Kids": self.kids, "Count": len(self.kids)}}
         trailer: dict = {"Root": Ref(1, 0)} | ({"Info": self.info} if self.info else {})
@@ -205,6 +233,34 @@ def filled(data: bytes, values: dict[str, str], password: str = "") -> bytes:
     return update(data, changed, d.f) if changed else data
 
 
+def with_fields(data: bytes, fields: list[dict], password: str = "") -> bytes:
+    """data with new fields (page_no, name, rect, kind 0 text or 1 check box, value) appended."""
+    d = Document(data, password)
+    f, changed = d.f, {}
+    n = max(f.numbers()) + 1
+    refs = []
+    for x in fields:
+        page = d.pages[x["page_no"] - 1]
+        p = changed.get(page["_num"]) or dict(f.object(page["_num"]))
+        p["Annots"] = [*(f.get(p.get("Annots")) or []), Ref(n, 0)]
+        changed[page["_num"]] = p
+        own: dict = {"Type": Name("Annot"), "Subtype": Name("Widget"), "T": x["name"], "Rect": list(map(float, x["rect"])), "F": 4, "P": Ref(page["_num"], 0)}
+        if x.get("kind", 0) == 1:
+            on = Name("Yes") if x.get("value") not in (None, "", "Off") else Name("Off")
+            own |= {"FT": Name("Btn"), "V": on, "AS": on, "AP": {"N": {"Yes": None, "Off": None}}}
+        else:
+            own |= {"FT": Name("Tx"), "V": x.get("value") or ""}
+        changed[n] = own
+        refs.append(Ref(n, 0))
+        n += 1
+    root = dict(f.root())
+    form = dict(f.get(root.get("AcroForm")) or {})
+    form["Fields"] = [*(f.get(form.get("Fields")) or []), *refs]
+    root["AcroForm"] = form | {"NeedAppearances": True}
+    changed[f.trailer["Root"].num] = root
+    return update(data, changed, f)
+
+
 def noted(data: bytes, notes: list[dict], password: str = "") -> bytes:
     """data with annotations (page_no, subtype, rect, contents, color) appended."""
     d = Document(data, password)

@@ -31,6 +31,8 @@ class Document:
         for i, p in enumerate(self.pages, 1):
             self.page_of.setdefault(p["_num"], i)
         self._dests: dict[str, Any] | None = None
+        #: Names of the layers to hide; None: those that the file hides.
+        self.hide: set[str] | None = None
 
     # One record.
     def record(self) -> dict:
@@ -264,7 +266,7 @@ class Document:
         return [{"ord": i, "obj": r.num, "name": text(f.at(r, "Name")), "on": r.num in on if base_off else r.num not in off} for i, r in enumerate(f.get(oc.get("OCGs")) or []) if isinstance(r, Ref)]
 
     def hidden(self) -> set[int]:
-        return {r["obj"] for r in self.layers() if not r["on"]}
+        return {r["obj"] for r in self.layers() if (r["name"] in self.hide if self.hide is not None else not r["on"])}
 
     def attachments(self) -> list[dict]:
         f, out = self.f, []

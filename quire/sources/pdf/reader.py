@@ -136,8 +136,11 @@ _RECORDS: dict[str, Callable[[Document, set[int] | None], object]] = {
 }
 
 
-def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None = None) -> DataFrame:
-    """A table of SCHEMAS from the files of read_pdf; pages (from 1) limits what is interpreted."""
+def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None = None, hide: list[str] | None = None) -> DataFrame:
+    """A table of SCHEMAS from the files of read_pdf.
+
+    pages (from 1) limits what is interpreted; hide names the layers to leave out,
+    instead of those that a file hides itself."""
     schema = SCHEMAS[name]
     columns = [c.split(" ")[0] for c in _split(schema)]
     only = set(pages) if pages is not None else None
@@ -149,6 +152,7 @@ def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None
                 rows = []
                 try:
                     d = Document(bytes(data), password)
+                    d.hide = set(hide) if hide is not None else None
                     if name != "errors":
                         rows = [{"doc_id": doc_id, "path": path} | r for r in make(d, only)]
                 except Exception as e:  # noqa: BLE001  a damaged file is a row, not the end of the job
@@ -190,8 +194,8 @@ def _files(raw: DataFrame, make: Callable[[bytes], bytes]) -> DataFrame:
     return raw.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string, content binary")
 
 
-def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, labels: list | None = None, fields: dict[str, str] | None = None, notes: list[dict] | None = None, password: str = "", encrypt: str | None = None) -> DataFrame:
-    """New files: pages picked in any order, turned, labelled, filled, noted, encrypted; only what is reachable stays."""
+def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, labels: list | None = None, fields: dict[str, str] | None = None, notes: list[dict] | None = None, new_fields: list[dict] | None = None, watermark: str = "", password: str = "", encrypt: str | None = None) -> DataFrame:
+    """New files: pages picked in any order, turned, labelled, filled, noted, marked, encrypted; only what is reachable stays."""
     from quire.operators import writer
 
     def make(data: bytes) -> bytes:
@@ -199,8 +203,11 @@ def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, labels:
             data = writer.filled(data, fields, password)
         if notes:
             data = writer.noted(data, notes, password)
+        if new_fields:
+            data = writer.with_fields(data, new_fields, password)
         b = writer.Build().add(Document(data, password), pick, turn)
-        return (b.labels(labels) if labels else b).bytes(encrypt)
+        b = b.labels(labels) if labels else b
+        return (b.watermark(watermark) if watermark else b).bytes(encrypt)
 
     return _files(raw, make)
 

@@ -199,6 +199,18 @@ def test_build_merge_fill_encrypt():
     assert [(x["subtype"], x["contents"]) for x in noted.annotations()] == [("Square", "see")]
 
 
+def test_watermark_new_fields_and_layers():
+    d = Document(writer.Build().add(Document(report())).watermark("Entwurf für alle").bytes())
+    p = [x for x in reader._pieces(d, None) if "Entwurf" in x["text"]]
+    assert len(p) == 3 and abs(p[0]["ang"] - 0.9125) < 0.01 and p[0]["text"] == "Entwurf für alle"
+    assert [b["text"] for b in reader._blocks(d, None)][:1] == ["The Title"]
+    new = Document(writer.with_fields(report(1), [{"page_no": 1, "name": "who", "rect": [10, 10, 90, 30], "value": "me"}, {"page_no": 1, "name": "ok", "rect": [10, 40, 30, 60], "kind": 1, "value": "x"}]))
+    assert [(f["name"], f["kind"], f["value"], f["checked"]) for f in new.fields()] == [("who", 0, "me", False), ("ok", 1, "Yes", True)]
+    layered = Document(rich())
+    layered.hide = {"Shown"}
+    assert [p["text"] for p in reader._pieces(layered, {2})] == ["hidden"]
+
+
 @pytest.mark.parametrize("r", [2, 3])
 def test_rc4_files(r):
     import hashlib
