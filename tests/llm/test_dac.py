@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,15 +24,8 @@ def test_cached_words_equal_plain_encoding(path, cut, text):
     assert own.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-_known = {}
-
-
-def _tok(path):
-    return _known.setdefault(path, Tokenizer.from_file(path))
-
-
-def _own(path, cut):
-    return _known.setdefault((path, cut), Words(path, cut))
+_tok = lru_cache(Tokenizer.from_file)
+_own = lru_cache(Words)
 
 
 @pytest.mark.parametrize("path,cut", [(WORD, "drop"), (BYTE, "lead")])
