@@ -78,7 +78,25 @@ def _cluster(runs: list[dict]) -> list[list[dict]]:
             out[-1].append(p)
         else:
             out.append([p])
-    return [sorted(line, key=lambda p: p["_u"]) for line in out]
+    return [layer for line in out for layer in _layers(sorted(line, key=lambda p: p["_u"]))]
+
+
+def _layers(line: list[dict]) -> list[list[dict]]:
+    """A line printed over by another on its baseline, as two: a run goes to the first layer that it does not cover."""
+    layers: list[list[dict]] = []
+    for p in line:
+        for layer in layers:
+            q = layer[-1]
+            over = min(q["_u"] + q["w"], p["_u"] + p["w"]) - max(q["_u"], p["_u"])
+            share = over / max(1e-6, min(q["w"], p["w"]))
+            sizes = max(p["size"], q["size"]) / max(1e-6, min(p["size"], q["size"]))
+            level = abs(p["_v"] - q["_v"]) <= 0.15 * max(p["size"], q["size"])
+            if not (share > 0.3 and (sizes > 1.5 or share > 0.8) and level):
+                layer.append(p)
+                break
+        else:
+            layers.append([p])
+    return layers
 
 
 def _columns(runs: list[dict]) -> list[list[dict]] | None:
