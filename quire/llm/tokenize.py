@@ -36,7 +36,8 @@ class Words:
     """One tokenizer with the ids of words that it has met.
 
     Where the tokenizer lower-cases, texts of Latin-1 characters are lower-cased
-    first, which gives fewer words to know; others might compose differently.
+    first, which gives fewer words to know; others might compose differently, and
+    their words with capitals go through the whole tokenizer.
     """
 
     def __init__(self, path: str, cut: str):
@@ -73,7 +74,7 @@ class Words:
 
     def _plain(self, part: str) -> bytes:
         """Ids of a chunk, or of what stands before or after its TAIL cut."""
-        if self.direct and (part[1:] if self.cut == "lead" and part[0] == " " else part).isalpha() and (not self.lower or _latin(part)):
+        if self.direct and (part[1:] if self.cut == "lead" and part[0] == " " else part).isalpha() and (not self.lower or (_latin(part) and part == part.lower())):
             return array(self.code, [t.id for t in self.tok.model.tokenize(_letters(part))]).tobytes()
         return array(self.code, self.tok.encode(part, add_special_tokens=False).ids).tobytes()
 

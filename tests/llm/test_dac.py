@@ -28,6 +28,15 @@ _tok = lru_cache(Tokenizer.from_file)
 _own = lru_cache(Words)
 
 
+MIXED = ["Hello World — ok", "THE “Quoted” Words", "Él Niño 日本 NIÑO", "x <|y Straße ÀÉÎ", "Hello, WORLD! 😀\nThe End…", "A Ā"]
+
+
+@pytest.mark.parametrize("path,cut", [(WORD, "drop"), (BYTE, "lead")])
+@pytest.mark.parametrize("text", MIXED)
+def test_capitals_beside_wide_characters(path, cut, text):
+    assert Words(path, cut).encode(text).tolist() == _tok(path).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path,cut", [(WORD, "drop"), (BYTE, "lead")])
 def test_long_texts_in_slices(path, cut, monkeypatch):
     monkeypatch.setattr(tokenize, "LONG", 1000)
