@@ -179,7 +179,8 @@ def pseudonym(kind: str, m: str, key: str) -> str:
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text, and _pii: the kinds found there, in order (null where nothing was looked for)."""
-    likely = F.col("text").rlike("[0-9]{2}|@")
+    # All patterns but EMAIL and IP need two digits in a row; an address may have four octets of one digit.
+    likely = F.col("text").rlike("[0-9]{2}|@|[0-9][.][0-9]")
     found = docs.select("*", F.when(likely, F.expr(f"regexp_extract_all(text, {_quoted(ANY)}, 0)")).alias("_m"))
     found = found.select("*", F.when(F.size("_m") > 0, F.expr(f"transform(_m, m -> named_struct('k', {_kind('m')}, 'm', m))")).alias("_k"))
     new = F.expr(f"array_join(zip_with(split(text, {_quoted(ANY)}, -1), transform(_k, v -> {pseudonym('v.k', 'v.m', key)}), (g, p) -> concat(g, coalesce(p, ''))), '')")

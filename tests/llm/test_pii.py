@@ -65,6 +65,14 @@ def test_equal_values_stay_linked(spark):
     assert run(spark, [c], key="another")[0].text != run(spark, [c])[0].text
 
 
+def test_addresses_of_single_digits_alone(spark):
+    alone = ["8.8.8.8", "see 1.1.1.1, then", "4.4.4.4\nand 8.8.8.8"]
+    got, linked = run(spark, alone), run(spark, ["8.8.8.8 by 42"])[0]
+    assert [r.n_ip for r in got] == [1, 1, 2]
+    assert got[0].text != "8.8.8.8" and linked.text == got[0].text + " by 42" and got[2].text.endswith("and " + got[0].text)
+    assert "1.1.1.1" not in got[1].text and got[1].text.startswith("see ")
+
+
 def test_what_is_not_valid_stays(spark):
     texts = ["4041894974608796", "999.1.1.1", "1.2.3.4.5", "1981-02-29", "666-12-3456", "000-12-3456", "DE89 3702 0044 0532 0130 00", "mail@host", "12 apples, 345 pears", "", None, "no digits $1 \\2 here", "v1.2.3", "123456789012"]
     assert [r.text for r in run(spark, texts)] == texts
