@@ -9,7 +9,6 @@ from typing import Any
 from quire.functions.formcalc import Unreadable, form_calc, show
 
 _UNITS = {"mm": 72 / 25.4, "cm": 72 / 2.54, "in": 72.0, "px": 0.75, "pt": 1.0, "": 1.0}
-MOST_REPEATS = 2000
 
 
 def to_points(s: str | None, default: float = 0.0) -> float:
@@ -105,7 +104,7 @@ class Form:
         occur = child.find("occur")
         least = int(occur.get("min", 1)) if occur is not None else 1
         most = int(occur.get("max", max(1, least))) if occur is not None else 1
-        most = MOST_REPEATS if most < 0 else min(most, MOST_REPEATS)
+        most = len(found) if most < 0 else most
         n = max(least, min(len(found), most)) if occur is not None else 1
         if n > 1:
             self.stats["repeats"] += n - 1

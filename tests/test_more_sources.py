@@ -104,6 +104,22 @@ def test_xfa():
     assert boxes[0]["bold"] and boxes[0]["size"] == 14 and to_points("1in") == 72 and read_xfa("no xml <") == ([], {})
 
 
+def test_xfa_repeats_by_data_without_a_cap():
+    for most in ("-1", "2600"):
+        items = "".join(f"<o><k>{k}</k></o>" for k in range(2500))
+        xml = f'<xdp><template><subform name="f" layout="tb"><subform name="o" layout="tb"><occur min="0" max="{most}"/><field name="k" h="10pt"/></subform></subform></template><datasets><data><f>{items}</f></data></datasets></xdp>'
+        boxes, stats = read_xfa(xml)
+        assert [b["text"] for b in boxes] == [str(k) for k in range(2500)] and stats["repeats"] == 2499
+
+
+def test_xfa_layout_of_a_hot_customer(spark, tmp_path):
+    from quire.plans.documents import xfa_layout
+
+    orders = [(1, k) for k in range(2300)] + [(2, k) for k in range(3)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(map(tuple, xfa_layout(spark, str(tmp_path)).collect())) == [(1, 2300, float(sum(range(2300)))), (2, 3, 3.0)]
+
+
 def test_arriving_files(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
