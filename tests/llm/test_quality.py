@@ -1,6 +1,8 @@
 import math
+import random
 import re
 from collections import Counter
+from itertools import accumulate
 
 from quire.llm import quality as q
 
@@ -72,6 +74,23 @@ def test_kept_documents(spark):
     assert {r.doc_id for r in q.op2(df).where("kept").collect()} == set(range(120))
 
 
+def test_variety_of_a_very_long_clean_text(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30_000)]
+    share = list(accumulate(1 / (i + 10) for i in range(len(words))))
+    prose = lambda n: "\n".join(" ".join(rng.choices(words, cum_weights=share, k=12)) + "." for _ in range(n // 12))
+    texts = [prose(600) for _ in range(150)] + [prose(400_000), " ".join(rng.choices(words[:100], k=20_000))]
+    assert len(set(texts[-2].split())) < 0.2 * len(texts[-2].split())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in q.op2(df).collect()}
+    assert all(got[i].kept for i in range(151))
+    stats = {r.doc_id: r._q for r in q.statistics(df.where("doc_id >= 149")).collect()}
+    for i, s in stats.items():
+        w = texts[i].split()
+        assert s.n_distinct == sum(len(set(w[k : k + 1000])) for k in range(0, len(w), 1000))
+    assert stats[150].n_distinct > 0.2 * stats[150].n_words and stats[151].n_distinct < 0.2 * stats[151].n_words
+
+
 def test_native_plan_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert q.op2(df).count() == 0 and q.keep(df).count() == 0
