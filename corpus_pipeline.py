@@ -23,13 +23,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest doc_id.
-
-    Rows without a doc_id stay; of rows that share the smallest doc_id, one stays."""
-    found = simhash.op3(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
-    # Rows of one doc_id: the copies of a few rows at most, unless the table is made of one id.
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each component of linked fingerprints one row: the smallest doc_id, and the first of rows that share it.
+
+    Rows without a doc_id come after all others. Rows are told apart by a written row id, not by doc_id."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    scratch = Scratch(spark, "rows")
+    rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    return rows.join(simhash.firsts(rows, row), row, "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

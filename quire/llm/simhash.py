@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import batches
@@ -57,16 +57,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and as row the long column of that name, if any."""
+    more = [F.col(row).alias("row")] if row else []
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *([("row", pa.int64())] if row else [])])
 
     def run(it):
         for b in it:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * len(more))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -183,6 +184,21 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.unionByName(near.join(low, "z").where("x <> v").select(F.col("x").alias("u"), "v"))
 
 
+def _rooted(scratch: Scratch, own: DataFrame, order: Column) -> DataFrame:
+    """fp, root (its component), first (the least order of its rows): a row for each distinct fingerprint of own."""
+    distinct = scratch.write(own.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    roots = scratch.write(components(links(distinct.select("fp"))), "roots")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def firsts(docs: DataFrame, row: str) -> DataFrame:
+    """row: of each component the row with the smallest doc_id (null after all others), then the smallest value of the unique long column row."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    own = scratch.write(fingerprints(docs, row), "own")
+    with_root = _rooted(scratch, own, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    return with_root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+
+
 def op3(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row.
 
@@ -192,9 +208,7 @@ def op3(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.write(fingerprints(docs), "own")
-    distinct = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = scratch.write(components(links(distinct.select("fp"))), "roots")
-    with_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    with_root = _rooted(scratch, own, F.col("doc_id"))
     least = with_root.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.write(with_root.join(least, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -76,6 +76,17 @@ def test_odd_rows_pass(spark, tmp_path):
         assert f(spark, df.limit(0), SF).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark):
+    text = lambda k: " ".join(f"{k}w{i * i % 97}" for i in range(40))
+    # Two unlinked texts of one id; an id whose rows are a copy of a smaller one and the head of a group; copies without an id.
+    rows = [(5, text("a"), 1), (5, text("b"), 2), (1, text("c"), 3), (7, text("c"), 4), (7, text("d"), 5), (9, text("d"), 6), (None, text("e"), 7), (None, text("e"), 8), (None, text("a"), 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = cp.simhash_dedup(spark, df, SF)
+    assert got.columns == df.columns
+    kept = {r._row for r in got.collect()}
+    assert kept in ({1, 2, 3, 5, 7}, {1, 2, 3, 5, 8})
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     from quire.llm import decontaminate as dc
 
