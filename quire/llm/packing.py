@@ -16,7 +16,7 @@ Documents find their place by their rank among those of their length: ranges of
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import numpy as np
@@ -100,33 +100,53 @@ def _better(small: Bin, full: Bin, room: int) -> tuple[tuple[int, ...], tuple[in
     return found
 
 
-def local_search(bins: Counter[Bin], capacity: int, effort: int = 4000) -> Counter[Bin]:
-    """Exchanges between underfull bins while they raise the squared fill; effort bounds the exchanges tried."""
+def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Exchanges between underfull bins, until bins are as few as can be or no exchange is left.
+
+    Each raises the squared fill and is made in all equal pairs of bins of its two classes at once.
+    """
     bins = Counter(bins)
-    total = sum(_fill(b) * n for b, n in bins.items())
-    stuck: set[Bin] = set()
-    while effort > 0 and bins.total() > -(-total // capacity):
-        open_ = sorted((b for b in bins if _fill(b) < capacity and b not in stuck), key=lambda b: (_fill(b), b))
-        if not open_:
-            break
-        small, done = open_[0], True
-        bins[small] -= 1
-        while small and done and effort > 0:
-            done = False
-            for full in sorted((b for b, n in bins.items() if n > 0 and _fill(small) <= _fill(b) < capacity), key=lambda b: (-_fill(b), b)):
-                effort -= 1
-                if m := _better(small, full, capacity - _fill(full)):
-                    bins[full] -= 1
-                    bins[_changed(full, m[1], m[0])] += 1
-                    small, done = _changed(small, m[0], m[1]), True
-                    break
-                if effort <= 0:
-                    break
-        if small:
-            bins[small] += 1
-            stuck.add(small)
-        bins = +bins
-    return +bins
+    number, least = bins.total(), -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
+    open_ = sorted((f, b) for b in bins if (f := _fill(b)) < capacity)
+    #: By class, the classes that it has no exchange with.
+    none: dict[Bin, set[Bin]] = {}
+
+    def put(b: Bin, n: int) -> None:
+        if b not in bins and (f := _fill(b)) < capacity:
+            insort(open_, (f, b))
+        bins[b] += n
+
+    def take(b: Bin, n: int) -> None:
+        bins[b] -= n
+        if not bins[b]:
+            del bins[b]
+            del open_[bisect_left(open_, (_fill(b), b))]
+
+    at = 0
+    while number > least and at < len(open_):
+        small = open_[at][1]
+        no = none.setdefault(small, set())
+        for i in range(len(open_) - 1, at - 1, -1):
+            fill, full = open_[i]
+            if full in no:
+                continue
+            pairs = bins[small] // 2 if full == small else min(bins[small], bins[full])
+            if not pairs:
+                continue
+            if m := _better(small, full, capacity - fill):
+                take(small, pairs)
+                take(full, pairs)
+                put(_changed(full, m[1], m[0]), pairs)
+                if rest := _changed(small, m[0], m[1]):
+                    put(rest, pairs)
+                else:
+                    number -= pairs
+                at = 0
+                break
+            no.add(full)
+        else:
+            at += 1
+    return bins
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cut: str = "lead") -> DataFrame:

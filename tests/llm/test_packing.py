@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -37,6 +38,27 @@ def test_local_search_empties_a_bin():
     assert packing.local_search(bins, 10).total() == 2
 
 
+def test_local_search_of_many_equal_bins():
+    bins = Counter({((6, 1), (3, 1)): 50_000, ((5, 1), (2, 1)): 50_000, ((2, 2),): 50_000})
+    assert packing.local_search(bins, 10).total() == 100_000
+
+
+def test_local_search_leaves_no_exchange():
+    rng = random.Random(2)
+    lengths = Counter(rng.randint(40, 140) for _ in range(20_000))
+    first = packing.best_fit(dict(lengths), 205)
+    bins = packing.local_search(first, 205)
+    least = -(-sum(x * n for x, n in lengths.items()) // 205)
+    room = {b: 205 - sum(x * k for x, k in b) for b in bins}
+    left = [(a, b) for a in bins for b in bins if room[a] >= room[b] > 0 and (a != b or bins[a] > 1) and packing._better(a, b, room[b])]
+    assert bins.total() < first.total() and (bins.total() == least or not left)
+    held = Counter()
+    for b, n in bins.items():
+        for x, k in b:
+            held[x] += k * n
+    assert held == lengths
+
+
 def test_one_for_one_and_two_for_one():
     assert packing._better(((5, 1),), ((4, 1), (3, 1)), 2) == ((5,), (3,))
     assert packing._better(((4, 1), (3, 1)), ((6, 1),), 1) == ((4, 3), (6,))
