@@ -20,6 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column (names are told apart without regard to case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def batches(rows, schema: pa.Schema, limit: int = 2048):
     """Gather tuples into record batches of at most ``limit`` rows."""
     part: list[tuple] = []
