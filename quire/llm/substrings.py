@@ -1,25 +1,29 @@
 """Operator 6: repeated passages by relative Lempel-Ziv parsing.
 
-The reference of a document is every document with a smaller doc_id. It is indexed
-by phrases, in blocks dealt out by the phrases' hashes, so that no document meets a
-block that it shares nothing with. A phrase is cut by content: among the 8-word grams
-of a 50-word window the one with the least hash is its anchor, and neighbouring
-windows with one anchor make a phrase (22 words on average, with the words that its
-windows reach). Equal windows have equal anchors wherever they stand.
-
-A document is parsed greedily into factors: runs of phrases that the index knows from
-an earlier document, as long as they go. A factor may go on for part of a phrase: at
-its boundaries, where a document's phrase has a known anchor and unknown words, the
-windows are looked up one by one in the index of such phrases' windows. So a window is
-found exactly if its 50 words start in an earlier document, and factors, each of 50
-words or more, are the spans to remove.
+The reference of a document is what earlier documents (smaller doc_id) hold, each
+phrase once: where it first stands, as (document, word). It is indexed by phrases, in
+blocks dealt out by the phrases' hashes, so that no document meets a block that it
+shares nothing with. A phrase is cut by content: among the 8-word grams of a 50-word
+window the one with the least hash is its anchor, and neighbouring windows with one
+anchor make a phrase (22 words on average, with the words that its windows reach).
+Equal windows have equal anchors wherever they stand.
+
+A document is parsed greedily, from left to right, into factors (reference document,
+its first word, length): from each phrase that the reference holds, as many words as
+the reference goes on with at that place. Where a document's phrase has a known anchor
+and unknown words, a factor may begin or end within it: at these boundaries the windows
+are looked up one by one, and take part in the parse like phrases. So a window is in a
+factor exactly if its 50 words start in an earlier document. Factors have 50 words or
+more each; together they are the spans to remove.
 
 Only minima are gathered by phrase and by window, never their documents: hot passages
 are pre-aggregated, and joins back to documents may be split by Spark.
 
 A document with a null id has no place in the order: it is left alone, and is no
-reference. Rows that share a doc_id are no reference for one another. Null and empty
-texts have no words. Hashes are of 128 bits (anchor and words).
+reference. Rows that share a doc_id are no reference for one another; equal rows are
+parsed alike, and each is kept. Null and empty texts have no words; very long ones are
+held whole, a row at a time, and hashed in slices; an empty table gives no rows. Other
+columns are not read. Hashes are of 128 bits (anchor and words).
 """
 
 from __future__ import annotations
@@ -176,44 +180,87 @@ def _windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, t long, a long, w long, s long")
 
 
-def factors(found: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of found windows (first, number) as spans [start, end) of words: overlapping or touching factors are one span."""
+def factors(found: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """The greedy parse: (first word, words, reference document, its first word) by first word.
+
+    found: rows of (first window, windows, reference document, its first window), in any order, each window once. A factor
+    goes on while windows follow one another both in the document and in the reference.
+    """
+    out: list[list[int]] = []
+    for s, n, doc, at in sorted(map(tuple, found.tolist())):
+        if out:
+            last = out[-1]
+            if s == last[0] + last[1] and doc == last[2] and at == last[3] + last[1]:
+                last[1] += n
+                continue
+        out.append([s, n, doc, at])
+    return [(s, n + window - 1, doc, at) for s, n, doc, at in out]
+
+
+def covered(parse: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Spans [start, end) of the words in factors: overlapping or touching factors are one span."""
     out: list[tuple[int, int]] = []
-    for s, n in sorted(found):
-        end = s + n + window - 1
+    for s, n, _, _ in parse:
         if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+            out[-1] = (out[-1][0], max(s + n, out[-1][1]))
         else:
-            out.append((s, end))
+            out.append((s, s + n))
     return out
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, found (array<struct<s,n>>: windows known from earlier documents) for every row of docs."""
+_FOUND = ("s", "n", "ref", "at")
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """doc_id, text, found (array<struct<s,n,ref,at>>: windows known from earlier documents, and where those stand) for every row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
     index = scratch.write(_index(docs), "phrases")
     # What is aggregated is written before it is joined: then a join's hot keys can be split, as nothing asks for them whole.
-    # Anchors of two documents or more; of them, each phrase's first document, and whether an anchor has several phrases.
+    # Anchors of two documents or more; of them, each phrase's first place, and whether an anchor has several phrases.
     shared = scratch.write(index.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a"), "shared")
     known = scratch.write(index.join(shared, "a"), "known")
+    scratch.drop("phrases")
     scratch.free()
-    firsts = scratch.write(known.groupBy("a", "c").agg(F.min("doc_id").alias("first")), "firsts")
+    firsts = scratch.write(known.groupBy("a", "c").agg(F.min(F.struct("doc_id", "s")).alias("first")).select("a", "c", F.col("first.doc_id").alias("ref"), F.col("first.s").alias("at")), "firsts")
     several = scratch.write(firsts.groupBy("a").agg(F.count("*").alias("phrases")).where("phrases > 1").select("a", F.lit(True).alias("open")), "several")
     firsts = scratch.write(firsts.join(several, "a", "left"), "contexts")
-    judged = scratch.write(known.join(firsts, ["a", "c"]).select("doc_id", "t", "a", "s", "n", (F.col("first") < F.col("doc_id")).alias("old"), F.coalesce("open", F.lit(False)).alias("open")), "judged")
-    checks = judged.where("not old and open").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n", "a")).alias("checks"))
+    judged = known.join(firsts, ["a", "c"]).select("doc_id", "t", "a", "s", "n", "ref", "at", (F.col("ref") < F.col("doc_id")).alias("old"), F.coalesce("open", F.lit(False)).alias("open"))
+    judged = scratch.write(judged.where("old or open"), "judged")
+    for name in ("shared", "known", "firsts", "several", "contexts"):
+        scratch.drop(name)
+    # Equal rows (doc_id, text) say the same: sets, which grow with a text, not with its copies.
+    checks = judged.where("not old").groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "n", "a")).alias("checks"))
     windows = scratch.write(_windows(docs.where("text is not null").join(checks, ["doc_id", "t"]).select("doc_id", "t", "text", "checks")), "windows")
     scratch.free()
-    first = scratch.write(windows.groupBy("a", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "w", "first"), "first")
-    single = windows.join(first, ["a", "w"]).where("first < doc_id").select("doc_id", "t", "s", F.lit(1).cast("long").alias("n"))
-    found = judged.where("old").select("doc_id", "t", "s", "n").unionByName(single)
-    found = scratch.write(found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("found")), "found")
+    first = windows.groupBy("a", "w").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    first = scratch.write(first.select("a", "w", F.col("first.doc_id").alias("ref"), F.col("first.s").alias("at")), "first")
+    single = windows.join(first, ["a", "w"]).where("ref < doc_id").select("doc_id", "t", "s", F.lit(1).cast("long").alias("n"), "ref", "at")
+    found = judged.where("old").select("doc_id", "t", *_FOUND).unionByName(single)
+    found = scratch.write(found.groupBy("doc_id", "t").agg(F.collect_set(F.struct(*_FOUND)).alias("found")), "found")
+    for name in ("judged", "windows", "first"):
+        scratch.drop(name)
     scratch.free()
     return docs.join(found, ["doc_id", "t"], "left").select("doc_id", "text", "found")
 
 
+def parsed(docs: DataFrame) -> DataFrame:
+    """The factors of every row of docs that has some: doc_id, start, length (words), ref_doc, ref_start."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())])
+
+    def run(it):
+        def rows():
+            for b in it:
+                for d, f in zip(b.column(0).to_pylist(), _lists(b.column(1), *_FOUND), strict=True):
+                    for factor in factors(np.column_stack(f)):
+                        yield d, *factor
+
+        yield from batches(rows(), schema)
+
+    return matches(docs).where("found is not null").select("doc_id", "found").mapInArrow(run, "doc_id long, start long, length long, ref_doc long, ref_start long")
+
+
 def op6(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -221,12 +268,12 @@ def op6(docs: DataFrame) -> DataFrame:
     def run(it):
         def rows():
             for b in it:
-                for d, x, (first, count) in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2), "s", "n"), strict=True):
+                for d, x, found in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2), *_FOUND), strict=True):
                     w, n = (x.as_py() or "").encode("utf-8", "surrogatepass").split(), 0
                     kept = w
-                    if len(first):
+                    if len(found[0]):
                         kept, at = [], 0
-                        for a, e in factors(list(zip(first.tolist(), count.tolist(), strict=True))):
+                        for a, e in covered(factors(np.column_stack(found))):
                             kept += w[at:a]
                             n, at = n + e - a, e
                         kept += w[at:]
@@ -234,4 +281,4 @@ def op6(docs: DataFrame) -> DataFrame:
 
         yield from batches(rows(), schema)
 
-    return spans(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return matches(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -74,7 +75,59 @@ def test_phrases_cover_all_windows_once():
 
 
 def test_factors():
-    assert sb.factors([(5, 1), (0, 2), (300, 3), (349, 1)]) == [(0, 55), (300, 399)]
+    found = np.array([(5, 1, 2, 9), (0, 2, 7, 40), (2, 3, 7, 42), (300, 3, 1, 0), (303, 1, 1, 4), (352, 1, 1, 0)])
+    parse = sb.factors(found)
+    assert parse == [(0, 54, 7, 40), (5, 50, 2, 9), (300, 52, 1, 0), (303, 50, 1, 4), (352, 50, 1, 0)]
+    assert sb.covered(parse) == [(0, 55), (300, 402)]
+
+
+def naive(rows, window=50):
+    """Of each document the windows that start in an earlier one; and whether a factor is a match."""
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - window + 1):
+            first.setdefault(tuple(words[d][i : i + window]), d)
+    old = {d: {i for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d} for d, w in words.items()}
+    return words, old
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_factors_against_a_naive_parser(spark, seed):
+    rows = list({d: (d, t) for d, t in corpus(seed) if d is not None}.values())
+    words, old = naive(rows)
+    got = sb.parsed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.start, r.length, r.ref_doc, r.ref_start))
+    assert {d for d, o in old.items() if o} == set(by)
+    for d, parse in by.items():
+        for (s, n, ref, at), after in zip(sorted(parse), [*sorted(parse)[1:], None]):
+            assert ref < d and n >= 50 and words[d][s : s + n] == words[ref][at : at + n]
+            # The next factor begins behind the last window of this one, and does not go on where it stopped.
+            assert after is None or (after[0] > s + n - 50 and after != (s + n - 49, after[1], ref, at + n - 49))
+        seen = [i for s, n, _, _ in parse for i in range(s, s + n - 49)]
+        assert len(seen) == len(set(seen)) and set(seen) == old[d]
+
+
+def test_a_copy_is_one_factor(spark):
+    text = " ".join(f"w{i * i % 911}" for i in range(700))
+    rows = [(1, "before " + text), (2, "some other words " + text + " after"), (3, text)]
+    got = {(r.doc_id, r.start, r.length, r.ref_doc, r.ref_start) for r in sb.parsed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 3, 700, 1, 1), (3, 0, 700, 1, 1)}
+
+
+def test_equal_rows_take_time_in_proportion(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = lambda n: [(1, text)] + [(2, text + " more")] * n
+    took = []
+    for n in (50, 1600):
+        df = spark.createDataFrame(rows(n), "doc_id long, text string")
+        began = time.time()
+        got = Counter(map(tuple, sb.op6(df).collect()))
+        took.append(time.time() - began)
+        assert got == brute(rows(n))
+    assert took[1] < 4 * took[0] + 5
 
 
 def test_empty_table(spark):
