@@ -9,35 +9,41 @@ regression in that space gives a score a language. As presence kernels are inner
 products of presence vectors, landmarks, whitening and regression multiply out to one
 matrix (dimensions x languages), by which batches of presence vectors are scored.
 
-Learning takes a bounded sample of labelled rows, PER_LANGUAGE for each language, drawn
-by hash from all of them; presence vectors (DIMENSIONS bits each) come to the driver,
-not texts. Whole texts are read, in learning as in prediction. Only text is an input of
-a prediction.
+Learning takes a bounded sample of labelled rows, PER_LANGUAGE for each language and
+MOST_ROWS in all (but one for each language, however many), drawn by hash of doc_id and
+text from all of them, equal rows once; presence vectors come to the driver, not texts.
+A model has WEIGHTS numbers at most: with many languages it has fewer dimensions, and no
+language is left out. Whole texts are read, in learning as in prediction, very long ones
+in slices. Only text is an input of a prediction.
 
 A text that is null or has no letter is ``und`` with score 0; without training rows all
-are. A text without n-grams known to the model gets the best prior language.
+are. A text without n-grams known to the model gets the best prior language; of equal
+scores the language first by name counts. Rows that repeat a doc_id are documents of
+their own; a null doc_id counts as an empty one where rows are held out; an empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import LONG
 
 DIMENSIONS = 1 << 15
 GRAMS = (1, 2, 3, 4)
-#: Training rows and landmarks for each language, and the most languages (the most frequent ones).
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 400, 60, 256
+#: Training rows and landmarks for each language.
+PER_LANGUAGE, LANDMARKS = 400, 60
 #: Training rows and landmarks in all, shared out evenly where languages are many: 16 MB of bits, 64 MB of landmarks.
 MOST_ROWS, MOST_LANDMARKS = 4096, 512
+#: Numbers in a model: 32 MB; and the fewest dimensions, however many languages.
+WEIGHTS, FEWEST = 1 << 23, 1 << 10
 RIDGE = 1e-3
-_LETTER = re.compile(r"[^\W\d_]")
 _BATCH = 64
 
 
@@ -68,7 +74,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         for k in range(0, len(known), _BATCH):
             own = known[k : k + _BATCH]
             x = presence([texts[i] for i in own], len(self.weights))
@@ -83,10 +89,10 @@ class Model:
 
 def train(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """From (language, packed presence bits); the first rows of each language become its landmarks."""
-    rows = sorted(rows)
+    rows = sorted(rows, key=lambda r: r[0])
     languages = sorted({lang for lang, _ in rows})
     if not rows:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32))
+        return Model([], np.zeros((0, 0), np.float32))
     bits = np.array([np.frombuffer(b, np.uint8) for _, b in rows])
     y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in rows])
     landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
@@ -114,38 +120,39 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 0
 
 
+def dimensions(languages: int) -> int:
+    """A power of two, so that a model of so many languages has WEIGHTS numbers at most, or FEWEST dimensions."""
+    return max(FEWEST, min(DIMENSIONS, 1 << (WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From docs (doc_id, text, lang) that are not held out and have a language."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = own.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    own = own.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    # One row for each language: how many different rows it has, within a twentieth.
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()
     if not counts:
         return train([])
-    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
-    # By hash about one and a half times what is taken, so that what is ranked has a bound too.
-    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(1.5 * per_language / r["count"] + 20 / r["count"]))))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
-    schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("bits", pa.binary())])
+    per_language, size = max(1, min(per_language, MOST_ROWS // len(counts))), dimensions(len(counts))
+    # By hash about one and a half times what is taken, so that what is ranked has a bound too; equal rows are one.
+    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit((1.5 * per_language + 20) / max(1, r.n)))))
+    drawn = own.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("bits", pa.binary())])
 
     def bits(it):
         for b in it:
-            texts = b.column(2)
-            packed = [np.packbits(presence([t.as_py()])[0]).tobytes() for t in texts]
+            packed = [np.packbits(presence([t.as_py()], size)[0]).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], schema=schema)
 
-    got = own.where(drawn).select("lang", "doc_id", "text").mapInArrow(bits, "lang string, doc_id long, bits binary").orderBy("lang", F.xxhash64("doc_id", F.lit(6))).collect()
-    rows, taken = [], {}
-    for r in got:
-        if taken.setdefault(r.lang, 0) < per_language:
-            taken[r.lang] += 1
-            rows.append((r.lang, bytes(r.bits)))
-    return train(rows)
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(bits, "lang string, h long, bits binary")
+    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(6)), "h"))).where(F.col("k") <= per_language)
+    return train([(r.lang, bytes(r.bits)) for r in first.orderBy("lang", "k").select("lang", "bits").collect()])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHTS numbers at most (or FEWEST for each language)
 
     def run(it):
         for b in it:

@@ -60,3 +60,30 @@ def test_no_training_rows(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in lg.op5(df).collect()] == ["und"]
     assert lg.op5(df.limit(0)).count() == 0
+
+
+def test_what_is_a_letter(spark):
+    df = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(["½ ² ①", "_ 12", "é", "日本", "the and"] * 10)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lg.op5(df).collect()}
+    assert [got[i].lang_pred for i in range(5)] == ["und", "und", "aa", "aa", "aa"] and got[0].score == 0
+
+
+def test_no_language_is_left_out(spark):
+    names = [f"l{i:03}" for i in range(300)]
+    rows = [(i * 40 + k, f"{n * 3} word{n}x {n}{k}", n) for i, n in enumerate(names) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lg.fit(df)
+    assert len(model.languages) == len({n for d, _, n in rows if zlib.crc32(str(d).encode()) % 5}) and model.weights.size <= lg.WEIGHTS
+    assert lg.dimensions(4) == lg.DIMENSIONS and lg.dimensions(300) == 16384 and lg.dimensions(1 << 20) == lg.FEWEST
+
+
+def test_repeated_rows_are_one_in_learning(spark, monkeypatch):
+    monkeypatch.setattr(lg, "PER_LANGUAGE", 30)
+    # Language aa is one row, thousands of times; bb's rows share a doc_id; cc is ordinary.
+    rows = [(1, TONGUES["aa"], "aa")] * 5000 + [(1, f"{TONGUES['bb']} {i}", "bb") for i in range(3000)] + [(r[0] + 10, r[1], r[2]) for r in corpus(600) if r[2] == "cc"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(lg, "train", lambda rows: seen.extend(rows) or lg.Model([], np.zeros((0, 0))))
+    lg.fit(df, 30)
+    n = {x: sum(r[0] == x for r in seen) for x in TONGUES}
+    assert n["aa"] == 1 and 0 < n["bb"] <= 30 and 0 < n["cc"] <= 30
