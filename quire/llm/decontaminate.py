@@ -8,8 +8,16 @@ searched backwards through wavelet ranks, all at once; its occurrences are locat
 by sampled suffix positions and merged into removal spans by document.
 
 The benchmark is read in blocks of at most BLOCK_CHARS characters (one item may be
-longer), each sent to all tasks: what is sent has that bound whatever the benchmark.
-With more than one block, the blocks' spans of a document are merged afterwards.
+longer), each sent to all tasks: what is sent, and what the driver holds, has that
+bound whatever the benchmark. With more than one block, documents are written with a
+row id first, each block's findings are a table, and those of a row are merged; every
+block reads the documents once.
+
+A null text has no words; an item without words has no window; rows that repeat a
+doc_id are documents of their own, and items that share an item_id count once; without
+items nothing is found; an item whose id is null counts for spans and is in no list; an
+empty table gives no rows. A very long text is split into words whole and is a shard of
+its own. Other columns, whatever their names, are not read, and come through ``clean``.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batches
+from quire.llm.common import batches, fresh
 from quire.llm.fmindex import FMIndex
 from quire.session import Scratch
 
@@ -138,30 +146,39 @@ def _search_block(docs: DataFrame, w: Windows) -> DataFrame:
 
         def flush(held, words):
             for (r, d, n), (spans, items) in zip(held, search(words, w), strict=True):
-                yield r, d, n, [{"start": a, "end": b} for a, b in spans], sorted(x for k in items if (x := w.items[k]) is not None)
+                yield r, d, n, [{"start": a, "end": b} for a, b in spans], sorted({x for k in items if (x := w.items[k]) is not None})
 
         yield from batches(rows(), schema)
 
     return docs.mapInArrow(run, FOUND)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """row, doc_id, n_words, spans (of words, merged) and items (with occurring windows) of every document.
+def _each_block(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """FOUND of docs (row, doc_id, text), for a benchmark of many blocks."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    kept = scratch.write(docs, "docs")
+    every = kept.select("row", "doc_id", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    for k, block in enumerate(_blocks(benchmark, block_chars)):
+        found = _search_block(kept, Windows(block, window))
+        # The first block's table tells all documents' words; the others only what they found.
+        every = every.unionByName(scratch.write(found if k == 0 else found.where("size(spans) > 0"), f"block{k}"))
+    # A row has as many lists as there are blocks that occur in it; spans are merged, and items are told apart.
+    lists = F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists).withColumn("spans", _merged(F.array_sort("spans")))
 
-    A null text has no words; an item without words has no window; rows that repeat a
-    doc_id are documents of their own; without items nothing is found; an item whose
-    id is null counts for spans and is in no list. Only doc_id, item_id and text are read.
-    """
+
+def _single(benchmark: DataFrame, block_chars: int) -> list[tuple[str | None, str | None]] | None:
+    """The benchmark's items, if they are one block."""
+    size = benchmark.agg(F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    return next(_blocks(benchmark, block_chars)) if size <= block_chars else None
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """row, doc_id, n_words, spans (of words, merged) and items (with occurring windows) of every document."""
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [_search_block(docs, Windows(block, window)) for block in _blocks(benchmark, block_chars)]
-    if len(found) == 1:
-        return found[0]
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    every = scratch.write(found[0], "block0")
-    for k, f in enumerate(found[1:], 1):
-        every = every.unionByName(scratch.write(f.where("size(spans) > 0"), f"block{k}"))
-    all_ = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return all_.withColumn("spans", _merged(F.array_sort("spans")))
+    if (block := _single(benchmark, block_chars)) is not None:
+        return _search_block(docs, Windows(block, window))
+    return _each_block(docs, benchmark, window, block_chars)
 
 
 def _merged(spans):
@@ -173,10 +190,13 @@ def _merged(spans):
     return F.aggregate(spans, F.slice(spans, 1, 0), step)
 
 
+def _hit():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+
+
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns, from find()."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
-    f = find(docs, benchmark).select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
+    f = find(docs, benchmark).select("doc_id", "n_words", _hit().alias("n_hit"), "items")
     return f.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
@@ -188,41 +208,43 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated (the contract's rule).
 
-    Spans are found and judged where the text is; with a benchmark of several blocks
-    hits by block are not enough, so a document's hit words are counted over all of them.
+    With a benchmark of one block, spans are found and judged where the text is; with
+    more, a document's hit words are counted over all of them.
     """
-    blocks = [Windows(b, window) for b in _blocks(benchmark, BLOCK_CHARS)]
-    sent = docs.sparkSession.sparkContext.broadcast(blocks) if len(blocks) == 1 else None
-    if sent is None:
-        own = docs.select("*", F.monotonically_increasing_id().alias("_row"))
-        kept = Scratch(docs.sparkSession, "decontaminate").write(own, "docs")
-        bad = _hits(kept.select(F.col("_row").alias("row"), "doc_id", "text"), blocks).where(contaminated()).select(F.col("row").alias("_row"))
-        return kept.join(bad, "_row", "left_anti").select(*docs.columns)
-    i = docs.columns.index("text")
+    if (block := _single(benchmark, block_chars)) is None:
+        row = fresh(docs, "_row")
+        kept = Scratch(docs.sparkSession, "decontaminate").write(docs.select("*", F.monotonically_increasing_id().alias(row)), "docs")
+        found = _each_block(kept.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, block_chars)
+        bad = found.select("row", "n_words", _hit().alias("n_hit")).where(contaminated()).select(F.col("row").alias(row))
+        return kept.join(bad, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    w, i = Windows(block, window), docs.columns.index("text")
 
     def run(it):
-        w = sent.value[0]
-        for b in it:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                words = [split(t.as_py()) for t in part.column(i)]
-                hits = [sum(e - a for a, e in spans) for spans, _ in search(words, w)]
-                yield part.filter(pa.array([not (n > 0 and 20 * n >= len(x)) for n, x in zip(hits, words, strict=True)], pa.bool_()))
+        held, words, n = [], [], 0
 
-    return docs.mapInArrow(run, docs.schema)
+        def flush():
+            hits = [sum(e - a for a, e in spans) for spans, _ in search(words, w)]
+            keep = [not (k > 0 and 20 * k >= len(x)) for k, x in zip(hits, words, strict=True)]
+            at = 0
+            for b in held:
+                yield b.filter(pa.array(keep[at : at + b.num_rows], pa.bool_()))
+                at += b.num_rows
 
+        for b in it:
+            start = 0
+            for k, t in enumerate(b.column(i), 1):
+                words.append(split(t.as_py()))
+                n += len(words[-1])
+                if n >= SHARD_WORDS:
+                    held.append(b.slice(start, k - start))
+                    yield from flush()
+                    held, words, n, start = [], [], 0, k
+            if start < b.num_rows:
+                held.append(b.slice(start))
+        if held:
+            yield from flush()
 
-def _hits(docs: DataFrame, blocks: list[Windows]) -> DataFrame:
-    """row, n_words, n_hit over all blocks, of docs (row, doc_id, text)."""
-    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    every = None
-    for k, w in enumerate(blocks):
-        f = scratch.write(_search_block(docs, w).where("size(spans) > 0").select("row", "n_words", "spans"), f"hits{k}")
-        every = f if every is None else every.unionByName(f)
-    all_ = every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-    all_ = all_.withColumn("spans", _merged(F.array_sort("spans")))
-    return all_.select("row", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_hit"))
+    return docs.mapInArrow(run, docs.schema)

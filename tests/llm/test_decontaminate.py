@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,8 +69,20 @@ def test_query(spark):
     assert {r.n_hit for r in dc.op8(docs, items.limit(0)).collect()} == {0}
 
 
-def test_blocks_of_the_benchmark_merge(spark):
+@pytest.mark.parametrize("more", [[], [(10, "tiny item"), (10, PASSAGE + " tail")]])
+def test_blocks_of_the_benchmark_merge(spark, more):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    items = spark.createDataFrame(ITEMS + more, "item_id long, text string")
     one, many = (dc.find(docs, items, block_chars=n).drop("row").collect() for n in (1 << 20, 1))
     assert sorted(map(str, one)) == sorted(map(str, many))
+    assert all(len(set(r["items"])) == len(r["items"]) for r in one)
+
+
+@pytest.mark.parametrize("block_chars", [1 << 20, 1])
+def test_clean_rows_keep_their_columns(spark, monkeypatch, block_chars):
+    monkeypatch.setattr(dc, "SHARD_WORDS", 50)
+    docs = spark.createDataFrame([(*r, 1, "x", "y", 5) for r in DOCS], "doc_id long, text string, n_words int, row string, _ROW string, spans int")
+    got = dc.clean(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_chars=block_chars)
+    assert got.columns == docs.columns
+    bad = [r[-1] for r in brute(DOCS, ITEMS)]
+    assert sorted(map(str, got.collect())) == sorted(map(str, (r for r, b in zip(docs.collect(), bad) if not b)))
