@@ -138,7 +138,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
 
     Null and empty texts are documents of the end id alone; rows that repeat a doc_id
     stay rows, in no set order among equal (doc_id, text); a null doc_id comes first;
-    an empty table makes an empty file. Other columns are not read.
+    an empty table makes an empty file. Other columns are not read. A very long text is
+    encoded in slices and is one document of one block.
     """
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("payload", pa.binary())])
 
@@ -172,7 +173,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
 
     n = parallelism(docs.sparkSession)
     by = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by = by.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Ranges may part rows that share a doc_id, equal ones too.
+    by = by.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    by = by.repartitionByRange(n, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     by.mapInArrow(encode, SEGMENTS).write.mode("errorifexists").option("compression", "lz4").parquet(path)
 
 
@@ -205,26 +208,43 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return seg.select((F.col("base") + F.col("start")).alias("base"), "payload").mapInArrow(decode, TOKENS)
 
 
+#: Positions that one task looks up in a block; more are spread over tasks, each with the block.
+PROBES = 1 << 20
+
+
 def tokens_at(positions: DataFrame, path: str) -> DataFrame:
     """position, id for each row of positions (position long): looked up, blocks not decoded.
 
-    Positions meet blocks by the part and block that hold them: a directory of one
-    small row per block is joined by range on bins of BLOCK_TOKENS ids.
+    Positions meet a directory of the blocks (a small row each, without their ids), joined by range on bins of BLOCK_TOKENS
+    ids, and learn part and block. Then each block goes once to the positions that ask for it, before them in one stream; to
+    as many tasks as PROBES positions each need. Positions outside the file and null ones give no row; repeated ones a row each.
     """
     spark = positions.sparkSession
-    seg = spark.read.parquet(path).join(F.broadcast(part_starts(spark, path)), "part").withColumn("at", F.col("base") + F.col("start"))
     size = F.lit(BLOCK_TOKENS)
-    bins = seg.select("at", "n_tokens", "payload", F.explode(F.sequence((F.col("at") / size).cast("long"), ((F.col("at") + F.col("n_tokens") - 1) / size).cast("long"))).alias("bin"))
-    asked = positions.select(F.col("position").cast("long").alias("position")).withColumn("bin", (F.col("position") / size).cast("long"))
+    seg = spark.read.parquet(path).join(F.broadcast(part_starts(spark, path)), "part").withColumn("at", F.col("base") + F.col("start"))
+    bins = seg.select("part", "block", "at", "n_tokens", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n_tokens") - 1) / size))).alias("bin"))
+    asked = positions.select(F.col("position").cast("long").alias("position")).withColumn("bin", F.floor(F.col("position") / size))
     met = asked.join(bins, "bin").where((F.col("position") >= F.col("at")) & (F.col("position") < F.col("at") + F.col("n_tokens")))
+    met = Scratch(spark, "lookup").write(met.select("part", "block", (F.col("position") - F.col("at")).alias("probe"), "at"), "met")
+    split = met.groupBy("part", "block").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("tasks"))
+    blocks = seg.join(split, ["part", "block"]).select("part", "block", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(-1).cast("long").alias("probe"), "at", "payload")
+    probes = met.join(split, ["part", "block"]).select("part", "block", F.pmod(F.xxhash64("probe", F.monotonically_increasing_id()), "tasks").cast("int").alias("task"), "probe", "at", F.lit(None).cast("binary").alias("payload"))
+    stream = blocks.unionByName(probes).repartition(parallelism(spark), "part", "block", "task").sortWithinPartitions("part", "block", "task", "probe")
     schema = pa.schema([("position", pa.int64()), ("id", pa.int64())])
 
     def look(it):
+        block = None
         for b in it:
-            rows = [(p, int(Block(x.as_py()).access(np.asarray([p - a]))[0])) for p, a, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
-            yield from batches(iter(rows), schema)
-
-    return met.select("position", "at", "payload").mapInArrow(look, "position long, id long")
+            probe, at, payload = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            heads = [*np.flatnonzero(probe < 0).tolist(), len(probe)]
+            for i, (a, e) in enumerate(zip([0, *heads], heads)):
+                if i:
+                    block, a = Block(payload[a].as_py()), a + 1
+                if e > a:
+                    ids = block.access(probe[a:e])
+                    yield pa.RecordBatch.from_arrays([pa.array(probe[a:e] + at[a:e]), pa.array(ids.astype(np.int64))], schema=schema)
+
+    return stream.select("probe", "at", "payload").mapInArrow(look, "position long, id long")
 
 
 def op1(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,8 @@ ODD = ["", " ", "a", "  two  blanks ", "tab\tand\r\nline\n\n", "it's I'LL 12 345
 
 
 @pytest.mark.parametrize("path,cut", [(WORD, "drop"), (BYTE, "lead")])
-@settings(max_examples=150, deadline=None)
-@given(st.one_of(st.sampled_from(ODD), st.text(alphabet=st.sampled_from("ab'sT1 .!\n\t\xa0é<|>"), max_size=40), st.text(max_size=30)))
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.sampled_from(ODD), st.text(alphabet=st.sampled_from("ab'sT1 .!\n\t\xa0éÉ—…“”’€你好<|>"), max_size=40), st.text(max_size=30)))
 def test_cached_words_equal_plain_encoding(path, cut, text):
     tok, own = _tok(path), _own(path, cut)
     assert own.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
@@ -57,7 +58,7 @@ def test_block_round_trip_and_random_access(docs, widths):
         b.access(np.asarray([len(flat)]))
 
 
-ROWS = [(5, "five is here"), (None, "no id"), (2, None), (9, ""), (2, "two"), (-3, "Minus!\n"), (7, "long words " * 3000)]
+ROWS = [(11, "The “Quick” Brown—Fox… 5 € For You 你好 <|x It’s"), (5, "five is here"), (None, "no id"), (2, None), (9, ""), (2, "two"), (-3, "Minus!\n"), (7, "long words " * 3000)]
 
 
 def test_query_against_plain_encoding(spark):
@@ -72,16 +73,30 @@ def test_query_against_plain_encoding(spark):
     for s, length in starts:
         assert s == n
         n += length
-    assert [d for d, *_ in sorted(got, key=got.get)] == [None, -3, 2, 2, 5, 7, 9]
+    assert [d for d, *_ in sorted(got, key=got.get)] == [None, -3, 2, 2, 5, 7, 9, 11]
 
 
-def test_positions_are_looked_up(spark):
+@pytest.mark.parametrize("probes", [dac.PROBES, 20])
+def test_positions_are_looked_up(spark, monkeypatch, probes):
+    monkeypatch.setattr(dac, "PROBES", probes)
+    monkeypatch.setattr(dac, "BLOCK_TOKENS", 64)
     df = spark.createDataFrame([(i, f"word{i} and more " * (i % 5)) for i in range(40)], "doc_id long, text string")
     path = Scratch(spark, "t").path("ids")
     dac.write_tokens(df, path, WORD)
     flat = [x for i in range(40) for x in [*_tok(WORD).encode(f"word{i} and more " * (i % 5), add_special_tokens=False).ids, 1]]
-    asked = spark.createDataFrame([(p,) for p in range(0, len(flat), 7)], "position long")
-    assert {r.position: r.id for r in dac.tokens_at(asked, path).collect()} == {p: flat[p] for p in range(0, len(flat), 7)}
+    wanted = [*range(0, len(flat), 7), *[5] * 300, 0, len(flat) - 1]
+    asked = spark.createDataFrame([(p,) for p in [*wanted, -1, len(flat), None]], "position long")
+    assert Counter(map(tuple, dac.tokens_at(asked, path).collect())) == Counter((p, flat[p]) for p in wanted)
+    assert dac.tokens_at(asked.limit(0), path).count() == 0
+
+
+def test_rows_that_share_a_doc_id_spread(spark):
+    df = spark.createDataFrame([(7, "the same text")] * 400 + [(8, "end")], "doc_id long, text string")
+    path = Scratch(spark, "t").path("ids")
+    dac.write_tokens(df, path, WORD)
+    assert spark.read.parquet(path).where("first_doc = 7").count() > 1
+    starts = sorted((r.start, r.n_tokens) for r in dac.read_tokens(spark, path).collect())
+    assert len(starts) == 401 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
 def test_empty_table(spark):
