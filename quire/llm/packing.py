@@ -184,7 +184,9 @@ def _ranked(short: DataFrame, n: int) -> DataFrame:
                 last, nth[i] = x, n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(nth)], schema=schema)
 
-    by = short.repartitionByRange(n, "length", "doc_id").sortWithinPartitions("length", "doc_id", "piece", "start")
+    # Ranges may part rows that share length and doc_id, equal ones too.
+    by = short.withColumn("row", F.monotonically_increasing_id())
+    by = by.repartitionByRange(n, "length", "doc_id", "row").sortWithinPartitions("length", "doc_id", "row").drop("row")
     return by.mapInArrow(number, PIECES + ", part int, nth long")
 
 
@@ -208,6 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     Null and empty texts are one piece of the end id; rows that repeat a doc_id are
     documents of their own; an empty table gives no rows; other columns are not read.
+    A very long text is encoded in slices, and cut into pieces like others.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     every = scratch.write(pieces(docs, tokenizer, capacity, end_id, cut), "pieces")
