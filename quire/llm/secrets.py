@@ -7,7 +7,11 @@ found by their length. Tokens that carry a checksum count only if it holds:
 GitHub's and npm's end in six base-62 digits of the CRC-32 of the rest.
 
 All is done on UTF-8 bytes, whose ASCII letters alone change case; positions become
-code points at the end. Null: empty text. Empty text: no spans.
+code points at the end. Null: empty text. Empty text: no spans. Very long texts are
+scanned whole, a row at a time. Rows that repeat a doc_id are documents of their own; an
+empty table gives no rows. Spans of different kinds may overlap; those that begin
+together stand in the order of KINDS. Other columns, whatever their names, are not read
+by ``scan``, and come through ``redacted`` (n_chars alone is counted anew).
 """
 
 from __future__ import annotations
