@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, as a table with the columns of documents,
 and decides on all of it; its decisions take effect in what it returns. run() writes
 each stage's result as Parquet to the shared folder and reads it again for the next.
+
+In every stage a null text is an empty one, rows that repeat a doc_id are documents of
+their own, an empty table gives no rows, very long texts are worked on whole, and other
+columns, whatever their names, come through (but in the last stage, whose columns are
+those of the packing).
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, packing, quality, secrets, simhash
+from quire.llm.common import fresh
 from quire.session import Scratch
 
 
@@ -26,9 +32,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each component of linked fingerprints one row: the smallest doc_id, and the first of rows that share it.
 
     Rows without a doc_id come after all others. Rows are told apart by a written row id, not by doc_id."""
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = fresh(docs, "_row")
     scratch = Scratch(spark, "rows")
     rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     return rows.join(simhash.firsts(rows, row), row, "left_semi").select(*docs.columns)
@@ -40,12 +44,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts marked out."""
+    """All documents, with the secrets in their texts marked out, and n_chars counted anew; a null text stays null."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
+    """Where each piece of each document stands in the packed sequences; a null or empty text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

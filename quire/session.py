@@ -28,11 +28,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks) a new temporary folder is
-    set as checkpoint folder and used.
+    Only where the session names none and runs on this machine alone (tests, notebooks)
+    a new temporary folder is set as checkpoint folder and used. Elsewhere that would be
+    a folder of its own on each machine, so it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
