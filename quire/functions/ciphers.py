@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 _PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
@@ -103,23 +104,73 @@ def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
     return bytes(s)
 
 
-def aes_cbc_encrypt(key: bytes, iv: bytes, data: bytes, pad: bool = True) -> bytes:
+@lru_cache(maxsize=1)
+def _native():
+    """The cipher functions of the system's libcrypto, which hashlib uses, too; None where there is none or they disagree."""
+    import ctypes
+    import ctypes.util
+
+    name = ctypes.util.find_library("crypto")
+    if not name:
+        return None
+    try:
+        lib = ctypes.CDLL(name)
+        for f in (lib.EVP_CIPHER_CTX_new, lib.EVP_aes_128_cbc, lib.EVP_aes_256_cbc):
+            f.restype = ctypes.c_void_p
+        lib.EVP_CipherInit_ex.argtypes = [ctypes.c_void_p] * 3 + [ctypes.c_char_p] * 2 + [ctypes.c_int]
+        lib.EVP_CipherUpdate.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_void_p, ctypes.c_char_p, ctypes.c_int]
+        lib.EVP_CIPHER_CTX_set_padding.argtypes = [ctypes.c_void_p, ctypes.c_int]
+        lib.EVP_CIPHER_CTX_free.argtypes = [ctypes.c_void_p]
+    except (OSError, AttributeError):
+        return None
+
+    def cbc(key: bytes, iv: bytes, data: bytes, encrypt: bool) -> bytes:
+        """Whole blocks, no padding."""
+        ctx, out, n = lib.EVP_CIPHER_CTX_new(), ctypes.create_string_buffer(len(data) + 32), ctypes.c_int(0)
+        try:
+            kind = lib.EVP_aes_128_cbc() if len(key) == 16 else lib.EVP_aes_256_cbc()
+            good = lib.EVP_CipherInit_ex(ctx, kind, None, key, iv, int(encrypt)) and lib.EVP_CIPHER_CTX_set_padding(ctx, 0)
+            good = good and lib.EVP_CipherUpdate(ctx, out, ctypes.byref(n), data, len(data))
+        finally:
+            lib.EVP_CIPHER_CTX_free(ctx)
+        if not good or n.value != len(data):
+            raise ValueError("the cipher failed")
+        return out.raw[: len(data)]
+
+    probe = bytes(range(64))
+    for key in (probe[:16], probe[:32]):
+        if cbc(key, probe[16:32], probe, True) != _plain_encrypt(key, probe[16:32], probe) or cbc(key, probe[16:32], probe, False) != _plain_decrypt(key, probe[16:32], probe):
+            return None
+    return cbc
+
+
+def _plain_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
     keys, out = _round_keys(key), []
-    if pad:
-        data += bytes([16 - len(data) % 16]) * (16 - len(data) % 16)
     for i in range(0, len(data), 16):
         iv = _encrypt_block(keys, bytes(a ^ b for a, b in zip(data[i : i + 16], iv)))
         out.append(iv)
     return b"".join(out)
 
 
-def aes_cbc_decrypt(key: bytes, iv: bytes, data: bytes, pad: bool = True) -> bytes:
+def _plain_decrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
     keys, out = _round_keys(key), []
     for i in range(0, len(data) - 15, 16):
         block = data[i : i + 16]
         out.append(bytes(a ^ b for a, b in zip(_decrypt_block(keys, block), iv)))
         iv = block
-    plain = b"".join(out)
+    return b"".join(out)
+
+
+def aes_cbc_encrypt(key: bytes, iv: bytes, data: bytes, pad: bool = True) -> bytes:
+    if pad:
+        data += bytes([16 - len(data) % 16]) * (16 - len(data) % 16)
+    native = _native() if len(key) in (16, 32) else None
+    return native(key, iv, data, True) if native and data else _plain_encrypt(key, iv, data)
+
+
+def aes_cbc_decrypt(key: bytes, iv: bytes, data: bytes, pad: bool = True) -> bytes:
+    native, data = _native() if len(key) in (16, 32) and len(iv) == 16 else None, data[: len(data) // 16 * 16]
+    plain = native(key, iv, data, False) if native and data else _plain_decrypt(key, iv, data)
     return plain[: -plain[-1]] if pad and plain and 1 <= plain[-1] <= 16 else plain
 
 

@@ -17,17 +17,29 @@ class Limits:
 
     head_share: float = 1.15
     head_chars: int = 120
+    label_chars: int = 40
     ranks: int = 3
     margin: float = 0.12
     repeats: float = 0.4
     pages: int = 3
     space: float = 0.12
     back: float = 0.5
+    band: float = 1.8
+    band_lines: float = 1.5
 
 
 LIMITS = Limits()
-BULLET = "^[ ]*(?:[•◦▪‣·*-]|[–—])[ ]+"
+# Fixed values, as patterns that all of Java, Python and RE2 read alike.
+#: Signs, private-use and dingbat characters, then numbers, lower-case letters and Roman numerals with a point or bracket.
+_SIGNS = "[•·▪‣◦■□▶►◆◇○●※\\-–—*]|[\ue000-\uf8ff]|[\u2700-\u27bf]"
+SIGN = f"^[ ]*(?:{_SIGNS})[ ]*"
+BULLET = f"^[ ]*(?:{_SIGNS}|[0-9]+[.)]|\\(?[a-z][.)]|\\(?[ivx]+[.)])[ ]*"
 NUMBERED = "^([0-9]+(?:[.][0-9]+)*)[.)]? "
+CAPTION = "^(?:[Ff][Ii][Gg](?:[Uu][Rr][Ee])?|[Tt][Aa][Bb][Ll][Ee]|[Tt][Aa][Bb]|[Ss][Cc][Hh][Ee][Mm][Ee]|[Cc][Hh][Aa][Rr][Tt]|그림|표|사진)[.]?[ ]*[0-9]+[.:]?[ ]"
+#: Three capitals in a row, no small letter, and a capital first, but for a section's number.
+CAPITALS, SMALL, BEGINS = "[A-Z][A-Z][A-Z]", "[a-z]", "^(?:[0-9]+(?:[.][0-9]+)*[ ]+)?[A-Z]"
+#: What a paragraph that is over ends with.
+ENDED = "[.!?:\"”)\\]]$"
 
 
 def half_points(size: Column) -> Column:
@@ -70,10 +82,9 @@ def without_running(line: DataFrame, height: float, limits: Limits = LIMITS) ->
 def is_heading(size: Column, body: Column, bold: Column, text: Column, limits: Limits = LIMITS) -> Column:
     """Taller than the body, or short capitals, or short, bold and without a sentence's end."""
     n = F.length(text)
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]", ""))
-    shout = (n <= 60) & (capitals >= 3) & (F.upper(text) == text)
+    shout = (n <= 60) & text.rlike(CAPITALS) & ~text.rlike(SMALL) & text.rlike(BEGINS)
     strong = (size >= 0.85 * body) & bold & (n < 80) & ~text.rlike("[.,;:]\\z")
-    return (n <= limits.head_chars) & (n > 0) & ((size > limits.head_share * body) | shout | strong)
+    return (n <= limits.head_chars) & (n > 0) & ~text.rlike(CAPTION) & ((size > limits.head_share * body) | shout | strong)
 
 
 def number_depth(text: Column) -> Column:
@@ -83,8 +94,9 @@ def number_depth(text: Column) -> Column:
 
 
 def list_item(text: Column) -> Column:
-    """A list item's text without its bullet; null if it has none."""
-    return F.when(text.rlike(BULLET), F.regexp_replace(text, BULLET, ""))
+    """A list item's text without its bullet; null if it has none, or nothing behind it."""
+    item = F.regexp_replace(text, BULLET, "")
+    return F.when(text.rlike(BULLET) & (item != ""), item)
 
 
 def hyphen_words(line: DataFrame) -> DataFrame:

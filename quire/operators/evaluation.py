@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quire.functions.scalars import squeeze
+from quire.functions.scalars import character_counts, squeeze
 
 
 def facts_found(blocks: DataFrame, facts: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def bag_agreement(mine: DataFrame, theirs: DataFrame, on: str) -> DataFrame:
     """on, precision, recall of the characters (but blanks) of two tables (on, text), as multisets."""
 
     def bag(df: DataFrame, name: str) -> DataFrame:
-        chars = F.explode(F.filter(F.split(F.regexp_replace("text", "[ \\t\\n\\r]+", ""), ""), lambda c: c != ""))
-        return df.select(on, chars.alias("ch")).groupBy(on, "ch").agg(F.count("*").alias(name))
+        counts = df.select(on, F.inline(character_counts(F.regexp_replace("text", "[ \\t\\n\\r]+", ""))))
+        return counts.groupBy(on, "ch").agg(F.sum("n").alias(name))
 
     j = bag(mine, "a").join(bag(theirs, "b"), [on, "ch"], "full").fillna(0, ["a", "b"])
     shared = F.sum(F.least("a", "b"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import formcalc
@@ -28,3 +28,13 @@ def recalculated(fields: DataFrame, documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "name", "value", "skipped"])
 
     return both.mapInPandas(run, "doc_id long, name string, value string, skipped boolean")
+
+
+def picked(buttons: DataFrame, group: list[str], button: str, on: Column) -> DataFrame:
+    """buttons with is_on and is_cleared: of the picked ones (on) of a group the last by button is on, and its siblings are cleared.
+
+    One row for each group with a pick; siblings are never paired."""
+    last = buttons.where(on).groupBy(*group).agg(F.max(button).alias("_on"))
+    j = buttons.join(last, group, "left")
+    same = F.col("_on") == F.col(button)
+    return j.withColumn("is_on", F.coalesce(same, F.lit(False))).withColumn("is_cleared", F.coalesce(~same, F.lit(False))).drop("_on")

@@ -11,10 +11,14 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from quire.operators.blocks import BULLET, LIMITS, NUMBERED
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from quire.operators.blocks import BEGINS, BULLET, CAPITALS, CAPTION, ENDED, LIMITS, NUMBERED, SIGN, SMALL
 
 _SPACES = re.compile("[\\s ﻿]+")
-MONO = re.compile(r"courier|mono|consol|typewriter|menlo", re.I)
+#: Fixed value.
+MONO = re.compile(r"courier|mono|sftt|consolas|menlo|typewriter|cmtt|lucidacon", re.I)
 
 
 def upper_middle(values: list[float]) -> float:
@@ -34,17 +38,43 @@ def within_page(p: dict, page: dict) -> bool:
     return p["x"] + w > page["x0"] - 2 and p["x"] < page["x0"] + page["w"] + 2 and page["y0"] - p["size"] <= p["y"] <= page["y0"] + page["h"] + p["size"]
 
 
+class Printed:
+    """What is on a page already, to tell what is printed over it again."""
+
+    def __init__(self):
+        self.kept: dict[str, list[tuple[float, float, float]]] = {}
+
+    def again(self, text: str, size: float, x: float, y: float) -> bool:
+        near, own = max(0.5, 0.15 * size), self.kept.setdefault(text, [])
+        for s, u, v in own:
+            if abs(s - size) < 0.1 and abs(u - x) < near and abs(v - y) < near:
+                return True
+        own.append((size, x, y))
+        return False
+
+
 def without_doubles(pieces: list[dict]) -> list[dict]:
     """Pieces but for those printed again over an earlier kept one."""
-    kept: dict[str, list[dict]] = defaultdict(list)
-    out = []
-    for p in pieces:
-        near = max(0.5, 0.15 * p["size"])
-        if any(abs(q["size"] - p["size"]) < 0.1 and abs(q["x"] - p["x"]) < near and abs(q["y"] - p["y"]) < near for q in kept[p["text"]]):
-            continue
-        kept[p["text"]].append(p)
-        out.append(p)
-    return out
+    page = Printed()
+    return [p for p in pieces if not page.again(p["text"], p["size"], p["x"], p["y"])]
+
+
+def pieces_without_doubles(pieces: DataFrame, group: list[str], order: str) -> DataFrame:
+    """pieces (text, size, x, y, …) but for those printed again over an earlier kept one of their group: a fold over its pieces in order, as they stream by."""
+    schema = pieces.schema
+    at = [schema.names.index(c) for c in (*group, "text", "size", "x", "y")]
+
+    def run(it):
+        last, page = None, None
+        for b in it:
+            keep = []
+            for *key, text, size, x, y in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                if key != last:
+                    last, page = key, Printed()
+                keep.append(not page.again(text, size, x, y))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return pieces.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(run, schema)
 
 
 def spaced(a: dict, b: dict) -> bool:
@@ -136,14 +166,12 @@ def _columns(runs: list[dict]) -> list[list[dict]] | None:
     if any(len(s) < 3 or len({round(p["_v"] / max(1, height)) for p in s}) < 4 for s in (left, right)) or _rows_align(lines, height):
         return None
     out: list[list[dict]] = []
-    tops = sorted((max(p["_v"] for p in line), line) for line in spans) if spans else []
     above = math.inf
     for v, line in sorted(((max(p["_v"] for p in ln), ln) for ln in spans), key=lambda t: -t[0]):
         for side in (left, right):
             out.append([p for p in side if v < p["_v"] <= above])
         out.append(line)
         above = v
-    del tops
     for side in (left, right):
         out.append([p for p in side if p["_v"] <= above])
     return [g for g in out if g]
@@ -379,23 +407,77 @@ def settled(blocks: list[dict]) -> list[dict]:
     return out
 
 
+def in_figures(lines: list[dict], geom: dict[int, list[dict]]) -> set[tuple[int, int]]:
+    """Short lines over a box that is a figure's: three lines high, or with eight painted shapes or more around."""
+    out = set()
+    for n in {x["page_no"] for x in lines}:
+        boxes = [g for g in geom.get(n, []) if g["kind"] == "box"]
+        shapes = [((g["x0"] + g["x1"]) / 2, (g["y0"] + g["y1"]) / 2) for g in geom.get(n, []) if g["kind"] == "mark" and min(abs(g["x1"] - g["x0"]), abs(g["y1"] - g["y0"])) >= 3]
+        for x in lines if boxes else []:
+            if x["page_no"] != n or len(x["text"]) > LIMITS.label_chars:
+                continue
+            foot, base = x["y"] + 1.3 * x["size"], x["y"] + x["size"]
+            over = [g for g in boxes if x["x"] + x["w"] > g["x0"] - 2 and x["x"] < g["x1"] + 2 and foot > g["y0"] - 2 and x["y"] < g["y1"] + 2]
+            if any(g["y1"] - g["y0"] >= 3 * x["size"] for g in over) or over and sum(abs(v - base) < 160 and abs(u - x["x"]) < 260 for u, v in shapes) >= 8:
+                out.add((n, x["line_id"]))
+    return out
+
+
+def in_paragraphs(lines: list[dict]) -> set[tuple[int, int]]:
+    """Lines that stand with others of their size, close and one above the other: three or more, or two with over 100 characters.
+
+    A short line and its neighbours must be equally bold, too; a long one belongs to its neighbours however bold they are.
+    """
+    out = set()
+    for short in (True, False):
+        island: list[dict] = []
+        for x in [*lines, None]:
+            if island and x is not None and _beside(island[-1], x) and (not short or island[-1]["bold"] == x["bold"]):
+                island.append(x)
+                continue
+            if len(island) >= 3 or len(island) == 2 and sum(len(y["text"]) for y in island) > 100:
+                out |= {(y["page_no"], y["line_id"]) for y in island if (len(y["text"]) <= LIMITS.label_chars) == short}
+            island = [] if x is None else [x]
+    return out
+
+
+def _beside(a: dict, b: dict) -> bool:
+    overlap = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
+    step = abs(b["y"] + b["size"] - a["y"] - a["size"])
+    return a["page_no"] == b["page_no"] and abs(a["size"] - b["size"]) < 0.3 and overlap > 0 and 0.3 * b["size"] < step < 1.8 * b["size"]
+
+
+def _unturned(lines: list[dict]) -> list[dict]:
+    """Lines but for turned ones, on pages that are not turned for the most part."""
+    turned, every = Counter(), Counter()
+    for x in lines:
+        every[x["page_no"]] += len(x["text"])
+        turned[x["page_no"]] += len(x["text"]) * (abs(x["angle"]) > 0.1)
+    return [x for x in lines if abs(x["angle"]) <= 0.1 or 2 * turned[x["page_no"]] > every[x["page_no"]]]
+
+
 def document_blocks(lines: list[dict], pages: dict[int, dict], geom: dict[int, list[dict]] | None = None) -> list[dict]:
     """Blocks of a document's lines (with page_no): headings, paragraphs, items, code and tables.
 
-    geom: rules and boxes by page, for tables that have them."""
-    upright = [x for x in lines if abs(x["angle"]) < 0.01] or lines
+    geom: rules, boxes and marks by page, for tables and figures that have them."""
+    upright = _unturned(lines)
     if not upright:
         return []
     body = weighted((math.floor(x["size"] * 2 + 0.5) / 2, len(x["text"])) for x in upright)
     gone = _running(upright, pages)
     kept = [x for x in upright if (x["page_no"], x["line_id"]) not in gone]
+    figures = in_figures(kept, geom or {})
+    # Axis labels are no text.
+    kept = [x for x in kept if (x["page_no"], x["line_id"]) not in figures or any(map(str.isalpha, x["text"]))]
+    close = in_paragraphs(kept)
     known = {w for x in kept for w in re.findall("[a-z]+-[a-z]+", x["text"].lower())}
-    sizes = sorted({math.floor(x["size"] * 2 + 0.5) / 2 for x in kept if x["size"] > LIMITS.head_share * body and len(x["text"]) <= LIMITS.head_chars}, reverse=True)[: LIMITS.ranks]
+    tall = {math.floor(x["size"] * 2 + 0.5) / 2 for x in kept if (x["page_no"], x["line_id"]) not in figures and x["size"] > LIMITS.head_share * body and len(x["text"]) <= LIMITS.head_chars}
+    sizes = sorted(tall, reverse=True)[: LIMITS.ranks]
     ruled: dict[tuple[int, int], dict] = {}
     for n, g in (geom or {}).items():
         for t in ruled_tables([x for x in kept if x["page_no"] == n], g):
             ruled |= {(n, i): t for i in t["lines"]}
-    plain = [x if (x["page_no"], x["line_id"]) not in ruled else x | {"cells": x["cells"][:1]} for x in kept]
+    plain = [x if (x["page_no"], x["line_id"]) not in ruled | dict.fromkeys(figures) else x | {"cells": x["cells"][:1]} for x in kept]
     tables = _tables(plain, body)
     out: list[dict] = []
     shown: set[int] = set()
@@ -413,6 +495,7 @@ def document_blocks(lines: list[dict], pages: dict[int, dict], geom: dict[int, l
 
     while i < len(kept):
         x = kept[i]
+        at = (x["page_no"], x["line_id"])
         if i in tables:
             n, rows = tables[i]
             b = add("table", x, rows=rows)
@@ -421,16 +504,15 @@ def document_blocks(lines: list[dict], pages: dict[int, dict], geom: dict[int, l
             i, last = i + n, None
             continue
         i += 1
-        if (t := ruled.get((x["page_no"], x["line_id"]))) is not None:
+        if (t := ruled.get(at)) is not None:
             if id(t) not in shown:
                 shown.add(id(t))
                 add("table", x, rows=t["rows"], bbox=t["bbox"])
             last = None
             continue
-        if not re.search(r"\w", x["text"]):
-            continue
         gap = x["y"] - last["y"] - last["size"] if last and last["page_no"] == x["page_no"] else None
         here = out[-1] if out else None
+        bullet = re.match(BULLET, x["text"])
         if x["mono"]:
             pad = " " * max(0, math.floor((x["x"] - (here["bbox"][0] if here and here["kind"] == "code" else x["x"])) / (0.6 * x["size"]) + 0.5))
             if here and here["kind"] == "code" and gap is not None:
@@ -438,31 +520,31 @@ def document_blocks(lines: list[dict], pages: dict[int, dict], geom: dict[int, l
                 grow(here, x)
             else:
                 add("code", x, text=x["text"])
-        elif _heads(x, body):
+        elif not any(map(str.isalnum, x["text"])):
+            continue
+        elif at not in figures and at not in close and not (re.match(SIGN, x["text"]) and len(x["text"]) > 2) and _heads(x, body):
             numbered = re.match(NUMBERED, x["text"])
-            key = math.floor(x["size"] * 2 + 0.5) / 2
-            rank = next((k + 1 for k, s in enumerate(sizes) if abs(s - key) <= 0.26), len(sizes) + 1)
-            level = min(4, numbered[1].count(".") + 1) if numbered else min(4, rank)
-            if here and here["kind"] == "heading" and not numbered and gap is not None and gap < 0.6 * x["size"] and here["level"] == level and abs(here["bbox"][0] - x["x"]) < 30:
+            level = heading_level(x, sizes)
+            if here and here["kind"] == "heading" and not numbered and gap is not None and gap < 0.6 * x["size"] and level >= here["level"] and abs(here["bbox"][0] - x["x"]) < 30:
                 here["text"] += " " + x["text"]
                 grow(here, x)
             else:
                 add("heading", x, level=level, text=x["text"])
-        elif re.match(BULLET, x["text"]):
-            item = re.sub(BULLET, "", x["text"])
-            if here and here["kind"] == "list" and (gap is None or gap < 1.5 * x["size"]):
+        elif bullet and len(x["text"]) > bullet.end():
+            item = x["text"][bullet.end() :].strip()
+            if here and here["kind"] == "list" and here["page_no"] == x["page_no"]:
                 here["items"].append(item)
                 grow(here, x)
             else:
-                add("list", x, items=[item])
-        elif here and here["kind"] == "list" and gap is not None and gap < 0.9 * x["size"] and x["x"] > here["bbox"][0] + 0.5 * x["size"]:
+                here = add("list", x, items=[item])
+            here["_x"] = x["x"]
+        elif here and here["kind"] == "list" and gap is not None and gap < 0.9 * x["size"] and x["x"] > here["_x"] + 0.5 * x["size"]:
             here["items"][-1] = _hyphenless(here["items"][-1], x["text"], known)
             grow(here, x)
         elif here and here["kind"] == "para" and gap is not None and gap <= 0.9 * x["size"] and -3 * x["size"] <= x["x"] - here["_x"] <= 1.2 * x["size"]:
             here["text"] = _hyphenless(here["text"], x["text"], known)
-            here["_x"] = x["x"]
             grow(here, x)
-        elif here and here["kind"] == "para" and here["page_no"] != x["page_no"] and not re.search(r"[.!?:;]$", here["text"]) and re.match("[a-z]", x["text"]):
+        elif here and here["kind"] == "para" and here["page_no"] != x["page_no"] and not re.search(ENDED, here["text"]) and re.match("[a-z]", x["text"]):
             here["text"] = _hyphenless(here["text"], x["text"], known)
         else:
             add("para", x, text=x["text"])["_x"] = x["x"]
@@ -474,13 +556,29 @@ def document_blocks(lines: list[dict], pages: dict[int, dict], geom: dict[int, l
     return out
 
 
+def heading_level(x: dict, sizes: list[float]) -> int:
+    """By the parts of a leading number, or the rank of the size; a bold line of no rank comes after all ranks, another is second."""
+    if numbered := re.match(NUMBERED, x["text"]):
+        return min(4, numbered[1].count(".") + 1)
+    rank = next((k + 1 for k, s in enumerate(sizes) if abs(s - x["size"]) < 0.26), len(sizes) + 1 if x["bold"] else 2)
+    return min(4, rank)
+
+
 def _heads(x: dict, body: float) -> bool:
     t = x["text"]
-    if not 0 < len(t) <= LIMITS.head_chars or re.match(r"(?:Figure|Fig\.|Table) [0-9]", t):
+    if not 0 < len(t) <= LIMITS.head_chars or re.match(CAPTION, t):
         return False
-    shout = len(t) <= 60 and sum(c.isupper() for c in t) >= 3 and t.upper() == t
+    shout = len(t) <= 60 and re.search(CAPITALS, t) and not re.search(SMALL, t) and re.match(BEGINS, t)
     strong = x["size"] >= 0.85 * body and x["bold"] and len(t) < 80 and t[-1] not in ".,;:"
-    return x["size"] > LIMITS.head_share * body or shout or strong
+    return bool(x["size"] > LIMITS.head_share * body or shout or strong)
+
+
+def guessed_level(lines: list[dict], body: float, sizes: list[float]) -> int:
+    """For a tagged document without headings: the level of a paragraph of these lines, 0 if it is none."""
+    x = lines[0]
+    if len(lines) > 2 or not _heads(x, body) or any(y["size"] < LIMITS.head_share * body and not y["bold"] for y in lines) or abs(lines[-1]["size"] - x["size"]) > 0.5:
+        return 0
+    return heading_level(x, sizes)
 
 
 def _hyphenless(a: str, b: str, known: set[str]) -> str:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
-from quire.operators.reading import _SPACES, joined
+from quire.operators.reading import _SPACES, LIMITS, guessed_level, joined, weighted
 
 PARA = {"P", "Note", "Caption", "BlockQuote", "Quote", "FENote", "BibEntry", "Formula", "Lbl"}
 CONTAINERS = {"Document", "Part", "Art", "Sect", "Div", "NonStruct", "Private", "Index", "TOCI", "THead", "TBody", "TFoot", ""}
@@ -109,12 +110,32 @@ def tagged_blocks(nodes: list[dict], pieces: list[dict], lines: list[dict]) -> l
 
     for n in kids[None]:
         walk(n, 0)
+    if not any(b["kind"] == "heading" for b in out):
+        _guess_headings(out, lines)
     _leftovers(out, lines, {(n["page_no"] or 1, n["mcid"]) for n in nodes if n["mcid"] >= 0})
     for k, b in enumerate(out):
         b["block_id"] = k
     return out
 
 
+def _guess_headings(out: list[dict], lines: list[dict]) -> None:
+    """A tree without headings: paragraphs of one or two lines that look like headings become some."""
+    if not lines:
+        return
+    half = lambda x: math.floor(x["size"] * 2 + 0.5) / 2
+    body = weighted((half(x), len(x["text"])) for x in lines)
+    sizes = sorted({half(x) for x in lines if x["size"] > LIMITS.head_share * body and len(x["text"]) <= LIMITS.head_chars}, reverse=True)[: LIMITS.ranks]
+    by_text: dict[tuple[int, str], list[dict]] = {}
+    for a, b in zip(lines, [*lines[1:], None]):
+        by_text.setdefault((a["page_no"], a["text"]), [a])
+        if b is not None and a["page_no"] == b["page_no"]:
+            by_text.setdefault((a["page_no"], a["text"] + " " + b["text"]), [a, b])
+    for b in out:
+        own = by_text.get((b["page_no"], b["text"])) if b["kind"] == "para" else None
+        if own and (level := guessed_level(own, body, sizes)):
+            b |= {"kind": "heading", "level": level}
+
+
 def _leftovers(out: list[dict], lines: list[dict], known: set[tuple[int, int]]) -> None:
     """Lines that the tree does not know, and that are no artifacts, as paragraphs after their page's blocks."""
     free: list[dict] = []

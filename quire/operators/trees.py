@@ -1,24 +1,22 @@
-"""Trees and graphs over tables of edges, by recursive queries and frontier joins."""
+"""Trees and graphs over tables of edges, by frontier joins."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import Scratch
 
 
-def reachable(edges: DataFrame, roots: DataFrame, group: str, most: int = 64) -> DataFrame:
-    """group, node: what edges (group, src, dst) lead to from roots (group, node), roots included.
+def reachable(edges: DataFrame, roots: DataFrame, group: str, most: int | None = None) -> DataFrame:
+    """group, node: what edges (group, src, dst) lead to from roots (group, node), roots included; in at most so many steps, if most is given.
 
     A frontier goes on from what is new in each round, so cycles end.
     """
     scratch = Scratch(edges.sparkSession, "reach")
     seen = scratch.write(roots.select(group, "node").distinct(), "r0")
     front, k = seen, 0
-    while k < most and front.head(1):
+    while (most is None or k < most) and front.head(1):
         k += 1
         new = front.join(edges, (front[group] == edges[group]) & (front["node"] == edges["src"])).select(front[group], edges["dst"].alias("node")).distinct()
         front = scratch.write(new.join(seen, [group, "node"], "left_anti"), f"f{k}")
@@ -26,20 +24,23 @@ def reachable(edges: DataFrame, roots: DataFrame, group: str, most: int = 64) ->
     return seen
 
 
-def walked(nodes: DataFrame, most: int = 16) -> DataFrame:
+def walked(nodes: DataFrame, most: int | None = None) -> DataFrame:
     """nodes (tree, id, parent, ord) in preorder: with depth (from 0) and path, the array of ords from the root.
 
-    parent null: a root. Sort by path for the order.
+    parent null: a root. Sort by path for the order. A node has one parent, so levels end; most bounds them where a format
+    does. Nodes are dealt out by parent once, and each level joins them where they are.
     """
-    spark, v = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(v)
-    sql = f"""
-    WITH RECURSIVE t(tree, id, parent, depth, path) MAX RECURSION LEVEL {most + 2} AS (
-      SELECT tree, id, parent, 0, array(ord) FROM {v} WHERE parent IS NULL
-      UNION ALL
-      SELECT n.tree, n.id, n.parent, t.depth + 1, concat(t.path, array(n.ord)) FROM t JOIN {v} n ON n.tree = t.tree AND n.parent = t.id WHERE t.depth < {most})
-    SELECT * FROM t"""
-    return spark.sql(sql)
+    scratch = Scratch(nodes.sparkSession, "walk")
+    held = nodes.select("tree", "id", "parent", "ord").where("parent is not null").repartition("tree", "parent").persist()
+    front = scratch.write(nodes.where("parent is null").select("tree", "id", "parent", F.lit(0).alias("depth"), F.array("ord").alias("path")), "level0")
+    out, k = front, 0
+    while (most is None or k < most) and front.head(1):
+        k += 1
+        up = front.select("tree", F.col("id").alias("parent"), F.col("path").alias("_path"))
+        front = scratch.write(held.join(up, ["tree", "parent"]).select("tree", "id", "parent", F.lit(k).alias("depth"), F.concat("_path", F.array("ord")).alias("path")), f"level{k}")
+        out = out.unionByName(front)
+    held.unpersist()
+    return out
 
 
 def inherited(nodes: DataFrame, value: str, most: int = 8) -> DataFrame:
@@ -51,16 +52,17 @@ def inherited(nodes: DataFrame, value: str, most: int = 8) -> DataFrame:
     return out.select("tree", "id", F.col("_v").alias(value))
 
 
-def parents_by_depth(df: DataFrame, group: str, order: str, depth: str, most: int = 32) -> DataFrame:
+def parents_by_depth(df: DataFrame, group: str, order: str, depth: str) -> DataFrame:
     """df with parent: of a preorder list with depths, the last row before with a depth one less.
 
-    One pass: the last row of each depth is carried along.
+    Each row stands twice in one sort: where its children look, and where it looks itself. Any depth will do.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*(F.last(F.when(F.col(depth) == d, F.col(order)), ignorenulls=True).over(w) for d in range(most)))
-    return df.withColumn("_last", last).withColumn("parent", F.when(F.col(depth) > 0, F.get("_last", (F.col(depth) - 1).cast("int")))).drop("_last")
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    sides = F.array(F.struct((F.col(depth) + 1).cast("long").alias("_d"), F.lit(True).alias("_up")), F.struct(F.col(depth).cast("long").alias("_d"), F.lit(False).alias("_up")))
+    both = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), own.alias("_row"), F.inline(sides))
+    w = Window.partitionBy("_g", "_d").orderBy("_o", "_up").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_parent", F.last(F.when(F.col("_up"), F.col("_o")), ignorenulls=True).over(w)).where(~F.col("_up"))
+    return found.select("_row.*", F.when(F.col("_d") > 0, F.col("_parent")).alias("parent"))
 
 
 def chased(df: DataFrame, col: str, mapping: DataFrame, hops: int = 4) -> DataFrame:

@@ -23,10 +23,11 @@ def top_one(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(_by(group, *order))).where("_n = 1").drop("_n")
 
 
-def upper_median(value: Column) -> Column:
-    """Aggregate: the middle value, of two the upper one."""
-    a = F.array_sort(F.collect_list(value))
-    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
+def upper_median(value: str) -> Column:
+    """Aggregate: the middle of a numeric column, of two values the upper one.
+
+    Values are counted before they are shuffled, so a group costs its distinct values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def islands(df: DataFrame, group: list[str], order: list[str], begins: Column, name: str = "island") -> DataFrame:
@@ -56,16 +57,18 @@ def ranked_distinct(df: DataFrame, group: list[str], key: str, most: int) -> Dat
     return d.withColumn("rnk", F.dense_rank().over(_by(group, F.desc(key))).cast("long")).where(F.col("rnk") <= most)
 
 
-def merged_intervals(df: DataFrame, group: list[str], start: str, end: str, slack: float) -> DataFrame:
-    """group, start, end, n: intervals that overlap, or touch within slack, as one."""
-    w = [start, end]
+def merged_intervals(df: DataFrame, group: list[str], start: str, end: str, slack: float, tie: list[str]) -> DataFrame:
+    """group, start, end, n: intervals that overlap, or touch within slack, as one.
+
+    tie: what tells equal intervals of a group apart, as their order must be the same in every step."""
+    w = [start, end, *tie]
     far = F.col(start) > reach(end, group, w) + slack
     return islands(df, group, w, far).groupBy(*group, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("island")
 
 
-def gaps(df: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
+def gaps(df: DataFrame, group: list[str], start: str, end: str, tie: list[str]) -> DataFrame:
     """group, start, end: what no interval covers between the first and the last."""
-    m = merged_intervals(df, group, start, end, 0)
+    m = merged_intervals(df, group, start, end, 0, tie)
     nxt = F.lead("start").over(_by(group, "start"))
     return m.withColumn("_next", nxt).where(F.col("_next") > F.col("end")).select(*group, F.col("end").alias("start"), F.col("_next").alias("end"))
 

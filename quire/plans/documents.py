@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import filters, formcalc
 from quire.operators import reading, writer
+from quire.session import Scratch
 from quire.sources.pdf import reader
 from quire.sources.pdf.objects import Name, Ref, Stream
 from quire.sources.synthetic import lines, words
@@ -72,23 +73,25 @@ def pdf_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(ln, "doc_id").select("doc_id", "n_pages", "n_lines", "n_words")
 
 
-@query(f"SELECT doc_id, CAST(n AS INTEGER) AS page_no, CAST(least({PER_PAGE}, total - {PER_PAGE} * (n - 1)) AS BIGINT) AS n_rows FROM (SELECT doc_id, len(string_split(text, chr(10))) AS total, unnest(generate_series(1, (len(string_split(text, chr(10))) + {PER_PAGE - 1}) // {PER_PAGE})) AS n FROM documents)")
+_ROWS = f"rows AS (SELECT doc_id, n - 1 AS line_no, CAST((n - 1) // {PER_PAGE} + 1 AS INTEGER) AS page_no, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents))"
+
+
+@query(f"WITH {_ROWS} SELECT doc_id, page_no, count(*) FILTER (WHERE t <> '') AS n_shown FROM rows GROUP BY 1, 2")
 def pdf_operations(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows shown on a page: text operations, and of blank rows none, so they are counted from the content's BT."""
+    """Text operations of every page: one for each of its rows that is not empty."""
     raw = typeset_documents(spark, sf)
-    shown = reader.table(raw, "ops").where("code = 17").groupBy("doc_id", "page_no").agg(F.count("*").alias("shown"))
-    ln = lines(spark, sf).withColumn("page_no", (F.floor(F.col("line_no") / PER_PAGE) + 1).cast("int"))
-    blank = ln.where("text = ''").groupBy("doc_id", "page_no").agg(F.count("*").alias("blank"))
+    shown = reader.table(raw, "ops").where("code = 17").groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
     pages = reader.table(raw, "pages").select("doc_id", "page_no")
-    both = pages.join(shown, ["doc_id", "page_no"], "left").join(blank, ["doc_id", "page_no"], "left")
-    return both.select("doc_id", "page_no", (F.coalesce("shown", F.lit(0)) + F.coalesce("blank", F.lit(0))).alias("n_rows"))
+    return pages.join(shown, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.coalesce("n", F.lit(0)).alias("n_shown"))
 
 
-@query("SELECT doc_id, CAST(count(*) AS INTEGER) AS n_pages FROM (SELECT doc_id, unnest([3, 1, 1, 2]) AS p, (len(string_split(text, chr(10))) + 49) // 50 AS n FROM documents) WHERE p <= n GROUP BY 1")
+@query("SELECT doc_id, CAST(count(*) AS INTEGER) AS n_pages, true AS locked FROM (SELECT doc_id, unnest([3, 1, 1, 2]) AS p, (len(string_split(text, chr(10))) + 49) // 50 AS n FROM documents) WHERE p <= n GROUP BY 1")
 def pdf_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages 3, 1, 1 and 2 of every file, written anew, turned, encrypted and read again with the password."""
-    built = reader.build(typeset_documents(spark, sf), pick=[3, 1, 1, 2], turn=90)
-    return reader.table(built, "documents").select("doc_id", "n_pages")
+    """Pages 3, 1, 1 and 2 of every file, written anew, turned, encrypted and read again with the password; without it they are locked."""
+    built = Scratch(spark, "built").write(reader.build(typeset_documents(spark, sf), pick=[3, 1, 1, 2], turn=90, encrypt="pass"), "files")
+    opened = reader.table(built, "pages", password="pass").where("rot = 90").groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
+    errors = reader.table(built, "errors").select("doc_id", F.col("reason").startswith("PasswordNeeded").alias("locked"))
+    return opened.join(errors, "doc_id").select("doc_id", "n_pages", "locked")
 
 
 VOLUME = 64

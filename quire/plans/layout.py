@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import scalars as fn
 from quire.operators import blocks as bl
-from quire.operators import joins, trees
+from quire.operators import joins, reading, trees
 from quire.operators import windows as win
+from quire.operators.blocks import LIMITS
 from quire.sources.synthetic import LINE, WORD, lines, words
 
 HEIGHT = 700.0
@@ -64,16 +65,16 @@ def heading_level(spark: SparkSession, sf: str) -> DataFrame:
     return ln.select("doc_id", "line_no", bl.number_depth(text).alias("level"))
 
 
-@query(f"WITH {LINE}, {BODY} SELECT doc_id, line_no FROM line JOIN body USING (doc_id) WHERE length(text) BETWEEN 1 AND 120 AND (size > 1.15 * body OR (length(text) <= 60 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) >= 3 AND upper(text) = text) OR (size >= 0.85 * body AND bold AND length(text) < 80 AND NOT regexp_matches(text, '[.,;:]$')))")
+@query(f"WITH {LINE}, {BODY} SELECT doc_id, line_no FROM line JOIN body USING (doc_id) WHERE length(text) BETWEEN 1 AND 120 AND NOT regexp_matches(text, '{bl.CAPTION}') AND (size > 1.15 * body OR (length(text) <= 60 AND regexp_matches(text, '{bl.CAPITALS}') AND NOT regexp_matches(text, '{bl.SMALL}') AND regexp_matches(text, '{bl.BEGINS}')) OR (size >= 0.85 * body AND bold AND length(text) < 80 AND NOT regexp_matches(text, '[.,;:]$')))")
 def is_heading(spark: SparkSession, sf: str) -> DataFrame:
     ln = lines(spark, sf)
     body = bl.body_size(ln).select("doc_id", F.col("key").alias("body"))
     return ln.join(body, "doc_id").where(bl.is_heading(F.col("size"), F.col("body"), F.col("bold"), F.col("text"))).select("doc_id", "line_no")
 
 
-@query(f"WITH {LINE}, t AS (SELECT doc_id, line_no, concat(CASE line_no % 4 WHEN 0 THEN '• ' WHEN 1 THEN '  - ' WHEN 2 THEN '– ' ELSE '' END, text) AS text FROM line) SELECT doc_id, line_no, regexp_replace(text, '^[ ]*(?:[•◦▪‣·*-]|[–—])[ ]+', '') AS item FROM t WHERE regexp_matches(text, '^[ ]*(?:[•◦▪‣·*-]|[–—])[ ]+')")
+@query(f"WITH {LINE}, t AS (SELECT doc_id, line_no, concat(CASE line_no % 4 WHEN 0 THEN '• ' WHEN 1 THEN '  - ' WHEN 2 THEN concat(CAST(line_no AS VARCHAR), '. ') ELSE '' END, text) AS text FROM line) SELECT doc_id, line_no, regexp_replace(text, '{bl.BULLET}', '') AS item FROM t WHERE regexp_matches(text, '{bl.BULLET}') AND regexp_replace(text, '{bl.BULLET}', '') <> ''")
 def bullets_strip(spark: SparkSession, sf: str) -> DataFrame:
-    mark = F.when(F.col("line_no") % 4 == 0, "• ").when(F.col("line_no") % 4 == 1, "  - ").when(F.col("line_no") % 4 == 2, "– ").otherwise("")
+    mark = F.when(F.col("line_no") % 4 == 0, "• ").when(F.col("line_no") % 4 == 1, "  - ").when(F.col("line_no") % 4 == 2, F.concat(F.col("line_no").cast("string"), F.lit(". "))).otherwise("")
     return lines(spark, sf).select("doc_id", "line_no", bl.list_item(F.concat(mark, "text")).alias("item")).where("item is not null")
 
 
@@ -110,14 +111,14 @@ def space_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("doc_id", "line_no", "word_no", F.round("gap", 4).alias("gap"), bl.needs_space(F.col("gap"), F.col("size")).alias("spaced"))
 
 
-@query(f"WITH {LINE}, t AS (SELECT doc_id, page_no, line_no, y + CASE WHEN line_no % 5 = 0 THEN 9 ELSE 0 END AS y, size FROM line), g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y, line_no) AS gap FROM t), m AS (SELECT doc_id, page_no, list_sort(list(gap))[len(list(gap)) // 2 + 1] AS gap_mid, list_sort(list(size))[len(list(size)) // 2 + 1] AS size_mid FROM g WHERE gap IS NOT NULL GROUP BY 1, 2), f AS (SELECT g.doc_id, g.page_no, g.line_no, g.y, CASE WHEN gap > greatest(1.1 * gap_mid, 1.5 * size_mid) THEN 1 ELSE 0 END AS cut FROM g LEFT JOIN m USING (doc_id, page_no)) SELECT doc_id, page_no, line_no, CAST(sum(cut) OVER (PARTITION BY doc_id, page_no ORDER BY y, line_no) AS BIGINT) AS band FROM f")
+@query(f"WITH {LINE}, t AS (SELECT doc_id, page_no, line_no, y + 16 * (line_no % 40 // 5) AS y, size FROM line), g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y, line_no) AS gap FROM t), m AS (SELECT doc_id, page_no, list_sort(list(gap))[len(list(gap)) // 2 + 1] AS gap_mid, list_sort(list(size))[len(list(size)) // 2 + 1] AS size_mid FROM g WHERE gap IS NOT NULL GROUP BY 1, 2), f AS (SELECT g.doc_id, g.page_no, g.line_no, g.y, CASE WHEN gap > greatest(1.8 * gap_mid, 1.5 * size_mid) THEN 1 ELSE 0 END AS cut FROM g LEFT JOIN m USING (doc_id, page_no)) SELECT doc_id, page_no, line_no, CAST(sum(cut) OVER (PARTITION BY doc_id, page_no ORDER BY y, line_no) AS BIGINT) AS band FROM f")
 def bands(spark: SparkSession, sf: str) -> DataFrame:
-    ln = lines(spark, sf).withColumn("y", F.col("y") + F.when(F.col("line_no") % 5 == 0, 9).otherwise(0))
+    ln = lines(spark, sf).withColumn("y", F.col("y") + 16 * F.floor(F.col("line_no") % 40 / 5))
     page, order = ["doc_id", "page_no"], ["y", "line_no"]
     g = ln.withColumn("gap", F.col("y") - win.previous("y", page, order))
-    mid = g.where("gap is not null").groupBy(*page).agg(win.upper_median(F.col("gap")).alias("gap_mid"), win.upper_median(F.col("size")).alias("size_mid"))
+    mid = g.where("gap is not null").groupBy(*page).agg(win.upper_median("gap").alias("gap_mid"), win.upper_median("size").alias("size_mid"))
     g = g.join(mid, page, "left")
-    cut = F.col("gap") > F.greatest(1.1 * F.col("gap_mid"), 1.5 * F.col("size_mid"))
+    cut = F.col("gap") > F.greatest(LIMITS.band * F.col("gap_mid"), LIMITS.band_lines * F.col("size_mid"))
     return win.islands(g, page, order, cut, "band").select(*page, "line_no", "band")
 
 
@@ -157,13 +158,13 @@ def gutters(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", "page_no", (F.col("bin") + 1).alias("from_bin"), (nxt - 1).alias("to_bin")).where("to_bin >= from_bin")
 
 
-@query(f"WITH {LINE}, t AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS p, lag(page_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS pp FROM (SELECT doc_id, line_no, page_no, regexp_replace(text, '[.]$', CASE WHEN line_no % 40 = 39 THEN '' ELSE '.' END) AS text FROM line)), i AS (SELECT doc_id, line_no, text, sum(CASE WHEN p IS NULL OR NOT (pp <> page_no AND NOT regexp_matches(p, '[.!?:;]$') AND regexp_matches(lower(text), '^[a-z]')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM t) SELECT doc_id, CAST(island - 1 AS BIGINT) AS para, count(*) AS n, string_agg(text, ' ' ORDER BY line_no) AS text FROM i GROUP BY 1, 2")
+@query(f"WITH {LINE}, t AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS p, lag(page_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS pp FROM (SELECT doc_id, line_no, page_no, regexp_replace(text, '[.]$', CASE WHEN line_no % 40 = 39 THEN '' ELSE '.' END) AS text FROM line)), i AS (SELECT doc_id, line_no, text, sum(CASE WHEN p IS NULL OR NOT (pp <> page_no AND NOT regexp_matches(p, '{bl.ENDED}') AND regexp_matches(lower(text), '^[a-z]')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM t) SELECT doc_id, CAST(island - 1 AS BIGINT) AS para, count(*) AS n, string_agg(text, ' ' ORDER BY line_no) AS text FROM i GROUP BY 1, 2")
 def para_join_cross_page(spark: SparkSession, sf: str) -> DataFrame:
     ln = lines(spark, sf)
     text = F.when(F.col("line_no") % 40 == 39, F.regexp_replace("text", "[.]\\z", "")).otherwise(F.col("text"))
     ln = ln.withColumn("text", text)
     p, pp = (win.previous(c, ["doc_id"], ["line_no"]) for c in ("text", "page_no"))
-    ln = ln.withColumn("_goes_on", (pp != F.col("page_no")) & ~p.rlike("[.!?:;]\\z") & F.lower("text").rlike("^[a-z]"))
+    ln = ln.withColumn("_goes_on", (pp != F.col("page_no")) & ~p.rlike(bl.ENDED) & F.lower("text").rlike("^[a-z]"))
     i = win.islands(ln, ["doc_id"], ["line_no"], ~F.col("_goes_on"), "para")
     return i.groupBy("doc_id", "para").agg(F.count("*").alias("n"), win.joined_text("text", ["line_no"], " ").alias("text"))
 
@@ -192,10 +193,7 @@ def dedupe_pieces(spark: SparkSession, sf: str) -> DataFrame:
     w = words(lines(spark, sf))
     p = w.select("doc_id", "line_no", (F.col("word_no") * 2).alias("ord"), "text", "x", "y", "size")
     p = p.unionByName(w.where((F.col("doc_id") + F.col("word_no")) % 4 == 0).select("doc_id", "line_no", (F.col("word_no") * 2 + 1).alias("ord"), "text", (F.col("x") + 0.4).alias("x"), (F.col("y") + 0.3).alias("y"), "size"))
-    q = p.alias("q")
-    near = F.greatest(F.lit(0.5), 0.15 * F.col("p.size"))
-    cond = (F.col("q.doc_id") == F.col("p.doc_id")) & (F.col("q.line_no") == F.col("p.line_no")) & (F.col("q.text") == F.col("p.text")) & (F.col("q.ord") < F.col("p.ord")) & (F.abs(F.col("q.size") - F.col("p.size")) < 0.1) & (F.abs(F.col("q.x") - F.col("p.x")) < near) & (F.abs(F.col("q.y") - F.col("p.y")) < near)
-    return p.alias("p").join(q, cond, "left_anti").select("doc_id", "line_no", "ord", "text")
+    return reading.pieces_without_doubles(p, ["doc_id", "line_no"], "ord").select("doc_id", "line_no", "ord", "text")
 
 
 @query(f"WITH {LINE}, {BODY}, h AS (SELECT doc_id, line_no, text, CASE WHEN size > 1.15 * body AND length(text) BETWEEN 1 AND 120 THEN 'heading' WHEN line_no % 7 = 3 THEN 'item' ELSE 'para' END AS kind FROM line JOIN body USING (doc_id) WHERE text <> '') SELECT doc_id, count(*) AS n_blocks, string_agg(CASE kind WHEN 'heading' THEN concat('# ', text) WHEN 'item' THEN concat('- ', text) ELSE regexp_replace(text, '^([#>])', '\\\\\\1') END, chr(10) || chr(10) ORDER BY line_no) AS markdown FROM h GROUP BY 1")
@@ -211,7 +209,7 @@ def block_markdown(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {LINE}, d AS (SELECT doc_id, line_no, line_no % 3 AS depth FROM line) SELECT doc_id, line_no, depth, CASE WHEN depth > 0 THEN (SELECT max(p.line_no) FROM d p WHERE p.doc_id = d.doc_id AND p.line_no < d.line_no AND p.depth = d.depth - 1) END AS parent FROM d")
 def struct_parent(spark: SparkSession, sf: str) -> DataFrame:
     d = lines(spark, sf).select("doc_id", "line_no", (F.col("line_no") % 3).alias("depth"))
-    return trees.parents_by_depth(d, "doc_id", "line_no", "depth", 3)
+    return trees.parents_by_depth(d, "doc_id", "line_no", "depth")
 
 
 @query(f"WITH {LINE} SELECT doc_id, line_no, CASE WHEN length(text) > 0 THEN sum(length(text) * 0.5 * size + CASE WHEN line_no % 2 = 0 THEN 1.5 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) END AS advance FROM line")

@@ -87,13 +87,21 @@ def structure_of_page(spark: SparkSession, sf: str) -> DataFrame:
     return seen.select("doc_id", "id").distinct()
 
 
-@query("SELECT doc_id, quality = 1 AS expected, contains(lower(text), lower(substring(text, 1, 12))) AS found FROM documents JOIN labels USING (doc_id) WHERE length(trim(substring(text, 1, 12))) = 12 AND NOT regexp_matches(substring(text, 1, 12), '[ \n\t]')")
+_LOW = "trim(regexp_replace(lower({0}), '[ \t\n\v\f\r]+', ' ', 'g'))"
+
+
+@query(f"WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS items, {_LOW.format('text')} AS fact FROM benchmark), d AS (SELECT doc_id, quality, {_LOW.format('text')} AS said, len(text) AS size FROM documents JOIN labels USING (doc_id)), f AS (SELECT doc_id, quality, said, unnest(['own', 'item', 'not item']) AS source, substring(said, CAST(size // 3 + 1 AS BIGINT), 30) AS own, fact FROM d JOIN b ON b.k = d.doc_id % b.items) SELECT doc_id, source, quality = 1 AS good, CASE source WHEN 'own' THEN contains(said, trim(own)) WHEN 'item' THEN contains(said, fact) ELSE NOT contains(said, fact) END AS found FROM f")
 def known_facts(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").select("doc_id", "text").where(F.length(F.trim(F.substring("text", 1, 12))) == 12).where(~F.substring("text", 1, 12).rlike("[ \n\t]"))
+    """Of every labelled document three facts: words of its own from a third of it on, an item of the benchmark, and that the item is not there."""
+    from quire.operators.ordinals import with_ordinal
+
+    b = with_ordinal(_t(spark, sf, "benchmark").select("item_id", F.col("text").alias("fact")), "item_id", "k")
+    d = _t(spark, sf, "documents").select("doc_id", "text").join(_t(spark, sf, "labels").select("doc_id", "quality"), "doc_id").withColumn("k", F.col("doc_id") % b.count())
     blocks = d.select("doc_id", F.lit(0).alias("block_id"), F.lit("para").alias("kind"), "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<array<string>>").alias("rows"))
-    facts = d.join(_t(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", F.lit(0).alias("fact_id"), F.lit("text").alias("kind"), F.array(F.substring("text", 1, 12)).alias("expected"), (F.col("quality") == 1).alias("good"))
-    found = evaluation.facts_found(blocks, facts)
-    return found.select("doc_id", F.col("good").alias("expected"), "found")
+    own = F.substring(F.lower(fn.squeeze(F.col("text"))), (F.floor(F.length("text") / 3) + 1).cast("int"), F.lit(30))
+    kinds = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(k).alias("kind"), F.array(v).alias("expected")) for s, k, v in (("own", "text", own), ("item", "text", F.col("fact")), ("not item", "notext", F.col("fact")))))
+    facts = d.join(b, "k").select("doc_id", "quality", F.explode(kinds).alias("f")).select("doc_id", F.lit(0).alias("fact_id"), "f.*", (F.col("quality") == 1).alias("good"))
+    return evaluation.facts_found(blocks, facts).select("doc_id", "source", "good", "found")
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<li')) AS items FROM pages")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as fn
-from quire.operators import joins, trees
+from quire.operators import evaluation, forms, joins, trees
 from quire.operators import windows as win
 
 QUERIES: dict = {}
@@ -27,15 +27,15 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("WITH i AS (SELECT l_orderkey AS g, l_quantity AS a, l_quantity + 3 AS b FROM lineitem), f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY g ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS new FROM i), s AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT g AS l_orderkey, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM s GROUP BY g, island")
+@query("WITH i AS (SELECT l_orderkey AS g, l_quantity AS a, l_quantity + 3 AS b, l_linenumber AS o FROM lineitem), f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY g ORDER BY a, b, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS new FROM i), s AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY a, b, o ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT g AS l_orderkey, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM s GROUP BY g, island")
 def rule_merge(spark: SparkSession, sf: str) -> DataFrame:
-    i = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("a"), (F.col("l_quantity") + 3).alias("b"))
-    return win.merged_intervals(i, ["l_orderkey"], "a", "b", 2.0)
+    i = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), (F.col("l_quantity") + 3).alias("b"))
+    return win.merged_intervals(i, ["l_orderkey"], "a", "b", 2.0, ["l_linenumber"])
 
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS mid FROM lineitem GROUP BY 1")
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(win.upper_median(F.col("l_quantity")).alias("mid"))
+    return _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(win.upper_median("l_quantity").alias("mid"))
 
 
 _LABEL = "r AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS start, CASE o_orderkey % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'r' WHEN 2 THEN 'A' ELSE '' END AS style, concat('p', CAST(o_orderkey % 3 AS VARCHAR), '-') AS prefix FROM orders WHERE o_orderkey % 2 = 0)"
@@ -229,17 +229,17 @@ def role_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH d AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY 1, 2), b AS (SELECT ch, sum(n) AS m FROM (SELECT item_id, ch, count(*) AS n FROM (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark) GROUP BY 1, 2) GROUP BY 1) SELECT doc_id, CAST(sum(least(n, coalesce(m, 0))) AS BIGINT) AS shared, round(CAST(sum(least(n, coalesce(m, 0))) AS DOUBLE) / sum(n), 6) AS precision FROM d LEFT JOIN b USING (ch) GROUP BY 1")
 def multiset_pr(spark: SparkSession, sf: str) -> DataFrame:
-    bag = lambda t: _t(spark, sf, t).select("*", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch"))
-    d = bag("documents").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    b = bag("benchmark").groupBy("ch").agg(F.count("*").alias("m"))
+    d = _t(spark, sf, "documents").select("doc_id", F.inline(fn.character_counts(F.col("text"))))
+    b = _t(spark, sf, "benchmark").select(F.inline(fn.character_counts(F.col("text")))).groupBy("ch").agg(F.sum("n").alias("m"))
     shared = F.sum(F.least("n", F.coalesce("m", F.lit(0))))
-    return d.join(b, "ch", "left").groupBy("doc_id").agg(shared.alias("shared"), F.round(shared.cast("double") / F.sum("n"), 6).alias("precision"))
+    # One row for each character that there is.
+    return d.join(F.broadcast(b), "ch", "left").groupBy("doc_id").agg(shared.alias("shared"), F.round(shared.cast("double") / F.sum("n"), 6).alias("precision"))
 
 
 @query("WITH i AS (SELECT user_id AS u, event_id AS a, event_id + CAST(floor(value) AS BIGINT) % 40 AS b FROM events), m AS (SELECT *, max(b) OVER (PARTITION BY u ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM i) SELECT u AS user_id, far AS start, a AS \"end\" FROM m WHERE a > far")
 def interval_gaps(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events").select("user_id", F.col("event_id").alias("a"), (F.col("event_id") + F.floor("value") % 40).alias("b"))
-    return win.gaps(e, ["user_id"], "a", "b")
+    return win.gaps(e, ["user_id"], "a", "b", [])
 
 
 @query("SELECT doc_id, md5(text) AS fingerprint, sha256(text) AS digest, sha256(concat(substring(text, 1, 10), substring(text, 21))) AS signed FROM documents")
@@ -271,11 +271,11 @@ def scoped_resource(spark: SparkSession, sf: str) -> DataFrame:
     return win.top_one(j, ["c_custkey"], F.desc("own"), F.col("k")).select("c_custkey", "k", F.when(F.col("own"), "own").otherwise("other").alias("kind"))
 
 
-@query("SELECT a.o_orderkey AS picked, b.o_orderkey AS cleared FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderpriority = '1-URGENT'")
+@query("SELECT o_orderkey, p.picked IS NOT NULL AND p.picked = o_orderkey AS is_on, p.picked IS NOT NULL AND p.picked <> o_orderkey AS is_cleared FROM orders LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS picked FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) p USING (o_custkey)")
 def radio_siblings(spark: SparkSession, sf: str) -> DataFrame:
+    """Buttons of a group after the last pick of each group: that one is on, its siblings are cleared."""
     o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    on = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("picked"))
-    return on.join(o.select("o_custkey", F.col("o_orderkey").alias("cleared")), "o_custkey").where("picked <> cleared").select("picked", "cleared")
+    return forms.picked(o, ["o_custkey"], "o_orderkey", F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "is_on", "is_cleared")
 
 
 @query("SELECT p_partkey, round(coalesce(CASE WHEN p_size % 3 = 0 THEN p_retailprice END, CASE WHEN p_size % 3 = 1 THEN CAST(s.s_nationkey AS DOUBLE) END, 500.0), 4) AS w FROM part LEFT JOIN supplier s ON s.s_suppkey = p_partkey")
@@ -317,13 +317,23 @@ def stratified_pages(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("source", "m", F.explode(F.array_distinct(pages)).alias("page")).where("page <= m").select("source", "page")
 
 
-@query("SELECT d.doc_id, b.item_id, contains(d.text, substring(b.text, 1, 40)) AS has_text, strpos(d.text, split_part(b.text, ' ', 1)) > 0 AND strpos(d.text, split_part(b.text, ' ', 1)) < strpos(d.text, split_part(b.text, ' ', 2)) AS in_order FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+_SQUEEZED = "trim(regexp_replace(lower({0}), '[ \t\n\v\f\r]+', ' ', 'g'))"
+_SAID = f"n AS (SELECT count(*) AS items FROM benchmark), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k, {_SQUEEZED.format('text')} AS fact, split_part({_SQUEEZED.format('text')}, ' ', 1) AS first, split_part({_SQUEEZED.format('text')}, ' ', 2) AS second FROM benchmark), d AS (SELECT doc_id, doc_id % items AS k, {_SQUEEZED.format('text')} AS said FROM documents, n)"
+
+
+@query(f"WITH {_SAID} SELECT doc_id, item_id, contains(said, fact) AS has_text, strpos(said, first) > 0 AND strpos(said, first) < strpos(said, second) AS in_order FROM d JOIN b USING (k)")
 def fact_checks(spark: SparkSession, sf: str) -> DataFrame:
-    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("fact"))
-    d = _t(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    first, second = F.split_part("fact", F.lit(" "), F.lit(1)), F.split_part("fact", F.lit(" "), F.lit(2))
-    at = lambda w: F.expr("0") + F.instr(F.col("text"), w)
-    return d.join(b, "item_id").select("doc_id", "item_id", F.contains("text", F.substring("fact", 1, 40)).alias("has_text"), ((at(first) > 0) & (at(first) < at(second))).alias("in_order"))
+    """Every document against one item of the benchmark, dealt out evenly over all items: whether its whole text stands there, and its first two words in order."""
+    from quire.operators.ordinals import with_ordinal
+
+    b = _t(spark, sf, "benchmark").select("item_id", fn.squeeze(F.col("text")).alias("fact"))
+    b = with_ordinal(b, "item_id", "k")
+    d = _t(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % b.count()).alias("k"))
+    blocks = d.select("doc_id", F.lit(0).alias("block_id"), F.lit("para").alias("kind"), "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<array<string>>").alias("rows"))
+    two = F.array(F.split_part("fact", F.lit(" "), F.lit(1)), F.split_part("fact", F.lit(" "), F.lit(2)))
+    facts = d.join(b, "k").select("doc_id", "item_id", F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.array("fact").alias("expected")), F.struct(F.lit("order").alias("kind"), two.alias("expected")))).alias("f"))
+    found = evaluation.facts_found(blocks, facts.select("doc_id", "item_id", F.lit(0).alias("fact_id"), "f.kind", "f.expected"))
+    return found.groupBy("doc_id", "item_id").agg(F.bool_or((F.col("kind") == "text") & F.col("found")).alias("has_text"), F.bool_or((F.col("kind") == "order") & F.col("found")).alias("in_order"))
 
 
 @query("SELECT a.l_orderkey, a.l_linenumber, min(abs(a.l_quantity - b.l_quantity)) AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_linenumber <> b.l_linenumber AND abs(a.l_quantity - b.l_quantity) <= 6 GROUP BY 1, 2")

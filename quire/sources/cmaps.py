@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.joins import range_join
+
 RANGES = "name string, lo long, hi long, bytes int, cid long"
 
 
@@ -44,15 +46,18 @@ def read_cmaps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, RANGES)
 
 
+#: Ranges up to this number go to all tasks.
+FEW = 100_000
+_WIDTH = 256
+
+
 def to_cids(codes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """codes (name, code, …) with cid: of the range with the greatest lo up to code, if code is in it, else 0.
+    """codes (name, code, …) with cid: of the range of the map that holds code, else 0.
 
-    Ranges of a map are disjoint, so it is an as-of lookup; needed names alone are kept.
+    Ranges of a map are disjoint. Needed maps alone are kept; codes meet them by bins of the code, so that the codes of one
+    map spread over tasks.
     """
-    needed = ranges.join(codes.select("name").distinct(), "name", "left_semi")
-    rows = needed.select("name", F.col("lo").alias("_at"), F.struct("lo", "hi", "cid").alias("_r"), F.lit(0).alias("_side"), F.lit(None).cast(codes.select(F.struct(*codes.columns)).schema[0].dataType).alias("_row"))
-    asked = codes.select("name", F.col("code").alias("_at"), F.lit(None).cast(rows.schema["_r"].dataType).alias("_r"), F.lit(1).alias("_side"), F.struct(*codes.columns).alias("_row"))
-    w = Window.partitionBy("name").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.unionByName(asked).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    inside = F.col("_row.code") <= F.col("_last.hi")
-    return met.select("_row.*", F.coalesce(F.when(inside, F.col("_last.cid") + F.col("_row.code") - F.col("_last.lo")), F.lit(0)).alias("cid"))
+    needed = ranges.join(codes.select("name").distinct(), "name", "left_semi").select("name", "lo", "hi", F.col("cid").alias("_cid"))
+    needed = F.broadcast(needed) if needed.limit(FEW + 1).count() <= FEW else needed
+    met = range_join(codes, needed, "code", "lo", "hi", _WIDTH, ["name"], "left")
+    return met.withColumn("cid", F.coalesce(F.col("_cid") + F.col("code") - F.col("lo"), F.lit(0))).drop("lo", "hi", "_cid")

@@ -33,6 +33,8 @@ class Document:
         self._dests: dict[str, Any] | None = None
         #: Names of the layers to hide; None: those that the file hides.
         self.hide: set[str] | None = None
+        #: What could not be read so far: table, page_no (if it is a page's), reason.
+        self.faults: list[dict] = []
 
     # One record.
     def record(self) -> dict:

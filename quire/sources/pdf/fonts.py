@@ -65,6 +65,10 @@ def to_unicode(data: bytes) -> tuple[dict[int, str], set[int]]:
     return out, sizes
 
 
+# Fixed value.
+BOLD = r"bold|black|heavy|semibold|demibold|-bd\b|medi\b|cmbx|\bbd\b"
+
+
 class Font:
     def __init__(self, f: File, d: Any, name: str):
         self.name, self.f = name, f
@@ -98,7 +102,7 @@ class Font:
                 self.widths = {32 + i: float(w) for i, w in enumerate(_HELVETICA)}
             if not self.map:
                 self._encode(encoding)
-        self.bold = bool(flags & 1 << 18) or bool(re.search(r"bold|black|heavy|semibold", lowered))
+        self.bold = bool(flags & 1 << 18) or bool(re.search(BOLD, lowered))
         m = f.at(d, "FontMatrix") if kind == "Type3" else None
         self.unit = float(f.get(m[0])) if isinstance(m, list) and m else 0.001
 

@@ -1,8 +1,10 @@
 """PDF files as DataFrames: one scan of bytes, and a table function for each kind of record.
 
 ``read_pdf`` gives a row a file; each table function parses only what it returns, one
-document at a time, so that a worker holds one file. Files that cannot be read, or not
-with the password given, have their reason in ``errors`` and no rows elsewhere.
+document at a time, so that a worker holds one file. A fault costs the page, or the
+record, that it is in: other pages keep their rows. The table ``errors`` runs the same
+code for all tables and has a row for each fault: files that are no PDF, or cannot be
+opened with the password given, pages and records that cannot be read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from quire.sources.pdf.extract import Document
 RECT = "array<double>"
 SCHEMAS = {
     "documents": "doc_id long, path string, n_pages int, info map<string,string>, perm long, page_mode string, page_layout string, fingerprint string, tagged boolean, lang string, xmp string, xfa boolean, xfa_xml string, open_page int, open_fit string, viewer_preferences map<string,string>, calc_order array<int>",
-    "errors": "doc_id long, path string, reason string",
+    "errors": "doc_id long, path string, table string, page_no int, reason string",
     "pages": "doc_id long, page_no int, obj int, x0 double, y0 double, w double, h double, rot int, label string",
     "pieces": "doc_id long, page_no int, piece_id int, x double, y double, size double, w double, ang double, text string, font string, base string, bold boolean, mcid int, dir string",
     "ops": "doc_id long, page_no int, op_id int, code int, args array<double>",
@@ -48,17 +50,31 @@ SCHEMAS = {
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (a hash of the path), path, content of every file at path that says it is a PDF."""
+    """doc_id (a hash of the path), path, content of every file at path; ``errors`` tells which are no PDF."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    marked = F.instr(F.substring("content", 1, 1024).cast("string"), "%PDF") > 0
-    return d.select(F.xxhash64("path").alias("doc_id"), "path", "content").where(marked)
+    return d.select(F.xxhash64("path").alias("doc_id"), "path", "content")
+
+
+def _told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:300]
+
+
+def _try(d: Document, table: str, page_no: int | None, make: Callable[[], object]) -> object:
+    """What make gives; None where it fails, which the document remembers."""
+    try:
+        return make()
+    except Exception as e:  # noqa: BLE001  damage costs a page, not the job
+        d.faults.append({"table": table, "page_no": page_no, "reason": _told(e)})
+        return None
 
 
 def _pages_of(d: Document, only: set[int] | None) -> Iterator[tuple[int, dict, content.Page]]:
     hidden = d.hidden()
     for row, page in zip(d.page_rows(), d.pages, strict=True):
         if only is None or row["page_no"] in only:
-            yield row["page_no"], row, content.read(d.f, page, hidden)
+            p = _try(d, "pieces", row["page_no"], lambda: content.read(d.f, page, hidden))  # noqa: B023
+            if p is not None:
+                yield row["page_no"], row, p
 
 
 def _pieces(d: Document, only: set[int] | None) -> Iterator[dict]:
@@ -73,21 +89,29 @@ def _ops(d: Document, only: set[int] | None) -> Iterator[dict]:
             yield {"page_no": n, "op_id": i, "code": code, "args": args}
 
 
+def _rules_of(d: Document, n: int, row: dict, p: content.Page) -> list[dict]:
+    return _try(d, "geometry", n, lambda: reading.rules(p.ops, row)) or []
+
+
+def _lines_of(d: Document, n: int, row: dict, p: content.Page) -> list[dict]:
+    return _try(d, "lines", n, lambda: reading.page_lines(p.pieces, row)) or []
+
+
 def _geometry(d: Document, only: set[int] | None) -> Iterator[dict]:
     for n, row, p in _pages_of(d, only):
-        for g in reading.rules(p.ops, row):
+        for g in _rules_of(d, n, row, p):
             yield {"page_no": n} | g
 
 
 def _lines(d: Document, only: set[int] | None) -> Iterator[dict]:
     for n, row, p in _pages_of(d, only):
-        for x in reading.page_lines(p.pieces, row):
+        for x in _lines_of(d, n, row, p):
             yield {"page_no": n} | x
 
 
 def _text(d: Document, only: set[int] | None) -> Iterator[dict]:
     for n, row, p in _pages_of(d, only):
-        yield {"page_no": n, "text": reading.text_of(reading.page_lines(p.pieces, row))}
+        yield {"page_no": n, "text": reading.text_of(_lines_of(d, n, row, p))}
 
 
 def _blocks(d: Document, only: set[int] | None) -> list[dict]:
@@ -97,9 +121,10 @@ def _blocks(d: Document, only: set[int] | None) -> list[dict]:
     for n, row, p in _pages_of(d, only):
         pages[n] = row
         pieces += [{"page_no": n} | x for x in p.pieces]
-        lines += [{"page_no": n} | x for x in reading.page_lines(p.pieces, row)]
-        geom[n] = reading.rules(p.ops, row)
-    return tagged_blocks(d.structure(), pieces, lines) or reading.document_blocks(lines, pages, geom)
+        lines += [{"page_no": n} | x for x in _lines_of(d, n, row, p)]
+        geom[n] = _rules_of(d, n, row, p)
+    nodes = _try(d, "structure", None, d.structure) or []
+    return _try(d, "blocks", None, lambda: tagged_blocks(nodes, pieces, lines)) or reading.document_blocks(lines, pages, geom)
 
 
 def _markdown(d: Document, only: set[int] | None) -> Iterator[dict]:
@@ -107,6 +132,18 @@ def _markdown(d: Document, only: set[int] | None) -> Iterator[dict]:
     yield {"n_blocks": len(b), "markdown": reading.markdown(b)}
 
 
+def _errors(d: Document, only: set[int] | None) -> Iterator[dict]:
+    """The faults that any table meets; pages are interpreted once, for blocks."""
+    for name, make in _RECORDS.items():
+        if name not in ("errors", "pieces", "ops", "geometry", "lines", "page_text", "markdown"):
+            _try(d, name, None, lambda: list(make(d, only)))  # noqa: B023
+    seen = set()
+    for fault in d.faults:
+        if (key := tuple(fault.values())) not in seen:
+            seen.add(key)
+            yield fault
+
+
 _RECORDS: dict[str, Callable[[Document, set[int] | None], object]] = {
     "documents": lambda d, _: [d.record()],
     "pages": lambda d, _: d.page_rows(),
@@ -132,10 +169,22 @@ _RECORDS: dict[str, Callable[[Document, set[int] | None], object]] = {
     "xfa_boxes": lambda d, _: d.xfa_boxes(),
     "checked_signatures": lambda d, _: d.checked_signatures(),
     "objects": lambda d, _: d.objects(),
-    "errors": lambda d, _: [],
+    "errors": _errors,
 }
 
 
+def records(name: str, path: str, data: bytes, password: str = "", only: set[int] | None = None, hide: set[str] | None = None) -> list[dict]:
+    """The rows of one table from one file, without doc_id; those read before a fault stay, and ``errors`` has the fault."""
+    out, own = [], {"path": path}
+    try:
+        d = Document(data, password)
+    except Exception as e:  # noqa: BLE001  a damaged file is a row, not the end of the job
+        return [own | {"table": "documents", "page_no": None, "reason": _told(e)}] if name == "errors" else []
+    d.hide = hide
+    _try(d, name, None, lambda: out.extend(own | r for r in _RECORDS[name](d, only)))
+    return out
+
+
 def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None = None, hide: list[str] | None = None) -> DataFrame:
     """A table of SCHEMAS from the files of read_pdf.
 
@@ -144,21 +193,14 @@ def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None
     schema = SCHEMAS[name]
     columns = [c.split(" ")[0] for c in _split(schema)]
     only = set(pages) if pages is not None else None
-    make = _RECORDS[name]
+    hidden = set(hide) if hide is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, path, data in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                rows = []
-                try:
-                    d = Document(bytes(data), password)
-                    d.hide = set(hide) if hide is not None else None
-                    if name != "errors":
-                        rows = [{"doc_id": doc_id, "path": path} | r for r in make(d, only)]
-                except Exception as e:  # noqa: BLE001  a damaged file is a row, not the end of the job
-                    rows = [{"doc_id": doc_id, "path": path, "reason": f"{type(e).__name__}: {e}"[:300]}] if name == "errors" else []
-                for at in range(0, len(rows), 20000):
-                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows[at : at + 20000]], dtype=object) for c in columns})
+                found = [r | {"doc_id": doc_id} for r in records(name, path, bytes(data), password, only, hidden)]
+                for at in range(0, len(found), 20000):
+                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in found[at : at + 20000]], dtype=object) for c in columns})
 
     return raw.select("doc_id", "path", "content").mapInPandas(run, schema)
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 from pathlib import Path
 
@@ -264,10 +265,11 @@ def test_tables_in_spark(spark, tmp_path):
     (tmp_path / "fake.pdf").write_bytes(b"<html>no</html>")
     (tmp_path / "locked.pdf").write_bytes(writer.Build().add(Document(report(1))).bytes("pw"))
     raw = reader.read_pdf(spark, str(tmp_path))
-    assert raw.count() == 3
+    assert raw.count() == 4
     counts = {n: reader.table(raw, n).count() for n in reader.SCHEMAS}
-    assert counts["documents"] == 2 and counts["pages"] == 7 and counts["errors"] == 1 and counts["fields"] == 3 and counts["markdown"] == 2
-    assert "PasswordNeeded" in reader.table(raw, "errors").first().reason
+    assert counts["documents"] == 2 and counts["pages"] == 7 and counts["errors"] == 2 and counts["fields"] == 3 and counts["markdown"] == 2
+    told = {Path(r.path).name: r.reason for r in reader.table(raw, "errors").collect()}
+    assert "PasswordNeeded" in told["locked.pdf"] and "no PDF" in told["fake.pdf"]
     assert reader.table(raw, "documents", password="pw").count() == 3
     assert reader.table(raw, "pieces", pages=[2]).select("page_no").distinct().count() == 1
     assert reader.text_items(reader.table(raw, "pieces")).where("eol").count() > 5
@@ -275,6 +277,54 @@ def test_tables_in_spark(spark, tmp_path):
     assert reader.table(built, "pages").count() == 2
     from pyspark.sql import functions as F
 
-    both = reader.merged(raw.where("path not like '%locked%'").withColumn("g", F.lit("all")), "g", "path")
+    both = reader.merged(raw.where("path not like '%locked%' and path not like '%fake%'").withColumn("g", F.lit("all")), "g", "path")
     assert reader.table(both, "pages").count() == 7
     assert Path(str(tmp_path)).exists() and content.UNIT
+
+
+def test_a_fault_costs_its_page(spark, monkeypatch):
+    """Page 2 of 3 cannot be read: pages 1 and 3 stay, and errors has one row, for that page."""
+    read = content.read
+
+    def broken(f, page, hidden):
+        if page["_num"] == bad:
+            raise ZeroDivisionError("broken page")
+        return read(f, page, hidden)
+
+    d = Document(report(3))
+    bad = d.pages[1]["_num"]
+    monkeypatch.setattr(content, "read", broken)
+    for name in ("lines", "pieces", "ops", "page_text", "blocks"):
+        rows = reader.records(name, "x", report(3))
+        assert {r["page_no"] for r in rows} == {1, 3}, name
+    assert reader.records("markdown", "x", report(3))[0]["n_blocks"] > 3 and len(reader.records("pages", "x", report(3))) == 3
+    faults = reader.records("errors", "x", report(3))
+    assert [(r["table"], r["page_no"], r["reason"]) for r in faults] == [("pieces", 2, "ZeroDivisionError: broken page")]
+
+
+def test_a_fault_costs_its_record(monkeypatch):
+    monkeypatch.setattr(Document, "links", lambda d: (_ for _ in ()).throw(KeyError("no link")))
+    assert reader.records("links", "x", report(1)) == [] and len(reader.records("lines", "x", report(1))) > 5
+    assert [(r["table"], r["page_no"]) for r in reader.records("errors", "x", report(1))] == [("links", None)]
+
+
+def test_overprinted_title_above_columns():
+    """Lines that span two columns, printed one over the other, are put in order like others."""
+    m = Maker()
+    c = say(72, 700, 30, "A TITLE OVER BOTH COLUMNS") + say(76, 700, 12, "A SMALLER TITLE OVER BOTH OF THE COLUMNS, TOO, AND WIDE ENOUGH")
+    for i in range(8):
+        c += say(72, 650 - 14 * i, 10, f"left column line {i} with words") + say(330, 650 - 14 * i, 10, f"right column line {i} with words")
+    m.page(c)
+    lines = [x["text"] for x in reader._lines(Document(m.bytes()), None)]
+    assert sorted(lines[:2]) == ["A SMALLER TITLE OVER BOTH OF THE COLUMNS, TOO, AND WIDE ENOUGH", "A TITLE OVER BOTH COLUMNS"]
+    assert lines[2:] == [f"{s} column line {i} with words" for s in ("left", "right") for i in range(8)]
+
+
+def test_native_cipher_equals_the_plain_one():
+    rng = random.Random(4)
+    for n in (16, 32):
+        key, iv, data = rng.randbytes(n), rng.randbytes(16), rng.randbytes(80)
+        assert ciphers.aes_cbc_encrypt(key, iv, data, pad=False) == ciphers._plain_encrypt(key, iv, data)
+        assert ciphers.aes_cbc_decrypt(key, iv, ciphers.aes_cbc_encrypt(key, iv, data)) == data
+        assert ciphers._plain_decrypt(key, iv, ciphers._plain_encrypt(key, iv, data)) == data
+    assert ciphers.aes_cbc_decrypt(bytes(16), bytes(16), b"") == b""
