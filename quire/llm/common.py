@@ -28,6 +28,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a few numbers each that may go to all tasks: some 16 MB.
+SMALL = 500_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, a table of at most so many rows of a few numbers, as the side of a join: sent to all tasks if it is small, else sorted and merged.
+
+    Spark's own choice goes by the size of compressed files. A merge can split hot keys if df is a written table."""
+    return F.broadcast(df) if rows <= SMALL else df.hint("merge")
+
+
 def batches(rows, schema: pa.Schema, limit: int = 2048):
     """Gather tuples into record batches of at most ``limit`` rows."""
     part: list[tuple] = []

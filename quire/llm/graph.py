@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import sized
 from quire.session import Scratch
 
 
@@ -24,14 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
     last, k = _state(e), 0
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         k += 1
+        # Minima are written before they are joined: then a merge can split a hub's links.
+        low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"low{k}")
+        large = scratch.write(both.join(sized(low, 2 * last[0]), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"large{k}")
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"least{k}")
+        small = large.join(sized(low, 2 * last[0]), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = scratch.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"round{k}")
         now = _state(new)
-        scratch.drop(f"round{k - 1}")
+        for name in (f"round{k - 1}", f"low{k}", f"large{k}", f"least{k}"):
+            scratch.drop(name)
         e, done, last = new, now == last, now
         if done:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batches
+from quire.llm.common import batches, sized
 from quire.llm.graph import components
 from quire.session import Scratch
 
@@ -172,23 +172,25 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         probe += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(x)).alias("key")) for x in flips]
     indexed = fps.select(F.col("fp").alias("x"), F.inline(F.array(*index)))
     probes = fps.select(F.col("fp").alias("y"), F.inline(F.array(*probe)))
-    full = Scratch(fps.sparkSession, "buckets").write(indexed.groupBy("part", "key").count().where(F.col("count") > BUCKET).select("part", "key"), "full")
+    scratch = Scratch(fps.sparkSession, "buckets")
+    full = scratch.write(indexed.groupBy("part", "key").count().where(F.col("count") > BUCKET).select("part", "key"), "full")
+    full = sized(full, full.count())
     cold = indexed.join(full, ["part", "key"], "left_anti")
-    met = cold.join(probes, ["part", "key"]).where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    met = probes.join(cold.hint("merge"), ["part", "key"]).where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     if distance != 2:
         raise ValueError("full buckets are linked through values 1 bit away, so the distance is 2")
     hot = probes.join(full, ["part", "key"], "left_semi").select(F.col("y").alias("x")).distinct()
     around = [0, *(_signed(1 << b) for b in range(64))]
     near = hot.select("x", F.explode(F.transform(F.array(*map(F.lit, around)), lambda z: F.col("x").bitwiseXOR(z))).alias("z"))
-    low = near.groupBy("z").agg(F.min("x").alias("v"), F.max("x").alias("w")).where("v <> w").select("z", "v")
-    return met.unionByName(near.join(low, "z").where("x <> v").select(F.col("x").alias("u"), "v"))
+    low = scratch.write(near.groupBy("z").agg(F.min("x").alias("v"), F.max("x").alias("w")).where("v <> w").select("z", "v"), "low")
+    return met.unionByName(near.join(sized(low, low.count()), "z").where("x <> v").select(F.col("x").alias("u"), "v"))
 
 
 def _rooted(scratch: Scratch, own: DataFrame, order: Column) -> DataFrame:
     """fp, root (its component), first (the least order of its rows): a row for each distinct fingerprint of own."""
     distinct = scratch.write(own.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     roots = scratch.write(components(links(distinct.select("fp"))), "roots")
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return distinct.join(sized(roots.withColumnRenamed("node", "fp"), roots.count()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def firsts(docs: DataFrame, row: str) -> DataFrame:
@@ -204,11 +206,12 @@ def op3(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have fingerprint zero and link like others; rows that repeat
     a doc_id are rows of their own; a component of null ids alone has a null id; an
-    empty table gives no rows. Only doc_id and text are read.
+    empty table gives no rows. Only doc_id and text are read; very long texts are hashed
+    in slices of their words.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.write(fingerprints(docs), "own")
     with_root = _rooted(scratch, own, F.col("doc_id"))
     least = with_root.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.write(with_root.join(least, "root").select("fp", "component_id"), "named")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.write(with_root.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
+    return own.join(sized(named, named.count()), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

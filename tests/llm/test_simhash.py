@@ -108,3 +108,20 @@ def test_query(spark):
     want = sorted((d or -1, f"{plain(t):016x}", comp[(t or "")[:1].lower()]) for d, t in rows)
     assert got == want
     assert simhash.op3(df.limit(0)).count() == 0
+
+
+def test_components_by_merges_alone(spark, monkeypatch):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "SMALL", 0)
+    edges = [(1, 9), (9, 8), (8, 2), (20, 21), (30, 31), (31, 32), (32, 30), *((100 + i, 100) for i in range(1, 60))]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: r for x, r in roots({x for e in edges for x in e}, edges).items()}
+    df = spark.createDataFrame([(i, f"the same words {i % 3} again and again") for i in range(12)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.op3(df).collect()} == {simhash_least(i) for i in range(12)}
+
+
+def simhash_least(i):
+    fps = [simhash.fingerprint(f"the same words {k} again and again") for k in range(3)]
+    linked = [(a, b) for a in range(3) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    return roots(range(3), linked)[i % 3]
