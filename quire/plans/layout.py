@@ -40,18 +40,28 @@ def heading_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return bl.size_ranks(lines(spark, sf))
 
 
+#: Pages of eight lines, the first of which names the page's chapter.
+_CHAPTERS = "line AS (SELECT * REPLACE (line_no // 8 + 1 AS page_no, CAST(60 + 80 * (line_no % 8) AS DOUBLE) AS y, CASE WHEN line_no % 8 = 0 THEN concat('Chapter ', CAST(line_no // 8 + 1 AS VARCHAR)) ELSE text END AS text) FROM laid)"
+
+
+def _chapters(spark: SparkSession, sf: str) -> DataFrame:
+    page, k = (F.floor(F.col("line_no") / 8) + 1).alias("page_no"), F.col("line_no") % 8
+    head = F.concat(F.lit("Chapter "), (F.floor(F.col("line_no") / 8) + 1).cast("string"))
+    return lines(spark, sf).select("doc_id", "line_no", page, F.when(k == 0, head).otherwise(F.col("text")).alias("text"), (60 + 80 * k).cast("double").alias("y"))
+
+
 _KEY = "concat(CAST(CAST(floor(y / 700 * 40 + 0.5) AS BIGINT) AS VARCHAR), '|', substring(regexp_replace(text, '[0-9]+', '#', 'g'), 1, 40))"
 _RUNNING = f"pages AS (SELECT doc_id, max(page_no) AS pages FROM line GROUP BY 1 HAVING max(page_no) >= 3), keyed AS (SELECT *, CASE WHEN y < 84 OR y > 616 THEN {_KEY} END AS key FROM line), running AS (SELECT doc_id, key, count(*) AS n FROM keyed JOIN pages USING (doc_id) WHERE key IS NOT NULL GROUP BY doc_id, key, pages HAVING count(*) >= greatest(2, floor(0.4 * pages)))"
 
 
-@query(f"WITH {LINE}, {_RUNNING} SELECT doc_id, key, n FROM running")
+@query(f"WITH {LINE.replace('line AS', 'laid AS', 1)}, {_CHAPTERS}, {_RUNNING} SELECT doc_id, key, n FROM running")
 def running_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return bl.running_lines(lines(spark, sf), HEIGHT)
+    return bl.running_lines(_chapters(spark, sf), HEIGHT)
 
 
-@query(f"WITH {LINE}, {_RUNNING} SELECT doc_id, line_no FROM keyed WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.doc_id = keyed.doc_id AND r.key = keyed.key)")
+@query(f"WITH {LINE.replace('line AS', 'laid AS', 1)}, {_CHAPTERS}, {_RUNNING} SELECT doc_id, line_no FROM keyed WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.doc_id = keyed.doc_id AND r.key = keyed.key)")
 def drop_running(spark: SparkSession, sf: str) -> DataFrame:
-    return bl.without_running(lines(spark, sf), HEIGHT).select("doc_id", "line_no")
+    return bl.without_running(_chapters(spark, sf), HEIGHT).select("doc_id", "line_no")
 
 
 _NUM = "concat(CAST(doc_id % 9 + 1 AS VARCHAR), '.', CAST(line_no % 4 AS VARCHAR), CASE WHEN line_no % 3 = 0 THEN '.7.8.9 ' ELSE ' ' END, text)"
