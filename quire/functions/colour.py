@@ -10,9 +10,26 @@ def _clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
+# A published approximation of printing inks, for red, green and blue the weights of these products, added to 255.
+CMYK_TERMS = ("cc", "cm", "cy", "ck", "c", "mm", "my", "mk", "m", "yy", "yk", "y", "kk", "k")
+CMYK = (
+    (-4.387332384609988, 54.48615194189176, 18.82290502165302, 212.25662451639585, -285.2331026137004, 1.7149763477362134, -5.6096736904047315, -17.873870861415444, -5.497006427196366, -2.5217340131683033, -21.248923337353073, 17.5119270841813, -21.86122147463605, -198.14),
+    (8.841041422036149, 60.118027045597366, 6.871425592049007, 31.159100130055922, -79.2970844816548, -15.310361306967817, 17.575251261109482, 131.35250912493976, -190.9453302588951, 4.444339102852739, 9.8632861493405, -24.86741582555878, -20.737325471181034, -203.26),
+    (0.8842522430003296, 8.078677503112928, 30.89978309703729, -0.23883238689178934, -14.183576799673286, 10.49593273432072, 63.02378494754052, 50.606957656360734, -112.23884253719248, 0.03296041114873217, 115.60384449646641, -193.58209356861505, -22.33816807309886, -200.66),
+)
+
+
 def cmyk_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
     """struct<r,g,b> in 0 to 1."""
-    return F.struct(((1 - _clamp(c)) * (1 - _clamp(k))).alias("r"), ((1 - _clamp(m)) * (1 - _clamp(k))).alias("g"), ((1 - _clamp(y)) * (1 - _clamp(k))).alias("b"))
+    v = {"c": _clamp(c), "m": _clamp(m), "y": _clamp(y), "k": _clamp(k)}
+    out = []
+    for name, row in zip("rgb", CMYK, strict=True):
+        total = F.lit(255.0)
+        for weight, term in zip(row, CMYK_TERMS, strict=True):
+            product = v[term[0]] * v[term[1]] if len(term) == 2 else v[term]
+            total = total + F.lit(weight) * product
+        out.append(_clamp(total / 255).alias(name))
+    return F.struct(*out)
 
 
 def _encoded(v: Column) -> Column:

@@ -646,7 +646,7 @@ def rules(ops: list[tuple[int, list[float]]], page: dict) -> list[dict]:
             points = []
         elif code == 9:
             points = []
-        elif code == 18:
+        elif code in (18, 22):
             (xa, ya), (xb, yb) = at(0, 0), at(1, 1)
             geom("box", min(xa, xb), min(ya, yb), max(xa, xb), max(ya, yb))
     return out

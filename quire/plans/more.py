@@ -38,11 +38,15 @@ def code_map(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(m, "code", "left").select("o_orderkey", F.coalesce("to", "code").alias("uni"))
 
 
-@query("SELECT p_partkey, (1 - c) * (1 - k) AS r, (1 - m) * (1 - k) AS g, 1 - k AS b FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS c, (p_partkey % 10) / 10.0::DOUBLE AS m, (p_partkey % 4) / 4.0::DOUBLE AS k FROM part)")
+def _ink_sql(row: tuple[float, ...]) -> str:
+    return "round(least(1, greatest(0, (255 + " + " + ".join(f"({w!r}::DOUBLE) * {' * '.join(t)}" for w, t in zip(row, colour.CMYK_TERMS, strict=True)) + ") / 255)), 9)"
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{_ink_sql(row)} AS {n}" for n, row in zip("rgb", colour.CMYK, strict=True)) + " FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS c, (p_partkey % 10) / 10.0::DOUBLE AS m, (p_partkey % 3) / 3.0::DOUBLE AS y, (p_partkey % 4) / 4.0::DOUBLE AS k FROM part)")
 def colours(spark: SparkSession, sf: str) -> DataFrame:
-    k = (F.col("p_partkey") % 4) / 4.0
-    rgb = colour.cmyk_rgb(F.col("p_size") / 50.0, (F.col("p_partkey") % 10) / 10.0, F.lit(0.0), k)
-    return _t(spark, sf, "part").select("p_partkey", rgb.alias("c")).select("p_partkey", "c.*")
+    share = lambda n: (F.col("p_partkey") % n) / float(n)
+    rgb = colour.cmyk_rgb(F.col("p_size") / 50.0, share(10), share(3), share(4))
+    return _t(spark, sf, "part").select("p_partkey", rgb.alias("c")).select("p_partkey", *(F.round(f"c.{n}", 9).alias(n) for n in "rgb"))
 
 
 @query("SELECT p_partkey, CAST(p_size * 2 + CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS DOUBLE) AS value, concat(CAST(p_size AS VARCHAR), '-', upper(p_brand)) AS label FROM part")

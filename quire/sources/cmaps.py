@@ -17,13 +17,15 @@ def parse(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     """Code space (bytes, lo, hi) and ranges (lo, hi, bytes, first cid), by lo; neighbours that go on are one range."""
     space, found = [], []
     for kind, body in re.findall(r"begin(codespacerange|cidrange|cidchar)(.*?)end\1", text, re.S):
-        for row in body.strip().splitlines():
-            h = re.findall(r"<([0-9A-Fa-f]+)>", row)
-            n = re.findall(r"(?<![0-9A-Fa-f<])(\d+)\s*$", row)
-            if kind == "codespacerange" and len(h) == 2:
-                space.append((len(h[0]) // 2, int(h[0], 16), int(h[1], 16)))
-            elif h and n:
-                found.append((int(h[0], 16), int(h[-1], 16), len(h[0]) // 2, int(n[0])))
+        words = re.findall(r"<\s*([0-9A-Fa-f]+)\s*>|(?<![\w<])(\d+)(?![\w>])", body)
+        if kind == "codespacerange":
+            space += [(len(lo) // 2, int(lo, 16), int(hi, 16)) for (lo, _), (hi, _) in zip(words[::2], words[1::2]) if lo and hi]
+            continue
+        each = 3 if kind == "cidrange" else 2
+        for row in zip(*(words[k::each] for k in range(each))):
+            codes, number = [x for x, _ in row[:-1]], row[-1][1]
+            if all(codes) and number:
+                found.append((int(codes[0], 16), int(codes[-1], 16), len(codes[0]) // 2, int(number)))
     out: list[tuple[int, int, int, int]] = []
     for lo, hi, size, cid in sorted(found):
         if out and out[-1][1] + 1 == lo and out[-1][2] == size and out[-1][3] + lo - out[-1][0] == cid:
@@ -33,6 +35,18 @@ def parse(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     return space, out
 
 
+#: Characters of map files that go to all tasks.
+MOST = 64 << 20
+
+
+def given(spark: SparkSession, path: str) -> dict[str, str]:
+    """The CMap files at path by their names, for the reader; as they go to all tasks, no more than MOST characters in all."""
+    files = spark.read.text(path, wholetext=True)
+    if (files.agg(F.sum(F.length("value"))).first()[0] or 0) > MOST:
+        raise ValueError(f"over {MOST} characters of character maps")
+    return {m[1]: r.value for r in files.collect() if (m := re.search(r"/CMapName\s*/(\S+)", r.value))}
+
+
 def read_cmaps(spark: SparkSession, path: str) -> DataFrame:
     """RANGES of every CMap file at path, named by its /CMapName."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import Any
 
+from quire.sources.pdf import colours
 from quire.sources.pdf.fonts import Font
 from quire.sources.pdf.objects import File, Op, Stream, parse, skip, text
 
@@ -12,7 +13,10 @@ MOST_OPERANDS, MOST_FORMS = 32, 12
 Matrix = tuple[float, float, float, float, float, float]
 UNIT: Matrix = (1, 0, 0, 1, 0, 0)
 # Codes of the drawing operations.
-CODES = {"move": 1, "line": 2, "curve": 3, "close": 4, "rect": 5, "fill": 6, "stroke": 7, "fillstroke": 8, "end": 9, "clip": 10, "fillcolor": 11, "strokecolor": 12, "linewidth": 13, "save": 14, "restore": 15, "transform": 16, "text": 17, "image": 18, "dash": 24}
+CODES = {"move": 1, "line": 2, "curve": 3, "close": 4, "rect": 5, "fill": 6, "stroke": 7, "fillstroke": 8, "end": 9, "clip": 10, "fillcolor": 11, "strokecolor": 12, "linewidth": 13, "save": 14, "restore": 15, "transform": 16, "text": 17, "image": 18, "linecap": 19, "linejoin": 20, "alpha": 21, "inline": 22, "strokealpha": 23, "dash": 24, "miter": 25, "blend": 26, "shade": 27, "mask": 30, "unmask": 32}
+BLENDS = "Normal Multiply Screen Overlay Darken Lighten ColorDodge ColorBurn HardLight SoftLight Difference Exclusion Hue Saturation Color Luminosity".split()
+_DEVICES = {"g": 1, "G": 1, "rg": 3, "RG": 3, "k": 4, "K": 4}
+_STROKE = {"w": "linewidth", "J": "linecap", "j": "linejoin", "M": "miter"}
 _PAINT = {"f": "fill", "F": "fill", "f*": "fill", "S": "stroke", "s": "stroke", "B": "fillstroke", "B*": "fillstroke", "b": "fillstroke", "b*": "fillstroke", "n": "end"}
 
 
@@ -21,10 +25,6 @@ def times(m: Matrix, n: Matrix) -> Matrix:
     return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
 
 
-def cmyk(c: float, m: float, y: float, k: float) -> tuple[float, float, float]:
-    return tuple((1 - min(1.0, x)) * (1 - min(1.0, k)) for x in (c, m, y))
-
-
 class Page:
     """What the instructions of one page make: pieces (text) and ops (code, arguments)."""
 
@@ -37,7 +37,8 @@ class Page:
 
     def run(self, data: bytes, resources: Any, ctm: Matrix = UNIT, depth: int = 0) -> None:
         f, i, args = self.f, 0, []
-        s = {"ctm": ctm, "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, "mode": 0}
+        s = {"ctm": ctm, "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, "mode": 0, "fill": colours.device(1), "stroke": colours.device(1)}
+        here = (0.0, 0.0)
         stack: list[dict] = []
         tm = tlm = UNIT
         marks = len(self.marks)
@@ -61,27 +62,38 @@ class Page:
                 self._op("transform", *n[-6:])
             elif op in ("m", "l") and len(n) >= 2:
                 self._op("move" if op == "m" else "line", *n[-2:])
-            elif op in ("c", "v", "y") and len(n) >= 4:
-                p = n[-6:] if op == "c" else n[-4:]
-                self._op("curve", *p)
+                here = (n[-2], n[-1])
+            elif (op == "c" and len(n) >= 6) or (op in ("v", "y") and len(n) >= 4):
+                # v begins at the current point, y ends at its second control point.
+                self._op("curve", *(n[-6:] if op == "c" else [*here, *n[-4:]] if op == "v" else [*n[-4:], *n[-2:]]))
+                here = (n[-2], n[-1])
             elif op == "h":
                 self._op("close")
             elif op == "re" and len(n) >= 4:
                 self._op("rect", *n[-4:])
+                here = (n[-4], n[-3])
             elif op in _PAINT:
                 if op in ("s", "b", "b*"):
                     self._op("close")
                 self._op(_PAINT[op])
             elif op in ("W", "W*"):
                 self._op("clip")
-            elif op in ("rg", "RG") and len(n) >= 3:
-                self._op("fillcolor" if op == "rg" else "strokecolor", *n[-3:])
-            elif op in ("g", "G") and n:
-                self._op("fillcolor" if op == "g" else "strokecolor", n[-1], n[-1], n[-1])
-            elif op in ("k", "K") and len(n) >= 4:
-                self._op("fillcolor" if op == "k" else "strokecolor", *cmyk(*n[-4:]))
-            elif op == "w" and n:
-                self._op("linewidth", n[-1])
+            elif op in _DEVICES:
+                s["fill" if op.islower() else "stroke"] = colours.device(_DEVICES[op])
+                self._colour(s, op.islower(), n)
+            elif op in ("cs", "CS") and args:
+                own = colours.space(f, args[-1], resources)
+                s["fill" if op == "cs" else "stroke"] = own
+                self._colour(s, op == "cs", [1.0] * own.n if own.kind == "Tint" else [0.0] * (own.n - 1) + [1.0 if own.n == 4 else 0.0])
+            elif op in ("sc", "scn", "SC", "SCN"):
+                self._colour(s, op.islower(), [v for v, a in zip(n, args, strict=True) if not isinstance(a, str)])
+            elif op == "sh" and args:
+                o = f.get(f.at(resources, "Shading")) or {}
+                self._op("shade", float(getattr(o.get(str(args[-1])), "num", 0)) if isinstance(o, dict) else 0.0)
+            elif op in _STROKE and n:
+                self._op(_STROKE[op], n[-1])
+            elif op == "d" and len(args) >= 2 and isinstance(args[-2], list):
+                self._op("dash", *(float(v) for v in args[-2] if isinstance(v, int | float)), n[-1])
             elif op == "BT":
                 tm = tlm = UNIT
             elif op == "Tf" and len(args) >= 2:
@@ -113,15 +125,37 @@ class Page:
             elif op == "BI":
                 i = self._inline(data, i)
             elif op == "gs" and args:
-                font = f.at(f.at(f.at(resources, "ExtGState"), str(args[-1])), "Font")
-                if isinstance(font, list) and len(font) == 2:
-                    s["font"], s["size"] = Font(f, font[0], ""), float(font[1])
+                self._state(f.at(f.at(resources, "ExtGState"), str(args[-1])), s)
             args = []
         del self.marks[marks:]
 
     def _op(self, name: str, *args: float) -> None:
         self.ops.append((CODES[name], list(map(float, args))))
 
+    def _colour(self, s: dict, fill: bool, n: list[float]) -> None:
+        if got := s["fill" if fill else "stroke"].rgb(n):
+            self._op("fillcolor" if fill else "strokecolor", *got)
+
+    def _state(self, d: Any, s: dict) -> None:
+        """What a dictionary of the graphics state sets."""
+        f = self.f
+        if not isinstance(d, dict):
+            return
+        font = f.get(d.get("Font"))
+        if isinstance(font, list) and len(font) == 2:
+            s["font"], s["size"] = Font(f, font[0], ""), float(f.get(font[1]) or 0)
+        for key, name in (("ca", "alpha"), ("CA", "strokealpha"), ("LW", "linewidth"), ("LC", "linecap"), ("LJ", "linejoin"), ("ML", "miter")):
+            if isinstance(v := f.get(d.get(key)), int | float):
+                self._op(name, float(v))
+        dash = f.get(d.get("D"))
+        if isinstance(dash, list) and len(dash) == 2 and isinstance(f.get(dash[0]), list):
+            self._op("dash", *(float(v) for v in f.get(dash[0]) if isinstance(v, int | float)), float(f.get(dash[1]) or 0))
+        if (mode := f.get(d.get("BM"))) is not None:
+            names = mode if isinstance(mode, list) else [mode]
+            self._op("blend", float(next((BLENDS.index(str(f.get(m))) for m in names if str(f.get(m)) in BLENDS), 0)))
+        if (mask := f.get(d.get("SMask"))) is not None:
+            self._op("unmask") if mask == "None" else self._op("mask", float(mask.get("S") == "Luminosity") if isinstance(mask, dict) else 0.0)
+
     def _font(self, resources: Any, name: str) -> Font | None:
         d = self.f.at(self.f.at(resources, "Font"), name)
         if not isinstance(d, dict):
@@ -158,7 +192,7 @@ class Page:
             for _, ch, w, blank in font.codes(part):
                 said.append(ch)
                 if font.vertical:
-                    tm = times((1, 0, 0, 1, 0, -size + s["tc"]), tm)
+                    tm = times((1, 0, 0, 1, 0, w * size + s["tc"] + (s["tw"] if blank else 0)), tm)
                 else:
                     tm = times((1, 0, 0, 1, (w * size + s["tc"] + (s["tw"] if blank else 0)) * th, 0), tm)
             self._piece("".join(said), font, s, start, tm)
@@ -199,7 +233,7 @@ class Page:
             end = data.find(b"EI", end + 2)
             if end < 0 or (data[end - 1 : end] in b"\n\r \t" and data[end + 2 : end + 3] in (b"", b"\n", b"\r", b" ", b"\t")):
                 break
-        self._op("image", 0, 0, 0)
+        self._op("inline")
         return len(data) if end < 0 else end + 2
 
 
@@ -232,4 +266,4 @@ def read(f: File, page: dict, hidden: set[int] | None = None) -> Page:
     return p
 
 
-__all__ = ["Page", "boxes", "cmyk", "contents", "read", "text", "times"]
+__all__ = ["Page", "boxes", "contents", "read", "text", "times"]

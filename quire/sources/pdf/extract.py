@@ -24,8 +24,8 @@ def _rect(f: File, v: Any) -> list[float]:
 class Document:
     """A parsed file with its pages counted and numbered from 1."""
 
-    def __init__(self, data: bytes, password: str = ""):
-        self.f = File(data, password)
+    def __init__(self, data: bytes, password: str = "", cmaps: dict[str, str] | None = None):
+        self.f = File(data, password, cmaps)
         self.pages = self.f.pages()
         self.page_of: dict[int, int] = {}
         for i, p in enumerate(self.pages, 1):

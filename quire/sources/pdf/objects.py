@@ -144,7 +144,9 @@ def text(raw: Any) -> str:
 class File:
     """The objects of one file. Of several with a number, the one that begins a line, and then the last, counts."""
 
-    def __init__(self, data: bytes, password: str = ""):
+    def __init__(self, data: bytes, password: str = "", cmaps: dict[str, str] | None = None):
+        #: Predefined character maps by name, as far as given; and characters by CID, as they are read.
+        self.cmaps, self.cid_maps = cmaps or {}, {}
         if b"%PDF" not in data[:1024]:
             raise ValueError("no PDF: its mark is not in the first 1024 bytes")
         self.data, self.cache, self.packed = data, {}, {}

@@ -173,11 +173,11 @@ _RECORDS: dict[str, Callable[[Document, set[int] | None], object]] = {
 }
 
 
-def records(name: str, path: str, data: bytes, password: str = "", only: set[int] | None = None, hide: set[str] | None = None) -> list[dict]:
+def records(name: str, path: str, data: bytes, password: str = "", only: set[int] | None = None, hide: set[str] | None = None, cmaps: dict[str, str] | None = None) -> list[dict]:
     """The rows of one table from one file, without doc_id; those read before a fault stay, and ``errors`` has the fault."""
     out, own = [], {"path": path}
     try:
-        d = Document(data, password)
+        d = Document(data, password, cmaps)
     except Exception as e:  # noqa: BLE001  a damaged file is a row, not the end of the job
         return [own | {"table": "documents", "page_no": None, "reason": _told(e)}] if name == "errors" else []
     d.hide = hide
@@ -185,11 +185,13 @@ def records(name: str, path: str, data: bytes, password: str = "", only: set[int
     return out
 
 
-def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None = None, hide: list[str] | None = None) -> DataFrame:
+def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None = None, hide: list[str] | None = None, cmaps: dict[str, str] | None = None) -> DataFrame:
     """A table of SCHEMAS from the files of read_pdf.
 
     pages (from 1) limits what is interpreted; hide names the layers to leave out,
-    instead of those that a file hides itself."""
+    instead of those that a file hides itself; cmaps has predefined character maps by
+    name (``cmaps.given``), for the glyph numbers of fonts that refer to them and for text
+    of fonts without a map to Unicode. Codes of the usual encodings are read without."""
     schema = SCHEMAS[name]
     columns = [c.split(" ")[0] for c in _split(schema)]
     only = set(pages) if pages is not None else None
@@ -198,7 +200,7 @@ def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, path, data in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                found = [r | {"doc_id": doc_id} for r in records(name, path, bytes(data), password, only, hidden)]
+                found = [r | {"doc_id": doc_id} for r in records(name, path, bytes(data), password, only, hidden, cmaps)]
                 for at in range(0, len(found), 20000):
                     yield pd.DataFrame({c: pd.Series([r.get(c) for r in found[at : at + 20000]], dtype=object) for c in columns})
 

@@ -6,7 +6,7 @@ import pytest
 
 from quire.functions import ciphers, filters
 from quire.operators import reading, writer
-from quire.sources.pdf import content, reader
+from quire.sources.pdf import colours, content, reader
 from quire.sources.pdf.extract import Document
 from quire.sources.pdf.fonts import glyph, to_unicode
 from quire.sources.pdf.objects import File, Name, PasswordNeeded, Ref, Stream, parse, text
@@ -328,3 +328,92 @@ def test_native_cipher_equals_the_plain_one():
         assert ciphers.aes_cbc_decrypt(key, iv, ciphers.aes_cbc_encrypt(key, iv, data)) == data
         assert ciphers._plain_decrypt(key, iv, ciphers._plain_encrypt(key, iv, data)) == data
     assert ciphers.aes_cbc_decrypt(bytes(16), bytes(16), b"") == b""
+
+
+def composite(encoding, shown: bytes, more: dict | None = None, **font) -> bytes:
+    """A page that shows these bytes in a composite font."""
+    m = Maker()
+    kid = m.put({"Type": Name("Font"), "Subtype": Name("CIDFontType0"), "BaseFont": Name("Kai"), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Test1", "Supplement": 0}} | (more or {}))
+    m.fonts["F9"] = m.put({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Kai"), "Encoding": m.put(encoding) if isinstance(encoding, Stream) else Name(encoding), "DescendantFonts": [kid]} | font)
+    m.page(f"BT /F9 10 Tf 1 0 0 1 72 700 Tm <{shown.hex()}> Tj ET")
+    return m.bytes()
+
+
+@pytest.mark.parametrize("name,codec", [("90ms-RKSJ-H", "cp932"), ("EUC-H", "euc_jp"), ("GBK-EUC-H", "gbk"), ("KSCms-UHC-H", "cp949"), ("ETen-B5-H", "cp950"), ("UniJIS-UCS2-H", "utf-16-be"), ("UniGB-UTF16-H", "utf-16-be"), ("GBK2K-H", "gb18030")])
+def test_codes_of_predefined_maps(name, codec):
+    said = "漢字 ABC" if "UHC" not in name else "한글 漢字 ABC"
+    p = reader.records("pieces", "x", composite(name, said.encode(codec)))
+    assert "".join(x["text"] for x in p) == said
+
+
+EMBEDDED = b"""/CMapName /Own def 2 begincodespacerange <00> <80> <8140> <9FFC> endcodespacerange
+2 begincidrange <20> <7E> 1 <8140> <817E> 633 endcidrange"""
+
+
+def test_embedded_map_widths_and_characters_by_glyph():
+    ucs2 = "/CMapName /Adobe-Test1-UCS2 def 1 beginbfrange <0279> <027B> <6F22> endbfrange 1 beginbfchar <0022> <0041> endbfchar"
+    data = composite(Stream({"CMapName": Name("Own")}, EMBEDDED), b"A\x81\x40\x81\x41", {"DW": 900, "W": [34, [250], 633, 633, 700]})
+    p = reader.records("pieces", "x", data, cmaps={"Adobe-Test1-UCS2": ucs2})[0]
+    assert p["text"] == "A漢漣" and abs(p["w"] - 10 * (0.25 + 0.7 + 0.9)) < 1e-6
+
+
+def test_vertical_advance():
+    data = composite("UniJIS-UCS2-V", "漢字永".encode("utf-16-be"), {"DW2": [880, -900], "W2": [ord("字"), [-500, 500, 880]]})
+    p = reader.records("pieces", "x", data)[0]
+    assert p["dir"] == "ttb" and abs(p["w"] - 10 * (0.9 + 0.5 + 0.9)) < 1e-6
+
+
+@pytest.mark.parametrize("base,want", [("Times-Roman", 722 + 444 + 333), ("ABCDEF+TimesNewRoman,Bold", 722 + 444 + 500), ("Times-Italic", 611 + 444 + 333), ("Arial-BoldMT", 722 + 556 + 278), ("Helvetica", 667 + 556 + 222), ("Courier-Bold", 1800)])
+def test_widths_of_standard_fonts(base, want):
+    m = Maker()
+    m.fonts["F9"] = m.put({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name(base), "Encoding": Name("WinAnsiEncoding")})
+    m.page(say(72, 700, 10, "Aé’", "F9"))
+    p = reader.records("pieces", "x", m.bytes())[0]
+    want = want if "Bold" not in base or "Courier" in base else {"ABCDEF+TimesNewRoman,Bold": 722 + 444 + 333, "Arial-BoldMT": 722 + 556 + 222}[base]
+    assert p["text"] == "Aé’" and abs(p["w"] - want / 100) < 1e-6
+
+
+def test_colour_spaces():
+    m = Maker()
+    tint = m.put({"FunctionType": 2, "Domain": [0, 1], "C0": [0, 0, 0], "C1": [1, 0.5, 0], "N": 1})
+    table = m.put(Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1, 0, 1, 0, 1], "Size": [2], "BitsPerSample": 8}, bytes([0, 0, 0, 255, 0, 102])))
+    spaces = {"S": [Name("Separation"), Name("Ink"), Name("DeviceRGB"), tint], "T": [Name("Separation"), Name("Ink"), Name("DeviceRGB"), table], "I": [Name("Indexed"), Name("DeviceRGB"), 1, b"\x00\x00\x00\xff\x00\x33"], "L": [Name("Lab"), {"WhitePoint": [0.95, 1, 1.09]}], "C": [Name("CalRGB"), {"WhitePoint": [0.95, 1, 1.09], "Gamma": [1, 1, 1], "Matrix": [0.4124, 0.2126, 0.0193, 0.3576, 0.7152, 0.1192, 0.1805, 0.0722, 0.9505]}], "P": [Name("Pattern")], "N": [Name("DeviceN"), [Name("A"), Name("B")], Name("DeviceCMYK"), m.put(Stream({"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1] * 4}, b"{ 0 0 }"))]}
+    c = "/S cs 1 scn /T cs 0.5 sc /I cs 1 sc /L cs 100 0 0 sc /C CS 1 1 1 SC /P cs /X scn /N cs 0 0 scn 0 0 0 1 k /DeviceCMYK CS 0 0 0 0 SC 0.5 G"
+    m.page(c, Resources={"Font": m.fonts, "ColorSpace": spaces})
+    got = [(r["code"], [round(v, 2) for v in r["args"]]) for r in reader.records("ops", "x", m.bytes())]
+    fills = [a for k, a in got if k == 11]
+    assert [1.0, 0.5, 0.0] in fills and [0.5, 0.0, 0.2] in fills and [1.0, 0.0, 0.2] in fills and [1.0, 1.0, 1.0] in fills
+    assert [round(v, 2) for v in colours.cmyk(0, 0, 0, 1)] == fills[-1] == [0.14, 0.12, 0.13]
+    strokes = [a for k, a in got if k == 12]
+    assert strokes[-1] == [0.5, 0.5, 0.5] and strokes[-2] == [1.0, 1.0, 1.0] and [1.0, 1.0, 1.0] in strokes[:3]
+
+
+def icc(n: int, power: float) -> bytes:
+    """A profile of one power curve, and the display's primaries as D50 has them."""
+    curve = b"curv" + bytes(4) + (1).to_bytes(4, "big") + round(power * 256).to_bytes(2, "big") + bytes(2)
+    xyz = lambda *v: b"XYZ " + bytes(4) + b"".join(round(x * 65536).to_bytes(4, "big", signed=True) for x in v)
+    tags = [(b"kTRC", curve)] if n == 1 else [(x + b"TRC", curve) for x in (b"r", b"g", b"b")] + [(b"rXYZ", xyz(0.4361, 0.2225, 0.0139)), (b"gXYZ", xyz(0.3851, 0.7169, 0.0971)), (b"bXYZ", xyz(0.1431, 0.0606, 0.7141))]
+    head, body, at = b"", b"", 132 + 12 * len(tags)
+    for name, data in tags:
+        head += name + (at + len(body)).to_bytes(4, "big") + len(data).to_bytes(4, "big")
+        body += data
+    return bytes(128) + len(tags).to_bytes(4, "big") + head + body
+
+
+def test_profiles():
+    for v in (0.0, 0.25, 0.6, 1.0):
+        grey = colours.profile(icc(1, 1.0), 1)([v])
+        assert max(abs(a - colours.shown(v)) for a in grey) < 1e-9
+        rgb = colours.profile(icc(3, 2.0), 3)([v, v, v])
+        assert max(abs(a - colours.shown(v * v)) for a in rgb) < 0.01
+    assert colours.profile(icc(3, 1.0), 3)([1, 0, 0])[0] > 0.99 and colours.profile(b"junk", 3) is None
+
+
+def test_paths_and_states():
+    m = Maker()
+    m.page("10 10 m 20 20 30 30 v 40 40 50 50 y S 2 J 1 j 4 M [3 1] 2 d /G gs /H gs /Z sh", Resources={"ExtGState": {"G": {"ca": 0.5, "CA": 0.25, "LW": 3, "BM": Name("Multiply"), "SMask": {"S": Name("Luminosity")}}, "H": {"SMask": Name("None")}}, "Shading": {"Z": m.put({"ShadingType": 2})}})
+    got = [(r["code"], r["args"]) for r in reader.records("ops", "x", m.bytes())]
+    assert (3, [10, 10, 20, 20, 30, 30]) in got and (3, [40, 40, 50, 50, 50, 50]) in got
+    for want in ((19, [2]), (20, [1]), (25, [4]), (24, [3, 1, 2]), (21, [0.5]), (23, [0.25]), (13, [3]), (26, [1]), (30, [1]), (32, [])):
+        assert want in got
+    assert got[-1][0] == 27 and got[-1][1][0] > 0
