@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import colour
@@ -42,23 +43,83 @@ def prime(rng, bits):
             return p
 
 
-def signed(data, key, rng):
-    n, e, d = key
+def message(data, algorithm, spki, sign):
+    """A PKCS#7 message over data: sign gives the signature of the attributes' bytes."""
     sha = der(0x30, oid("2.16.840.1.101.3.4.2.1"))
-    rsa = der(0x30, oid(sg.RSA), der(5))
     name = der(0x30, der(0x31, der(0x30, oid(sg.COMMON_NAME), der(12, b"Ada"))))
-    spki = der(0x30, rsa, der(3, b"\0", der(0x30, number(n), number(e))))
-    tbs = der(0x30, der(0xA0, number(2)), number(7), rsa, name, der(0x30), name, spki)
-    cert = der(0x30, tbs, rsa, der(3, b"\0"))
+    tbs = der(0x30, der(0xA0, number(2)), number(7), algorithm, name, der(0x30), name, spki)
+    cert = der(0x30, tbs, algorithm, der(3, b"\0"))
     attrs = der(0x30, oid(sg.DIGEST), der(0x31, der(4, hashlib.sha256(data).digest())))
-    want = bytes.fromhex(sg._PREFIX["sha256"]) + hashlib.sha256(der(0x31, attrs)).digest()
-    size = (n.bit_length() + 7) // 8
-    m = int.from_bytes(b"\0\1" + b"\xff" * (size - len(want) - 3) + b"\0" + want, "big")
-    info = der(0x30, number(1), der(0x30, name, number(7)), sha, der(0xA0, attrs), rsa, der(4, pow(m, d, n).to_bytes(size, "big")))
+    info = der(0x30, number(1), der(0x30, name, number(7)), sha, der(0xA0, attrs), algorithm, der(4, sign(der(0x31, attrs))))
     body = der(0x30, number(1), der(0x31, sha), der(0x30, oid("1.2.840.113549.1.7.1")), der(0xA0, cert), der(0x31, info))
     return der(0x30, oid("1.2.840.113549.1.7.2"), der(0xA0, body))
 
 
+def rsa_key(n, e, kind=sg.RSA):
+    return der(0x30, der(0x30, oid(kind), der(5)), der(3, b"\0", der(0x30, number(n), number(e))))
+
+
+def signed(data, key, rng):
+    n, e, d = key
+
+    def sign(raw):
+        want = bytes.fromhex(sg._PREFIX["sha256"]) + hashlib.sha256(raw).digest()
+        size = (n.bit_length() + 7) // 8
+        m = int.from_bytes(b"\0\1" + b"\xff" * (size - len(want) - 3) + b"\0" + want, "big")
+        return pow(m, d, n).to_bytes(size, "big")
+
+    return message(data, der(0x30, oid(sg.RSA), der(5)), rsa_key(n, e), sign)
+
+
+SHA256 = "2.16.840.1.101.3.4.2.1"
+
+
+@pytest.mark.parametrize("salt,kind", [(32, sg.RSA), (0, sg.PSS), (20, sg.PSS)])
+def test_pss_signatures(salt, kind):
+    rng = random.Random(3)
+    p, q = prime(rng, 512), prime(rng, 513)
+    n, d = p * q, pow(65537, -1, (p - 1) * (q - 1))
+
+    def sign(raw, wrong=0):
+        """EMSA-PSS by its description."""
+        bits, digest, own = n.bit_length() - 1, hashlib.sha256(raw).digest(), rng.randbytes(salt)
+        size = (bits + 7) // 8
+        h = hashlib.sha256(bytes(8) + digest + own).digest()
+        db = bytes(size - salt - 34) + b"\1" + own
+        hidden = bytearray(a ^ b for a, b in zip(db, sg.mask(h, len(db), "sha256")))
+        hidden[0] &= 0xFF >> (8 * size - bits)
+        m = bytes(hidden) + h + b"\xbc"
+        return pow(int.from_bytes(m, "big") + wrong, d, n).to_bytes((n.bit_length() + 7) // 8, "big")
+
+    hashed = der(0x30, oid(SHA256))
+    params = der(0x30, der(0xA0, hashed), der(0xA1, der(0x30, oid("1.2.840.113549.1.1.8"), hashed)), der(0xA2, number(salt)))
+    algorithm = der(0x30, oid(sg.PSS), params)
+    good = sg.check(message(b"data", algorithm, rsa_key(n, 65537, kind), sign), b"data")
+    assert (good["intact"], good["verified"], good["reason"]) == (True, True, "")
+    assert sg.check(message(b"data", algorithm, rsa_key(n, 65537, kind), lambda raw: sign(raw, 1 << 300)), b"data")["verified"] is False
+
+
+@pytest.mark.parametrize("curve", sg.CURVES)
+def test_elliptic_signatures(curve):
+    c = sg.CURVES[curve]
+    assert (c.y**2 - c.x**3 + 3 * c.x - c.b) % c.p == 0 and sg.multiplied(c, c.n, (c.x, c.y)) is None
+    secret, once, size = 0x1234567890ABCDEF77, 0xFEDCBA0987654321, (c.p.bit_length() + 7) // 8
+    x, y = sg.multiplied(c, secret, (c.x, c.y))
+    spki = der(0x30, der(0x30, oid(sg.EC_KEY), oid(curve)), der(3, b"\0\4" + x.to_bytes(size, "big") + y.to_bytes(size, "big")))
+
+    def sign(raw, wrong=0):
+        r = sg.multiplied(c, once, (c.x, c.y))[0] % c.n
+        z = int.from_bytes(hashlib.sha256(raw).digest(), "big")
+        return der(0x30, number(r), number(pow(once, -1, c.n) * (z + r * secret) % c.n + wrong))
+
+    algorithm = der(0x30, oid("1.2.840.10045.4.3.2"))
+    assert sg.check(message(b"data", algorithm, spki, sign), b"data")["verified"] is True
+    assert sg.check(message(b"data", algorithm, spki, lambda raw: sign(raw, 1)), b"data")["verified"] is False
+    assert sg.check(message(b"data", algorithm, spki, sign), b"other")["intact"] is False
+    unknown = der(0x30, der(0x30, oid(sg.EC_KEY), oid("1.3.132.0.10")), der(3, b"\0\4"))
+    assert sg.check(message(b"data", algorithm, unknown, sign), b"data")["verified"] is None
+
+
 def test_signatures():
     rng = random.Random(1)
     p, q = prime(rng, 512), prime(rng, 512)
