@@ -125,3 +125,11 @@ def block_markdown(kind: Column, level: Column, text: Column) -> Column:
 def documents_markdown(blocks: DataFrame) -> DataFrame:
     """doc_id, n_blocks, markdown of blocks (doc_id, ord, md)."""
     return blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), joined_text("md", ["ord"], "\n\n").alias("markdown"))
+
+
+def documents_json(blocks: DataFrame) -> DataFrame:
+    """doc_id, json of blocks (the reader's table): an array of objects by block_id, as many fields in each as its kind has."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    one = F.struct("block_id", F.col("page_no").alias("page"), "bbox", "kind", F.when(F.col("level") > 0, F.col("level")).alias("level"), F.when(F.col("text") != "", F.col("text")).alias("text"), some("items").alias("items"), some("rows").alias("rows"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda b: b.dropFields("block_id"))
+    return blocks.groupBy("doc_id").agg(F.to_json(listed).alias("json"))

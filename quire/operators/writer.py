@@ -140,6 +140,28 @@ class Build:
                 todo += f.get(d["Kids"]) or []
         return out
 
+    def turned(self, turns: dict[int, int]) -> Build:
+        """Pages (from 1, as they now stand) turned on by so many degrees each."""
+        for i, degrees in turns.items():
+            if 1 <= i <= len(self.kids):
+                n = self.kids[i - 1].num
+                self.objects[n] = self.objects[n] | {"Rotate": (int(self._of(self.objects[n].get("Rotate", 0)) or 0) + degrees) % 360}
+        return self
+
+    def dropped(self, pages: list[int]) -> Build:
+        """Without these pages (from 1, as they now stand)."""
+        self.kids = [k for i, k in enumerate(self.kids, 1) if i not in pages]
+        return self
+
+    def told(self, info: dict[str, str]) -> Build:
+        """With these entries of the document information (Title, Author, …); an empty one goes."""
+        if self.info is None:
+            self.info = Ref(max(self.objects) + 1, 0)
+            self.objects[self.info.num] = {}
+        have = self.objects[self.info.num] | {k: b"\xfe\xff" + v.encode("utf-16-be") for k, v in info.items()}
+        self.objects[self.info.num] = {k: v for k, v in have.items() if info.get(k, v)}
+        return self
+
     def labels(self, ranges: list[tuple[int, str, str, int]]) -> Build:
         """(start page from 1, style, prefix, first number)."""
         nums: list = []

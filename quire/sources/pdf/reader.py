@@ -238,8 +238,15 @@ def _files(raw: DataFrame, make: Callable[[bytes], bytes]) -> DataFrame:
     return raw.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string, content binary")
 
 
-def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, labels: list | None = None, fields: dict[str, str] | None = None, notes: list[dict] | None = None, new_fields: list[dict] | None = None, watermark: str = "", password: str = "", encrypt: str | None = None) -> DataFrame:
-    """New files: pages picked in any order, turned, labelled, filled, noted, marked, encrypted; only what is reachable stays."""
+def filled(raw: DataFrame, fields: dict[str, str], password: str = "") -> DataFrame:
+    """The files with values in their fields (by full name), as an update behind their own bytes."""
+    from quire.operators import writer
+
+    return _files(raw, lambda data: writer.filled(data, fields, password))
+
+
+def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, turns: dict[int, int] | None = None, labels: list | None = None, fields: dict[str, str] | None = None, notes: list[dict] | None = None, new_fields: list[dict] | None = None, watermark: str = "", drop: list[int] | None = None, info: dict[str, str] | None = None, password: str = "", encrypt: str | None = None) -> DataFrame:
+    """New files: pages picked in any order, turned (all by turn, single ones by turns), dropped, labelled, filled, noted, marked, renamed, encrypted; only what is reachable stays."""
     from quire.operators import writer
 
     def make(data: bytes) -> bytes:
@@ -250,6 +257,9 @@ def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, labels:
         if new_fields:
             data = writer.with_fields(data, new_fields, password)
         b = writer.Build().add(Document(data, password), pick, turn)
+        b = b.turned(turns) if turns else b
+        b = b.dropped(drop) if drop else b
+        b = b.told(info) if info else b
         b = b.labels(labels) if labels else b
         return (b.watermark(watermark) if watermark else b).bytes(encrypt)
 

@@ -417,3 +417,9 @@ def test_paths_and_states():
     for want in ((19, [2]), (20, [1]), (25, [4]), (24, [3, 1, 2]), (21, [0.5]), (23, [0.25]), (13, [3]), (26, [1]), (30, [1]), (32, [])):
         assert want in got
     assert got[-1][0] == 27 and got[-1][1][0] > 0
+
+
+def test_single_pages_turned_dropped_and_renamed():
+    b = writer.Build().add(Document(report(3))).turned({2: 90, 3: 180, 9: 90}).dropped([1]).told({"Title": "Änderung", "Author": ""})
+    d = Document(b.bytes())
+    assert [r["rot"] for r in d.page_rows()] == [90, 180] and d.record()["info"] == {"Title": "Änderung"}

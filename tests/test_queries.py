@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans import documents, layout, more, relational
+from quire.plans import documents, files, layout, more, relational
 from tests.oracle import differs
 
 SF = "/root/testdata/sf0.001"
-PLANS = {k: (f, m.SQL.get(k)) for m in (documents, layout, more, relational) for k, f in m.QUERIES.items()}
+PLANS = {k: (f, m.SQL.get(k)) for m in (documents, files, layout, more, relational) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", PLANS)
