@@ -15,7 +15,6 @@ from quire.operators import reading, writer
 from quire.session import Scratch
 from quire.sources.pdf import reader
 from quire.sources.pdf.objects import Name, Ref, Stream
-from quire.sources.synthetic import lines, words
 from quire.sources.xfa import read_xfa
 
 QUERIES: dict = {}
@@ -104,18 +103,109 @@ def pdf_merge(spark: SparkSession, sf: str) -> DataFrame:
     return reader.table(reader.merged(raw, "volume", "doc_id"), "documents").select("path", "n_pages")
 
 
-@query()
+_SAID = r"trim(regexp_replace(t, '[ \t\n\v\f\r]+', ' ', 'g'))"
+#: What the reader sees of a typeset row: its place from the top as a share of the page, and as heads and feet that repeat are known.
+_SEEN = f"seen AS (SELECT doc_id, page_no, line_no, {_SAID} AS t, (43 + 14 * (line_no % {PER_PAGE})) / 792.0::DOUBLE AS place FROM rows WHERE {_SAID} <> '')"
+_EDGES = "edge AS (SELECT *, concat(CAST(floor(place * 40 + 0.5) AS VARCHAR), '|', substring(regexp_replace(t, '[0-9]+', '#', 'g'), 1, 40)) AS k FROM seen WHERE place < 0.12 OR place > 0.86), total AS (SELECT doc_id, max(page_no) AS pages FROM rows GROUP BY 1), often AS (SELECT doc_id, k FROM edge JOIN total USING (doc_id) WHERE pages >= 3 GROUP BY doc_id, k, pages HAVING count(*) >= greatest(2, floor(0.4 * pages))), gone AS (SELECT doc_id, line_no FROM edge SEMI JOIN often USING (doc_id, k) UNION SELECT doc_id, line_no FROM edge WHERE (place < 0.1 OR place > 0.88) AND regexp_full_match(t, '[0-9]{1,4}'))"
+
+
+@query(f"WITH {_ROWS}, {_SEEN}, {_EDGES}, kept AS (SELECT * FROM seen ANTI JOIN gone USING (doc_id, line_no)), page AS (SELECT doc_id, page_no, concat('```', chr(10), string_agg(t, chr(10) ORDER BY line_no), chr(10), '```') AS md FROM kept GROUP BY 1, 2) SELECT d.doc_id, CAST(count(md) AS INTEGER) AS n_blocks, coalesce(string_agg(md, chr(10) || chr(10) ORDER BY page_no), '') AS markdown FROM documents d LEFT JOIN page USING (doc_id) GROUP BY 1")
 def pdf_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return reader.table(typeset_documents(spark, sf), "markdown")
+    """Rows in a typewriter's font are code, a block a page, without the heads and feet that pages repeat."""
+    return reader.table(typeset_documents(spark, sf), "markdown").select("doc_id", "n_blocks", "markdown")
 
 
-@query()
+@query(f"WITH {_ROWS}, page AS (SELECT DISTINCT doc_id, 2 + 2 * page_no AS n FROM rows) SELECT doc_id, CAST(1 AS INTEGER) AS src, CAST(2 AS INTEGER) AS dst FROM page GROUP BY 1 UNION ALL SELECT doc_id, 2, CAST(n + 1 AS INTEGER) FROM page UNION ALL SELECT doc_id, CAST(n + 1 AS INTEGER), CAST(unnest([2, 3, n]) AS INTEGER) FROM page")
 def pdf_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of every file's object graph."""
     o = reader.table(typeset_documents(spark, sf), "objects")
     return o.select("doc_id", F.col("num").alias("src"), F.explode("refs").alias("dst"))
 
 
+def _run_lengths(raw: bytes) -> bytes:
+    """Runs as runs, the rest a byte at a time."""
+    out, i = bytearray(), 0
+    while i < len(raw):
+        n = 1
+        while n < 128 and raw[i + n : i + n + 1] == raw[i : i + 1]:
+            n += 1
+        out += bytes([257 - n]) + raw[i : i + 1] if n > 1 else b"\0" + raw[i : i + 1]
+        i += n
+    return bytes(out) + b"\x80"
+
+
+def _lzw(raw: bytes) -> bytes:
+    """The published scheme: codes of 9 to 12 bits, grown one code early, the table begun anew when it is full."""
+    bits, have, out = 0, 0, bytearray()
+    table, width = {bytes([i]): i for i in range(256)}, 9
+
+    def put(code: int) -> None:
+        nonlocal bits, have
+        bits, have = bits << width | code, have + width
+        while have >= 8:
+            out.append(bits >> (have - 8) & 255)
+            have -= 8
+            bits &= (1 << have) - 1
+
+    put(256)
+    word = b""
+    for c in raw:
+        more = word + bytes([c])
+        if more in table:
+            word = more
+            continue
+        put(table[word])
+        table[more] = len(table) + 2
+        # The reader is one entry behind, and grows one code early.
+        n = len(table) + 2
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n >= 4094:
+            put(256)
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        word = bytes([c])
+    if word:
+        put(table[word])
+        n = len(table) + 3
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    put(257)
+    if have:
+        out.append(bits << (8 - have) & 255)
+    return bytes(out)
+
+
+def _rows_above(raw: bytes, columns: int) -> bytes:
+    """PNG's up predictor: each row less the one above."""
+    out, above = bytearray(), bytes(columns)
+    for i in range(0, len(raw), columns):
+        row = raw[i : i + columns]
+        out += b"\2" + bytes((a - b) & 255 for a, b in zip(row, above, strict=False))
+        above = row
+    return bytes(out)
+
+
+@query("SELECT doc_id, unnest(['Flate', 'LZW', 'RunLength', 'predictor']) AS coder, md5(text) AS digest FROM documents")
+def filter_coders(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts through each encoder, and back through the reader's filter."""
+
+    def back(t: str | None) -> list[str]:
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 16)
+        got = [
+            filters.decoded(zlib.compress(raw), ["FlateDecode"], [])[0],
+            filters.decoded(_lzw(raw), ["LZWDecode"], [])[0],
+            filters.decoded(_run_lengths(raw), ["RunLengthDecode"], [])[0],
+            filters.decoded(zlib.compress(_rows_above(padded, 16)), ["FlateDecode"], [{"Predictor": 12, "Columns": 16}])[0][: len(raw)],
+        ]
+        return [hashlib.md5(x).hexdigest() for x in got]
+
+    def run(it):
+        for b in it:
+            rows = [(d, c, x) for d, t in zip(b["doc_id"], b["text"], strict=True) for c, x in zip(("Flate", "LZW", "RunLength", "predictor"), back(t), strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "coder", "digest"])
+
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").mapInPandas(run, "doc_id long, coder string, digest string")
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def filter_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Texts through encoders, and back through the filters in a chain."""
@@ -166,17 +256,27 @@ def calculator_function(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", f("p_size").alias("r")).select("p_partkey", "r.*")
 
 
-@query()
+_WORDS = "w AS (SELECT doc_id, substring(t, 1, 40) AS t, n - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), ' '), lambda v: v <> '')) AS t, generate_subscripts(list_filter(string_split(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), ' '), lambda v: v <> ''), 1) AS n FROM documents))"
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, CAST(k // 80 + 1 AS BIGINT) AS page_no, CAST(k % 80 AS INTEGER) AS line_id, t AS text FROM w")
 def xy_cut_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Words laid out in two columns, put in reading order page by page."""
+    """Words laid out 80 to a page, in two columns where a page has 16 or more, come out in the order of the text."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = {"x0": 0.0, "y0": 0.0, "w": 10000.0, "h": 792.0}
-        pieces = [{"x": r.x + 240 * (r.line_no % 2), "y": 792.0 - r.y, "size": r.size, "w": r.w, "ang": 0.0, "text": r.text, "font": "F", "base": "F", "bold": False, "mcid": -1, "dir": "ltr"} for r in pdf.itertuples()]
-        out = reading.page_lines(pieces, page)
+        page = {"x0": 0.0, "y0": 0.0, "w": 612.0, "h": 792.0}
+        rows = pdf.sort_values("k")
+        n = len(rows)
+        left = (n + 1) // 2 if n >= 16 else n
+        # Rows are handed over as they stand on the page, from the top, left and right in turn.
+        at = [(i, 0) if i < left else (i - left, 1) for i in range(n)]
+        pieces = [{"x": 40.0 + 290 * c, "y": 770.0 - 9.0 * r, "size": 8.0, "w": min(120.0, 6.0 * len(t)), "ang": 0.0, "text": t, "font": "F", "base": "F", "bold": False, "mcid": -1, "dir": "ltr"} for (r, c), t in zip(at, rows["t"], strict=True)]
+        out = reading.page_lines([p for _, p in sorted(zip(at, pieces, strict=True), key=lambda x: x[0])], page)
         return pd.DataFrame({"doc_id": int(pdf["doc_id"].iloc[0]), "page_no": int(pdf["page_no"].iloc[0]), "line_id": [x["line_id"] for x in out], "text": [x["text"] for x in out]})
 
-    w = words(lines(spark, sf)).select("doc_id", "page_no", "line_no", "x", "y", "size", "w", "text")
+    words_ = F.filter(F.split(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", " "), " "), lambda v: v != "")
+    w = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.posexplode(words_).alias("k", "t"))
+    w = w.select("doc_id", (F.floor(F.col("k") / 80) + 1).alias("page_no"), "k", F.substring("t", 1, 40).alias("t"))
     return w.groupBy("doc_id", "page_no").applyInPandas(run, "doc_id long, page_no long, line_id int, text string")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import scalars as fn
 from quire.operators import evaluation, forms, joins, trees
 from quire.operators import windows as win
+from quire.sources.synthetic import LINE, lines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -309,12 +310,11 @@ def viewport_points(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", "turn", at.x.alias("sx"), at.y.alias("sy"))
 
 
-@query("WITH n AS (SELECT source, max(doc_id) AS m FROM documents GROUP BY 1) SELECT DISTINCT source, page FROM (SELECT source, m, unnest([1, 2, 3, 4, 5, 6 + (m - 6) // 4, 6 + 2 * (m - 6) // 4, 6 + 3 * (m - 6) // 4]) AS page FROM n) WHERE page <= m")
+@query(f"WITH {LINE}, page AS (SELECT DISTINCT doc_id, line_no // 8 + 1 AS page_no FROM line), n AS (SELECT doc_id, max(page_no) AS n FROM page GROUP BY 1) SELECT doc_id, page_no FROM page JOIN n USING (doc_id) WHERE page_no <= 5 OR page_no IN (CAST(floor(6 + (n - 6) * 1 / 4.0) AS BIGINT), CAST(floor(6 + (n - 6) * 2 / 4.0) AS BIGINT), CAST(floor(6 + (n - 6) * 3 / 4.0) AS BIGINT))")
 def stratified_pages(spark: SparkSession, sf: str) -> DataFrame:
-    n = _t(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("m"))
-    spread = [F.expr(f"6 + ({k} * (m - 6)) div 4") for k in (1, 2, 3)]
-    pages = F.array(*(F.lit(k).cast("long") for k in range(1, 6)), *spread)
-    return n.select("source", "m", F.explode(F.array_distinct(pages)).alias("page")).where("page <= m").select("source", "page")
+    """Pages of eight lines: the first five and three of the rest."""
+    pages = lines(spark, sf).select("doc_id", (F.floor(F.col("line_no") / 8) + 1).alias("page_no")).distinct()
+    return evaluation.sampled_pages(pages).select("doc_id", "page_no")
 
 
 _SQUEEZED = "trim(regexp_replace(lower({0}), '[ \t\n\v\f\r]+', ' ', 'g'))"
@@ -336,19 +336,34 @@ def fact_checks(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.bool_or((F.col("kind") == "text") & F.col("found")).alias("has_text"), F.bool_or((F.col("kind") == "order") & F.col("found")).alias("in_order"))
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber, min(abs(a.l_quantity - b.l_quantity)) AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_linenumber <> b.l_linenumber AND abs(a.l_quantity - b.l_quantity) <= 6 GROUP BY 1, 2")
+_NEAR = "a AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag AS ch, l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y FROM lineitem), b AS (SELECT l_orderkey, ch, x + 3 * (n % 4) AS x, y + n % 3 * 2 AS y FROM a)"
+
+
+@query(f"WITH {_NEAR} SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = a.l_orderkey AND b.ch = a.ch AND abs(b.x - a.x) <= 6 AND abs(b.y - a.y) <= 3)) AS agreed FROM a GROUP BY 1")
 def position_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    a = _t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_quantity")
-    b = a.select("l_orderkey", "l_returnflag", F.col("l_linenumber").alias("n2"), F.col("l_quantity").alias("q2"))
-    d = F.abs(F.col("l_quantity") - F.col("q2"))
-    return a.join(b, ["l_orderkey", "l_returnflag"]).where((F.col("l_linenumber") != F.col("n2")) & (d <= 6)).groupBy("l_orderkey", "l_linenumber").agg(F.min(d).alias("d"))
+    """Characters of each order against the same ones moved: how many have one near."""
+    n = F.col("l_linenumber")
+    a = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("ch"), F.col("l_quantity").cast("double").alias("x"), n.cast("double").alias("y"), n.alias("n"))
+    b = a.select("l_orderkey", "ch", (F.col("x") + 3 * (F.col("n") % 4)).alias("x"), (F.col("y") + F.col("n") % 3 * 2).alias("y"))
+    return evaluation.position_agreement(a.drop("n"), b, ["l_orderkey"])
+
+
+@query("WITH d AS (SELECT doc_id, ch, count(*) AS a FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[ \t\n\r]+', '', 'g'), '')) AS ch FROM documents) GROUP BY 1, 2), e AS (SELECT doc_id, ch, a AS b FROM d WHERE ch NOT IN ('a', 'e') UNION ALL SELECT doc_id, '*', sum(a) FROM d WHERE ch IN ('a', 'e') GROUP BY 1), s AS (SELECT doc_id, ch, sum(b) AS b FROM e GROUP BY 1, 2) SELECT doc_id, round(sum(least(coalesce(a, 0), coalesce(b, 0)))::DOUBLE / sum(a), 6) AS precision, round(sum(least(coalesce(a, 0), coalesce(b, 0)))::DOUBLE / sum(b), 6) AS recall FROM d FULL JOIN s USING (doc_id, ch) GROUP BY 1")
+def bag_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text against itself with two letters starred out."""
+    d = _t(spark, sf, "documents").select("doc_id", "text")
+    found = evaluation.bag_agreement(d, d.select("doc_id", F.translate("text", "ae", "**").alias("text")), "doc_id")
+    return found.select("doc_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'rtl' ELSE 'ltr' END AS dir, 'office ﬀ' AS raw, 'office ff' AS plain, concat('a<', CAST(s_suppkey AS VARCHAR), '>&') AS xml FROM supplier")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'rtl' ELSE 'ltr' END AS dir, md5(text) AS plain, md5(text) AS unescaped, md5(trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'))) AS squeezed FROM documents WHERE text IS NOT NULL")
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("s_suppkey") % 2 == 0, "שלום ab").otherwise("abc ש")
-    xml = F.concat(F.lit("a&lt;"), F.col("s_suppkey").cast("string"), F.lit("&gt;&amp;"))
-    return _t(spark, sf, "supplier").select("s_suppkey", fn.direction(text).alias("dir"), F.lit("office ﬀ").alias("raw"), fn.unligature(F.lit("office ﬀ")).alias("plain"), fn.xml_unescape(xml).alias("xml"))
+    """Texts with ligatures set, escaped, and a third of them behind more letters that run from the right; each undone."""
+    d = _t(spark, sf, "documents").select("doc_id", "text").where("text is not null")
+    shin = F.repeat(F.lit("ש"), F.length("text") + 1)
+    bound = F.replace(F.replace(F.replace("text", F.lit("ffi"), F.lit("ﬃ")), F.lit("ff"), F.lit("ﬀ")), F.lit("fl"), F.lit("ﬂ"))
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return d.select("doc_id", fn.direction(F.when(F.col("doc_id") % 3 == 0, F.concat(shin, "text")).otherwise(F.col("text"))).alias("dir"), F.md5(fn.unligature(bound)).alias("plain"), F.md5(fn.xml_unescape(escaped)).alias("unescaped"), F.md5(fn.squeeze(F.col("text"))).alias("squeezed"))
 
 
 @query("SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, min(turn) AS first_turn FROM conversations GROUP BY 1")
