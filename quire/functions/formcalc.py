@@ -170,16 +170,56 @@ def formatted(v: Any, script: str) -> str:
     return f"{'-' if v < 0 and scaled else ''}{scaled:.{digits}f}"
 
 
+def _typed(v: Any) -> Any:
+    """What a script sees as a field's value: a number where the text is one."""
+    return float(v) if isinstance(v, str) and re.fullmatch(r"\s*[-+]?(?:\d+\.?\d*|\.\d+)\s*", v) else v
+
+
+def scripted(name: str, script: str, values: dict[str, Any]) -> Any:
+    """The value that a script gives its field, run in the sandbox; other fields that it sets are set in values.
+
+    The script sees event (value, name), getField and this.getField, and the simple calculations."""
+    from quire.functions.script import run
+
+    seen: dict[str, dict[str, Any]] = {}
+
+    def get(n: str) -> Any:
+        return seen.setdefault(n, {"name": n, "value": _typed(values[n])}) if n in values else None
+
+    event: dict[str, Any] = {"value": _typed(values.get(name, "")), "name": name}
+
+    def simple(kind: str, names: Any) -> None:
+        listed = [str(x).strip() for n in (names if isinstance(names, list) else [names]) for x in str(n).split(",")]
+        event["value"] = float(_SIMPLE_OPS[kind]([number(values.get(n, 0)) for n in listed]))
+
+    got = run(script, {"event": event, "getField": get, "this": {"getField": get}, "AFSimple_Calculate": simple, "AFMakeNumber": lambda v: number(v)})
+    if got["error"]:
+        raise Unreadable(got["error"])
+    for n, x in seen.items():
+        if n != name and isinstance(x["value"], str | float) and x["value"] != _typed(values[n]):
+            values[n] = show(x["value"])
+    v = event["value"]
+    if isinstance(v, bool) or not isinstance(v, str | int | float) or isinstance(v, float) and not math.isfinite(v):
+        raise Unreadable("no text or number")
+    return v
+
+
 def recalculated(fields: list[dict], order: list[int]) -> tuple[dict[str, str], list[str]]:
-    """Values by name after all formulas, in the given order of objects (else twice in file order), and the names skipped."""
+    """Values by name after all formulas, in the given order of objects (else twice in file order), and the names skipped.
+
+    What is no simple formula is run as a script."""
     values = {f["name"]: f["value"] for f in fields}
     by = {f["obj"]: f for f in fields if f["calc"]}
     todo = [by[o] for o in order if o in by] if order else [f for f in fields if f["calc"]] * 2
     skipped: list[str] = []
     for f in todo:
         try:
-            values[f["name"]] = formatted(calculate(f["calc"], values), f["format"])
-        except (Unreadable, TypeError, ValueError):
+            try:
+                v = calculate(f["calc"], values)
+            except (Unreadable, TypeError, ValueError):
+                v = scripted(f["name"], f["calc"], values)
+            values[f["name"]] = formatted(v, f["format"])
+        except (Unreadable, TypeError, ValueError, KeyError):
             if f["name"] not in skipped:
                 skipped.append(f["name"])
     return values, skipped

@@ -49,3 +49,10 @@ def test_calculator_functions():
     assert fc.exponential(0.5, [0, 1], [1, 0], 2) == [0.25, 0.75]
     assert fc.stitched(0.75, (0, 1), [0.5], [0, 1, 1, 0], [lambda t: [t], lambda t: [10 * t]]) == [5]
     assert fc.sampled(0.25, [[0.0], [1.0], [4.0]]) == [0.5]
+
+
+def test_scripts_where_formulas_end():
+    f = [field("n", "4"), field("note", "old"), field("fact", calc='var n = this.getField("n").value, r = 1; for (var i = 2; i <= n; i++) { r = r * i; } if (r > 20) { getField("note").value = "large"; } event.value = r;', fmt="AFNumber_Format(1, 0)", obj=1), field("text", calc='event.value = "n is " + getField("n").value.toString();', obj=2), field("no", "kept", calc="event.value = nosuch.thing;", obj=3)]
+    values, skipped = fc.recalculated(f, [1, 2, 3])
+    assert (values["fact"], values["note"], values["text"], values["no"]) == ("24.0", "large", "n is 4", "kept") and skipped == ["no"]
+    assert fc.recalculated([field("a", "2"), field("s", calc='if (true) AFSimple_Calculate("SUM", ["a", "a"]);', obj=1)], [1])[0]["s"] == "4"
