@@ -150,50 +150,82 @@ def _columns(runs: list[dict]) -> list[list[dict]] | None:
             width = (b - start) * 2
             mid = lo + start * 2 + width / 2
             if width >= max(0.9 * height, 0.015 * (hi - lo)) and start > 0 and b < bins:
-                sides = [sum(p["_u"] + p["w"] / 2 < mid for p in runs), sum(p["_u"] + p["w"] / 2 >= mid for p in runs)]
+                sides = [sum(_end(p) <= mid for p in runs), sum(p["_u"] >= mid for p in runs)]
                 score = min(sides) * 1000 + width
                 if best is None or score > best[0]:
-                    best = (score, mid)
+                    best = (score, lo + start * 2, mid, width)
             start = None
     if best is None:
         return None
-    mid = best[1]
-    spans = [line for line in lines if any(p["_u"] < mid - height / 2 and p["_u"] + p["w"] > mid + height / 2 for p in line)]
+    _, edge, mid, width = best
+    table = _table_rows(lines, height)
+    left, right, spans = [], [], []
+    for line in lines:
+        near, far = ([p for p in line if (p["_u"] + max(p["w"], 1) / 2 < mid) == side] for side in (True, False))
+        # A line spans the gutter if one of its runs goes over the middle, if it has no gap as wide there, or if it is a table's row.
+        over = any(p["_u"] < edge and _end(p) > mid for p in line)
+        if not over and near and far:
+            over = min(p["_u"] for p in far) - max(map(_end, near)) < 0.8 * width or id(line) in table
+        if over:
+            spans.append(line)
+        else:
+            left += near
+            right += far
     if len(spans) > max(3, 0.3 * len(lines)):
         return None
-    across = {id(p) for line in spans for p in line}
-    left, right = ([p for p in runs if id(p) not in across and (p["_u"] + p["w"] / 2 < mid) == side] for side in (True, False))
-    if any(len(s) < 3 or len({round(p["_v"] / max(1, height)) for p in s}) < 4 for s in (left, right)) or _rows_align(lines, height):
+    if any(len(s) < 3 or len({round(p["_v"] / max(1, height)) for p in s}) < 4 for s in (left, right)):
         return None
     out: list[list[dict]] = []
     above = math.inf
     for v, line in sorted(((max(p["_v"] for p in ln), ln) for ln in spans), key=lambda t: -t[0]):
+        floor = v + 0.5 * height
         for side in (left, right):
-            out.append([p for p in side if v < p["_v"] <= above])
+            out.append([p for p in side if floor < p["_v"] <= above])
         out.append(line)
-        above = v
+        above = min(above, floor)
     for side in (left, right):
         out.append([p for p in side if p["_v"] <= above])
     return [g for g in out if g]
 
 
-def _rows_align(lines: list[list[dict]], height: float) -> bool:
-    """Three or more lines in a row of three or more short cells that begin alike: a table, not columns."""
-    run, last = 0, None
-    for line in lines:
-        cells, texts = [line[0]["_u"]], [line[0]["text"]]
-        for a, b in zip(line, line[1:]):
-            if b["_u"] - a["_u"] - a["w"] > 2.2 * height:
-                cells.append(b["_u"])
-                texts.append(b["text"])
-            else:
-                texts[-1] += b["text"]
-        good = len(cells) >= 3 and max(map(len, texts)) <= 40
-        run = run + 1 if good and last and len(last) == len(cells) and all(abs(a - b) <= height for a, b in zip(cells, last)) else int(good)
-        last = cells if good else None
-        if run >= 3:
-            return True
-    return False
+def _end(p: dict) -> float:
+    return p["_u"] + max(p["w"], 1)
+
+
+def _table_rows(lines: list[list[dict]], height: float) -> set[int]:
+    """Lines (by identity) of three or more in a row, close, of three or more short cells, that begin where the first one's do."""
+    out: set[int] = set()
+    group: list[tuple[list[dict], list[float]]] = []
+
+    def flush() -> None:
+        if len(group) >= 3:
+            out.update(id(line) for line, _ in group)
+        group.clear()
+
+    for line in sorted(lines, key=lambda ln: -ln[0]["_v"]):
+        cells = _cell_starts(line, height)
+        if group:
+            same = sum(any(abs(x - y) <= height for y in cells) for x in group[0][1])
+            if len(group[0][1]) < 3 or len(cells) < 3 or same < 3 or group[-1][0][0]["_v"] - line[0]["_v"] >= 2.5 * height:
+                flush()
+        group.append((line, cells))
+    flush()
+    return out
+
+
+def _cell_starts(line: list[dict], height: float) -> list[float]:
+    """Where a line's cells begin; none if one of them has over 40 characters."""
+    starts: list[float] = []
+    size, end = 0, -math.inf
+    for p in sorted(line, key=lambda p: p["_u"]):
+        if p["_u"] - end > 2.2 * height:
+            starts.append(p["_u"])
+            size = 0
+        size += len(p["text"])
+        if size > LIMITS.label_chars:
+            return []
+        end = max(end, _end(p))
+    return starts
 
 
 def _bands(runs: list[dict]) -> list[list[dict]]:

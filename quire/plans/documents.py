@@ -270,7 +270,7 @@ def xy_cut_lines(spark: SparkSession, sf: str) -> DataFrame:
         left = (n + 1) // 2 if n >= 16 else n
         # Rows are handed over as they stand on the page, from the top, left and right in turn.
         at = [(i, 0) if i < left else (i - left, 1) for i in range(n)]
-        pieces = [{"x": 40.0 + 290 * c, "y": 770.0 - 9.0 * r, "size": 8.0, "w": min(120.0, 6.0 * len(t)), "ang": 0.0, "text": t, "font": "F", "base": "F", "bold": False, "mcid": -1, "dir": "ltr"} for (r, c), t in zip(at, rows["t"], strict=True)]
+        pieces = [{"x": 40.0 + 290 * c, "y": 770.0 - 9.0 * r, "size": 8.0, "w": 100.0, "ang": 0.0, "text": t, "font": "F", "base": "F", "bold": False, "mcid": -1, "dir": "ltr"} for (r, c), t in zip(at, rows["t"], strict=True)]
         out = reading.page_lines([p for _, p in sorted(zip(at, pieces, strict=True), key=lambda x: x[0])], page)
         return pd.DataFrame({"doc_id": int(pdf["doc_id"].iloc[0]), "page_no": int(pdf["page_no"].iloc[0]), "line_id": [x["line_id"] for x in out], "text": [x["text"] for x in out]})
 

@@ -423,3 +423,39 @@ def test_single_pages_turned_dropped_and_renamed():
     b = writer.Build().add(Document(report(3))).turned({2: 90, 3: 180, 9: 90}).dropped([1]).told({"Title": "Änderung", "Author": ""})
     d = Document(b.bytes())
     assert [r["rot"] for r in d.page_rows()] == [90, 180] and d.record()["info"] == {"Title": "Änderung"}
+
+
+def two_columns(m: Maker, rows: int, middle: str = "") -> str:
+    c = ""
+    for i in range(rows):
+        c += say(72, 650 - 14 * i, 10, f"left column line {i} with words") + say(330, 650 - 14 * i, 10, f"right column line {i} with words")
+    return c + middle
+
+
+def test_table_across_columns_stays_together():
+    """Rows of short cells that go over the gutter are rows; the columns below are read one after the other."""
+    m = Maker()
+    table = "".join(say(72 + 100 * k, 720 - 14 * i, 10, f"c{i}{k}") for i in range(3) for k in range(5))
+    m.page(table + two_columns(m, 10))
+    lines = [x["text"] for x in reader._lines(Document(m.bytes()), None)]
+    assert lines[:3] == [" ".join(f"c{i}{k}" for k in range(5)) for i in range(3)]
+    assert lines[3:] == [f"{s} column line {i} with words" for s in ("left", "right") for i in range(10)]
+
+
+def test_words_without_a_gap_at_the_gutter_are_one_line():
+    m = Maker()
+    title = "".join(say(100 + 60 * k, 700, 10, f"titlewd{k}") for k in range(7))
+    m.page(title + two_columns(m, 10))
+    lines = [x["text"] for x in reader._lines(Document(m.bytes()), None)]
+    assert lines[0] == " ".join(f"titlewd{k}" for k in range(7)) and lines[1] == "left column line 0 with words" and lines[11] == "right column line 0 with words"
+
+
+def test_ranged_reads_of_the_source(spark, tmp_path):
+    from quire.sources.pdf.datasource import PdfSource, document_id
+
+    (tmp_path / "a.pdf").write_bytes(report(2))
+    spark.dataSource.register(PdfSource)
+    load = lambda **o: spark.read.format("pdf").option("table", "lines").options(**o).load(str(tmp_path))
+    rows = sorted(map(str, load().collect()))
+    assert rows == sorted(map(str, load(ranged="true").collect())) == sorted(map(str, reader.table(reader.read_pdf(spark, str(tmp_path)), "lines").collect()))
+    assert load().first().doc_id == document_id(f"file:{tmp_path}/a.pdf")
