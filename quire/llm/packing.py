@@ -30,6 +30,8 @@ from quire.llm.tokenize import words
 from quire.session import Scratch
 
 CAPACITY = 2048
+#: The most exchanges of the local search, for each class of bins that best fit leaves: a bound on the driver's work that does not go by documents.
+EXCHANGES = 60
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -81,72 +83,131 @@ def _changed(b: Bin, out: tuple[int, ...], into: tuple[int, ...]) -> Bin:
     return tuple(sorted(((x, n) for x, n in c.items() if n > 0), reverse=True))
 
 
-def _better(small: Bin, full: Bin, room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What leaves the emptier bin and what it gets back: the largest gain of the fuller one within its room."""
-    best, found = 0, None
-    mine = [x for x, _ in small]
-    for i, x in enumerate(mine):
-        if best < x <= room:
-            best, found = x, ((x,), ())
-        for y, _ in full:
-            if best < x - y <= room:
-                best, found = x - y, ((x,), (y,))
-        for z in mine[i:]:
-            if z == x and dict(small)[x] < 2:
-                continue
-            for y, _ in full:
-                if best < x + z - y <= room:
-                    best, found = x + z - y, ((x, z), (y,))
-    return found
-
-
-def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
-    """Exchanges between underfull bins, until bins are as few as can be or no exchange is left.
-
-    Each raises the squared fill and is made in all equal pairs of bins of its two classes at once.
+class _Classes:
+    """Classes of equal bins that are not full, by fill; and one flat table of what each may give back in an exchange.
+
+    A class that comes back after it was used up is a new one, so what was looked at once need not be again."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.items: list[Bin] = []
+        self.number: list[int] = []
+        self.ids: dict[Bin, int] = {}
+        self.open: list[tuple[int, int]] = []  # (fill, class)
+        self.seen: list[int] = []  # by class: how much of the table holds no exchange for it
+        self.size = self.used = 0
+        self.give, self.owner, self.fill = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.alive = np.zeros(1 << 12, bool)  # by class
+
+    def put(self, b: Bin, n: int) -> None:
+        k = self.ids.get(b)
+        if k is None:
+            k, fill = len(self.items), _fill(b)
+            self.ids[b] = k
+            self.items.append(b)
+            self.number.append(0)
+            self.seen.append(0)
+            insort(self.open, (fill, k))
+            gives = [0, *(y for y, _ in b)]
+            while self.size + len(gives) > len(self.give):
+                self.give, self.owner, self.fill = (np.concatenate([x, np.zeros_like(x)]) for x in (self.give, self.owner, self.fill))
+            while k >= len(self.alive):
+                self.alive = np.concatenate([self.alive, np.zeros_like(self.alive)])
+            to = slice(self.size, self.size + len(gives))
+            self.give[to], self.owner[to], self.fill[to], self.alive[k] = gives, k, fill, True
+            self.size += len(gives)
+            self.used += len(gives)
+        self.number[k] += n
+
+    def take(self, k: int, n: int) -> None:
+        self.number[k] -= n
+        if not self.number[k]:
+            b = self.items[k]
+            self.alive[k] = False
+            del self.ids[b]
+            del self.open[bisect_left(self.open, (_fill(b), k))]
+            self.used -= len(b) + 1
+            if self.size > 4 * self.used + 4096:
+                self._compact()
+
+    def _compact(self) -> None:
+        """The table without what is used up."""
+        keep = self.alive[self.owner[: self.size]]
+        before = np.concatenate([[0], np.cumsum(keep)])
+        for _, k in self.open:
+            self.seen[k] = int(before[self.seen[k]])
+        for x in (self.give, self.owner, self.fill):
+            x[: before[-1]] = x[: self.size][keep]
+        self.size = int(before[-1])
+
+    def exchange(self, k: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """For bins of class k: a class as full or fuller, what goes there and what comes back, that leaves it least room."""
+        start, own = self.seen[k], self.items[k]
+        give, owner, fill = (x[start : self.size] for x in (self.give, self.owner, self.fill))
+        good = self.alive[owner] & (fill >= _fill(own))
+        if self.number[k] < 2:
+            good &= owner != k
+        room = self.capacity - fill
+        out = [((x,), x) for x, _ in own] + [((x, z), x + z) for i, (x, n) in enumerate(own) for z, _ in own[i:] if z != x or n > 1]
+        best, found = None, None
+        for gone, total in out:
+            gain = total - give
+            # Two go for one alone; one goes for one, or for nothing.
+            ok = good & (gain > 0) & (gain <= room) & ((give > 0) if len(gone) == 2 else True)
+            if ok.any():
+                left = np.where(ok, room - gain, self.capacity + 1)
+                i = int(left.argmin())
+                if best is None or (left[i], -gain[i]) < best:
+                    best, found = (left[i], -gain[i]), (int(owner[i]), gone, (int(give[i]),) if give[i] else ())
+        if found is None:
+            self.seen[k] = self.size
+        return found
+
+
+def local_search(bins: Counter[Bin], capacity: int, most: int = EXCHANGES) -> Counter[Bin]:
+    """Exchanges between underfull bins, until bins are as few as can be or no exchange is left, or after most exchanges for each class that there is to begin with.
+
+    Each raises the squared fill and is made in all equal pairs of bins of its two classes at once, so work goes by the
+    kinds of bins, not by their number. The emptiest bins give first, until they are empty and gone, or nobody takes more.
     """
-    bins = Counter(bins)
     number, least = bins.total(), -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
-    open_ = sorted((f, b) for b in bins if (f := _fill(b)) < capacity)
-    #: By class, the classes that it has no exchange with.
-    none: dict[Bin, set[Bin]] = {}
+    full, classes = Counter({b: n for b, n in bins.items() if _fill(b) == capacity}), _Classes(capacity)
 
     def put(b: Bin, n: int) -> None:
-        if b not in bins and (f := _fill(b)) < capacity:
-            insort(open_, (f, b))
-        bins[b] += n
-
-    def take(b: Bin, n: int) -> None:
-        bins[b] -= n
-        if not bins[b]:
-            del bins[b]
-            del open_[bisect_left(open_, (_fill(b), b))]
-
-    at = 0
-    while number > least and at < len(open_):
-        small = open_[at][1]
-        no = none.setdefault(small, set())
-        for i in range(len(open_) - 1, at - 1, -1):
-            fill, full = open_[i]
-            if full in no:
-                continue
-            pairs = bins[small] // 2 if full == small else min(bins[small], bins[full])
-            if not pairs:
-                continue
-            if m := _better(small, full, capacity - fill):
-                take(small, pairs)
-                take(full, pairs)
-                put(_changed(full, m[1], m[0]), pairs)
-                if rest := _changed(small, m[0], m[1]):
-                    put(rest, pairs)
-                else:
-                    number -= pairs
-                at = 0
-                break
-            no.add(full)
+        if _fill(b) == capacity:
+            full[b] += n
         else:
+            classes.put(b, n)
+
+    for b, n in bins.items():
+        if _fill(b) < capacity:
+            classes.put(b, n)
+    left, at, moved = most * len(classes.items), 0, False
+    while number > least and left:
+        if at >= len(classes.open):
+            if not moved:
+                break
+            at, moved = 0, False
+            continue
+        k = classes.open[at][1]
+        found = classes.exchange(k)
+        if found is None:
             at += 1
-    return bins
+            continue
+        other, gone, back = found
+        small, fuller = classes.items[k], classes.items[other]
+        pairs = classes.number[k] // 2 if other == k else min(classes.number[k], classes.number[other])
+        classes.take(k, pairs)
+        classes.take(other, pairs)
+        put(_changed(fuller, back, gone), pairs)
+        if rest := _changed(small, gone, back):
+            put(rest, pairs)
+            # What is left of the emptied bins goes on giving.
+            at = bisect_left(classes.open, (_fill(rest), classes.ids[rest]))
+        else:
+            number -= pairs
+        left, moved = left - 1, True
+    return full + Counter({b: classes.number[k] for b, k in classes.ids.items()})
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cut: str = "lead") -> DataFrame:

@@ -47,10 +47,18 @@ def test_local_search_leaves_no_exchange():
     rng = random.Random(2)
     lengths = Counter(rng.randint(40, 140) for _ in range(20_000))
     first = packing.best_fit(dict(lengths), 205)
-    bins = packing.local_search(first, 205)
+    bins = packing.local_search(first, 205, 1 << 20)
     least = -(-sum(x * n for x, n in lengths.items()) // 205)
-    room = {b: 205 - sum(x * k for x, k in b) for b in bins}
-    left = [(a, b) for a in bins for b in bins if room[a] >= room[b] > 0 and (a != b or bins[a] > 1) and packing._better(a, b, room[b])]
+    fill = {b: sum(x * k for x, k in b) for b in bins}
+
+    def exchange(a, b):
+        """Whether bin a, the emptier, has something to give to b, for something smaller or nothing."""
+        room, mine = 205 - fill[b], [x for x, k in a for _ in range(k)]
+        backs = [x for x, _ in b]
+        one = any(0 < x - y <= room for x in mine for y in [0, *backs])
+        return one or any(0 < x + z - y <= room for i, x in enumerate(mine) for z in mine[:i] for y in backs)
+
+    left = [(a, b) for a in bins for b in bins if 205 > fill[b] >= fill[a] and (a != b or bins[a] > 1) and exchange(a, b)]
     assert bins.total() < first.total() and (bins.total() == least or not left)
     held = Counter()
     for b, n in bins.items():
@@ -60,8 +68,28 @@ def test_local_search_leaves_no_exchange():
 
 
 def test_one_for_one_and_two_for_one():
-    assert packing._better(((5, 1),), ((4, 1), (3, 1)), 2) == ((5,), (3,))
-    assert packing._better(((4, 1), (3, 1)), ((6, 1),), 1) == ((4, 3), (6,))
+    def best(*bins, capacity):
+        c = packing._Classes(capacity)
+        for b in bins:
+            c.put(b, 1)
+        return c.exchange(0)
+
+    assert best(((5, 1),), ((4, 1), (3, 1)), capacity=9) == (1, (5,), (3,))
+    assert best(((4, 1), (3, 1)), ((8, 1),), capacity=9) is None
+    assert best(((4, 1), (2, 1)), ((5, 1), (4, 1)), capacity=10) == (1, (4, 2), (5,))
+    assert best(((2, 1),), ((5, 1),), capacity=8) == (1, (2,), ())
+
+
+def test_exchanges_have_a_bound():
+    rng = random.Random(9)
+    lengths = Counter(rng.randint(400, 1400) for _ in range(30_000))
+    first = packing.best_fit(dict(lengths), 2048)
+    bins = packing.local_search(first, 2048, 2)
+    held = Counter()
+    for b, n in bins.items():
+        for x, k in b:
+            held[x] += k * n
+    assert held == lengths and bins.total() <= first.total()
 
 
 def test_query_against_plain_encoding(spark):
