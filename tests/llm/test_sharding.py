@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,3 +53,41 @@ def test_numbers_within_groups(spark):
     for g in (0, 1):
         own = sorted((r.nth, r.id) for r in got if r.g == g)
         assert [n for n, _ in own] == list(range(len(own))) and [i for _, i in own] == sorted(i for _, i in own)
+
+
+def plain(rows, n):
+    """On one machine: groups of equal texts, largest first, whole into the shard with most room; then the rest. By row: its shard."""
+    groups = defaultdict(list)
+    for i, (_, t) in enumerate(rows):
+        groups[t or ""].append(i)
+    goal = [len(rows) // n + (s < len(rows) % n) for s in range(n)]
+    out = {}
+    for g in sorted(groups.values(), key=len, reverse=True):
+        while g:
+            s = max(range(n), key=lambda s: goal[s])
+            part, g = g[: goal[s]], g[goal[s] :]
+            goal[s] -= len(part)
+            out |= dict.fromkeys(part, s)
+    return out
+
+
+def cut(rows, shard_of):
+    """Links that are cut: for each text, its documents less the most that are in one shard."""
+    by = defaultdict(Counter)
+    for i, (_, t) in enumerate(rows):
+        by[t or ""][shard_of(i)] += 1
+    return sum(c.total() - max(c.values()) for c in by.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cut_links_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    rows, n = [], 12
+    while len(rows) < 1500:
+        text = f"text {len(rows)}"
+        rows += [(0, text)] * rng.choice([1, 1, 1, 1, 2, 3, 5, 9, 40])
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.shard for r in sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), n).collect()}
+    best, mine, dealt = cut(rows, plain(rows, n).get), cut(rows, got.get), cut(rows, lambda i: zlib.crc32(str(i).encode()) % n)
+    assert sum(c > 1 for c in Counter(t for _, t in rows).values()) > 50
+    assert best <= mine <= best + 0.05 * len(rows) and mine < 0.15 * dealt
