@@ -189,12 +189,13 @@ class Page:
             if not isinstance(part, bytes) or font is None:
                 continue
             said, start = [], tm
+            far, blanks = 0.0, 0
             for _, ch, w, blank in font.codes(part):
                 said.append(ch)
-                if font.vertical:
-                    tm = times((1, 0, 0, 1, 0, w * size + s["tc"] + (s["tw"] if blank else 0)), tm)
-                else:
-                    tm = times((1, 0, 0, 1, (w * size + s["tc"] + (s["tw"] if blank else 0)) * th, 0), tm)
+                far += w
+                blanks += blank
+            far = far * size + s["tc"] * len(said) + s["tw"] * blanks
+            tm = times((1, 0, 0, 1, 0, far) if font.vertical else (1, 0, 0, 1, far * th, 0), tm)
             self._piece("".join(said), font, s, start, tm)
         return tm
 
@@ -204,7 +205,7 @@ class Page:
             return
         a, b = times((1, 0, 0, 1, 0, s["rise"]), times(start, s["ctm"])), times((1, 0, 0, 1, 0, s["rise"]), times(end, s["ctm"]))
         dx, dy = b[4] - a[4], b[5] - a[5]
-        rtl = sum("֐" <= c <= "ࣿ" or "יִ" <= c <= "ﻼ" for c in said) > sum(c.isascii() and c.isalpha() for c in said)
+        rtl = not said.isascii() and sum("֐" <= c <= "ࣿ" or "יִ" <= c <= "ﻼ" for c in said) > sum(c.isascii() and c.isalpha() for c in said)
         self.pieces.append({"x": a[4], "y": a[5], "size": abs(s["size"]) * math.hypot(a[2], a[3]), "w": math.hypot(dx, dy), "ang": math.atan2(a[1], a[0]), "text": said, "font": font.name, "base": font.base, "bold": font.bold, "mcid": mcid if mcid is not None else -1, "dir": "ttb" if font.vertical else "rtl" if rtl else "ltr"})
         self._op("text", a[4], a[5], s["size"], s["mode"])
 

@@ -157,6 +157,8 @@ class Font:
         flags = 0
         self.map: dict[int, str] = {}
         self.by_cid: dict[int, str] = {}
+        #: What each code of a simple font is, from when it is first shown.
+        self.single: list[tuple[int, str, float, bool]] | None = None
         sizes: set[int] = set()
         u = f.at(d, "ToUnicode")
         if isinstance(u, Stream):
@@ -225,20 +227,26 @@ class Font:
 
     def codes(self, s: bytes) -> list[tuple[int, str, float, bool]]:
         """For each code: it, its characters, how far it moves on in text units (downwards below 0), and whether word spacing goes with it."""
+        if not self.wide:
+            if self.single is None:
+                self.single = [self._code(bytes([c])) for c in range(256)]
+            return [self.single[c] for c in s]
         out, i = [], 0
         while i < len(s):
-            n = self.split.length(s, i) if self.wide else 1
-            raw = s[i : i + n]
+            n = self.split.length(s, i)
+            out.append(self._code(s[i : i + n]))
             i += n
-            c = int.from_bytes(raw, "big")
-            cid = self.split.cid(c, n) if self.wide else c
-            ch = self.map.get(c)
-            if ch is None and self.wide:
-                ch = self.split.said(raw) or self.by_cid.get(cid)
-            if ch is None:
-                ch = chr(c) if 32 <= c < 0x110000 and not 0xD800 <= c < 0xE000 else ""
-            if len(ch) == 1 and ord(ch) in _LIGATURES:
-                ch = _LIGATURES[ord(ch)]
-            far = self.downs.get(cid, self.down) if self.vertical else self.widths.get(cid, self.default)
-            out.append((c, ch, far * (0.001 if self.wide else self.unit), n == 1 and c == 32))
         return out
+
+    def _code(self, raw: bytes) -> tuple[int, str, float, bool]:
+        c = int.from_bytes(raw, "big")
+        cid = self.split.cid(c, len(raw)) if self.wide else c
+        ch = self.map.get(c)
+        if ch is None and self.wide:
+            ch = self.split.said(raw) or self.by_cid.get(cid)
+        if ch is None:
+            ch = chr(c) if 32 <= c < 0x110000 and not 0xD800 <= c < 0xE000 else ""
+        if len(ch) == 1 and ord(ch) in _LIGATURES:
+            ch = _LIGATURES[ord(ch)]
+        far = self.downs.get(cid, self.down) if self.vertical else self.widths.get(cid, self.default)
+        return c, ch, far * (0.001 if self.wide else self.unit), len(raw) == 1 and c == 32
