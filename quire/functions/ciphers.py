@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import lru_cache
 
 _PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
 
+def content_key(data: bytes) -> str:
+    """A key of bytes for caches: their number, and FNV-1a over their little-endian words and what is left, in base 36."""
+    whole, h, digits = len(data) // 4 * 4, 2166136261, ""
+    for w in (*struct.unpack(f"<{whole // 4}I", data[:whole]), *data[whole:]):
+        h = (h ^ w) * 16777619 & 0xFFFFFFFF
+    while h or not digits:
+        h, d = divmod(h, 36)
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
+    return f"{len(data)}-{digits}"
+
+
 def rc4(key: bytes, data: bytes) -> bytes:
     s, j = list(range(256)), 0
     for i in range(256):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from dataclasses import dataclass, field
 from typing import Any
 
 from quire.functions.formcalc import Unreadable, form_calc, show
@@ -27,8 +28,59 @@ def _plain(e: ET.Element | None) -> str:
     return re.sub(r"\s+", " ", "".join(e.itertext())).strip() if e is not None else ""
 
 
+@dataclass
+class Changes:
+    """What scripts make of a form: names hidden, names repeated so often, names with new values, and what they said."""
+
+    hidden: set[str] = field(default_factory=set)
+    times: dict[str, int] = field(default_factory=dict)
+    values: dict[str, str] = field(default_factory=dict)
+    said: list[str] = field(default_factory=list)
+    failed: int = 0
+
+
+#: Repeats that a script may force; repeats by data have no bound but the data.
+MOST_REPEATS = 2000
+_EVENTS = {"initialize", "calculate", "ready"}
+
+
+def events(template: ET.Element, boxes: list[dict]) -> Changes:
+    """The template's scripts of events that come before a form is shown, run in the sandbox on what is laid out."""
+    from quire.functions.script import run
+
+    out = Changes()
+    shown = {b["name"]: b["text"] for b in reversed(boxes) if b["name"] and b["text"]}
+
+    def node(name: str) -> dict:
+        def times(n) -> None:
+            out.times[name] = min(MOST_REPEATS, max(0, int(n) if isinstance(n, int | float) and n == n else 0))
+
+        manager = {"setInstances": times, "addInstance": lambda *_: times(out.times.get(name, 1) + 1), "removeInstance": lambda *_: times(out.times.get(name, 1) - 1), "count": float(out.times.get(name, 1))}
+        return {"name": name, "rawValue": shown.get(name, ""), "value": shown.get(name, ""), "presence": "hidden" if name in out.hidden else "visible", "instanceManager": manager}
+
+    names = {e.get("name") for e in template.iter() if e.tag in ("field", "subform", "draw") and e.get("name")}
+    nodes = {n: node(n) for n in names}
+    host = {"host": {"messageBox": lambda m="", *_: out.said.append(str(m)) or 0.0, "setFocus": lambda *_: None}, "resolveNode": lambda path="": nodes.get(str(path).split(".")[-1])}
+    for owner in template.iter():
+        for event in owner.findall("event"):
+            script = event.find("script")
+            if event.get("activity") not in _EVENTS or script is None or "formcalc" in script.get("contentType", "").lower() or not (source := "".join(script.itertext()).strip()):
+                continue
+            this = nodes.get(owner.get("name", ""), node(owner.get("name", "")))
+            out.failed += bool(run(source, nodes | {"xfa": host, "this": this})["error"])
+            for n, x in nodes.items():
+                for key in ("rawValue", "value"):
+                    if x[key] != shown.get(n, ""):
+                        out.values[n] = shown[n] = show(x[key]) if isinstance(x[key], str | float) else ""
+                        x["rawValue"] = x["value"] = shown[n]
+                        break
+                (out.hidden.add if x["presence"] in ("hidden", "invisible") else out.hidden.discard)(n)
+    return out
+
+
 class Form:
-    def __init__(self, xml: str):
+    def __init__(self, xml: str, changes: Changes | None = None):
+        self.changes = changes or Changes()
         root = _bare(xml)
         self.template = root if root.tag == "template" else root.find(".//template")
         data = root.find(".//datasets/data")
@@ -72,7 +124,7 @@ class Form:
         widths = [to_points(w) for w in e.get("columnWidths", "").split()]
         room = to_points(e.get("w"), self.width - x)
         for k, child in enumerate(c for c in e if c.tag in ("subform", "field", "draw", "subformSet", "exclGroup")):
-            if child.get("presence") in ("hidden", "inactive"):
+            if child.get("presence") in ("hidden", "inactive") or child.get("name") in self.changes.hidden:
                 continue
             for record in self.records(child, data):
                 ax, ay = to_points(child.get("x")), to_points(child.get("y"))
@@ -106,6 +158,7 @@ class Form:
         most = int(occur.get("max", max(1, least))) if occur is not None else 1
         most = len(found) if most < 0 else most
         n = max(least, min(len(found), most)) if occur is not None else 1
+        n = self.changes.times.get(child.get("name", ""), n)
         if n > 1:
             self.stats["repeats"] += n - 1
         return [found[i] if i < len(found) else (ET.Element("none") if found else data) for i in range(n)]
@@ -131,6 +184,8 @@ class Form:
         return w, h
 
     def value(self, e: ET.Element, data: ET.Element) -> str:
+        if e.get("name") in self.changes.values:
+            return self.changes.values[e.get("name")]
         script = e.find("calculate/script")
         if script is not None:
             try:
@@ -147,6 +202,15 @@ def read_xfa(xml: str) -> tuple[list[dict], dict]:
     """Boxes and counters of an XFA form; none from text that is no XML."""
     try:
         f = Form(xml)
-        return f.read(), f.stats
+        boxes = f.read()
+        made = events(f.template, boxes) if f.template is not None else Changes()
+        failed = made.failed
+        if made.hidden or made.times or made.values:
+            f = Form(xml, made)
+            boxes = f.read()
+        f.stats["scripts_skipped"] += failed
+        if made.said:
+            f.stats["messages"] = len(made.said)
+        return boxes, f.stats
     except ET.ParseError:
         return [], {}

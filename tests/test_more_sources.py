@@ -198,3 +198,21 @@ def test_arriving_files(spark, tmp_path):
     run()
     assert spark.read.parquet(f"{out}/documents").count() == 2
     assert reader.SCHEMAS["pages"].startswith("doc_id")
+
+
+def event(activity, code, kind="application/x-javascript"):
+    return f'<event activity="{activity}"><script contentType="{kind}">{code}</script></event>'
+
+
+def test_xfa_event_scripts():
+    fields = "".join(f'<field name="{n}" h="10pt">{more}</field>' for n, more in (
+        ("a", ""),
+        ("b", event("initialize", 'this.rawValue = a.rawValue + "!"; xfa.host.messageBox("hello");')),
+        ("c", event("calculate", 'a.presence = "hidden";')),
+        ("d", event("ready", "xfa.resolveNode('f.row').instanceManager.setInstances(3);")),
+        ("e", event("click", 'this.rawValue = "never";') + event("initialize", "nosuch.thing();") + event("initialize", "x = 1", "application/x-formcalc")),
+    ))
+    xml = f'<xdp><template><subform name="f" layout="tb">{fields}<subform name="row" layout="tb"><occur min="1" max="-1"/><field name="r" h="10pt"/></subform></subform></template><datasets><data><f><a>one</a><e>five</e></f></data></datasets></xdp>'
+    boxes, stats = read_xfa(xml)
+    assert [(b["name"], b["text"]) for b in boxes] == [("b", "one!"), ("c", ""), ("d", ""), ("e", "five"), *[("r", "")] * 3]
+    assert stats["messages"] == 1 and stats["scripts_skipped"] == 1

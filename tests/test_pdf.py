@@ -2,6 +2,7 @@ import random
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from quire.functions import ciphers, filters
@@ -459,3 +460,10 @@ def test_ranged_reads_of_the_source(spark, tmp_path):
     rows = sorted(map(str, load().collect()))
     assert rows == sorted(map(str, load(ranged="true").collect())) == sorted(map(str, reader.table(reader.read_pdf(spark, str(tmp_path)), "lines").collect()))
     assert load().first().doc_id == document_id(f"file:{tmp_path}/a.pdf")
+
+
+def test_content_keys():
+    # FNV-1a of single bytes is published for "a": 0xE40C292C.
+    assert ciphers.content_key(b"a") == "1-" + np.base_repr(0xE40C292C, 36).lower() and ciphers.content_key(b"") == "0-" + np.base_repr(2166136261, 36).lower()
+    assert ciphers.content_key(b"abcd") == "4-" + np.base_repr((2166136261 ^ 0x64636261) * 16777619 % 2**32, 36).lower()
+    assert len({ciphers.content_key(bytes(40) + bytes([i]) + bytes(40)) for i in range(256)}) == 256
