@@ -45,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; readable after lost executors."""
 
+    #: Those of this process that still have their folders, as they were made.
+    live: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.live.append(self)
+
+    @staticmethod
+    def clear(since: int = 0) -> None:
+        """Delete the tables of all that were made from the since-th on; for results that are written or no longer asked for."""
+        for s in Scratch.live[since:]:
+            s.drop()
+        del Scratch.live[since:]
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
