@@ -28,8 +28,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of a few numbers each that may go to all tasks: some 16 MB.
-SMALL = 500_000
+#: Rows of a few numbers each that may go to all tasks: some 3 MB.
+SMALL = 100_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
