@@ -5,14 +5,15 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import colour
 from quire.operators import writer
 from quire.operators.blocks import documents_json
 from quire.session import Scratch
 from quire.sources import cmaps
-from quire.sources.pdf import reader
+from quire.sources.pdf import metrics, reader
 from quire.sources.pdf.objects import Name, Ref, Stream
 
 QUERIES: dict = {}
@@ -223,3 +224,75 @@ def cid_codes(spark: SparkSession, sf: str) -> DataFrame:
     r = spark.read.parquet(f"{sf}/part.parquet").select(name("p_partkey"), lo.alias("lo"), (lo + F.col("p_size")).alias("hi"), F.lit(2).alias("bytes"), (F.col("p_partkey") * 7).cast("long").alias("cid"))
     codes = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", name("o_custkey"), F.col("o_orderkey").alias("code"))
     return cmaps.to_cids(codes, r).select("o_orderkey", "cid")
+
+
+SHIFT = 7
+
+
+def specimen(key: int, name: str, share: float) -> bytes:
+    """A page that says a name in a standard font, in codes of its own with a map to Unicode, and in an encoding of two bytes; and that fills by tint, ink and index."""
+    objects: dict = {}
+
+    def put(o) -> Ref:
+        objects[len(objects) + 1] = o
+        return Ref(len(objects), 0)
+
+    root, tree = put(None), put(None)
+    times = put({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Times-Roman"), "Encoding": Name("WinAnsiEncoding")})
+    last = 126 - SHIFT
+    cmap = f"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <{32 + SHIFT:02X}> <{last + SHIFT:02X}> <0020> endbfrange"
+    shifted = put({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Own"), "FirstChar": 0, "Widths": [500] * 256, "ToUnicode": put(Stream({}, cmap.encode()))})
+    kid = put({"Type": Name("Font"), "Subtype": Name("CIDFontType0"), "BaseFont": Name("Kai"), "DW": 800})
+    kanji = put({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Kai"), "Encoding": Name("90ms-RKSJ-H"), "DescendantFonts": [kid]})
+    tint = put({"FunctionType": 2, "Domain": [0, 1], "C0": [1, 1, 1], "C1": [0, 0.5, 0.25], "N": 1})
+    spaces = {"S": [Name("Separation"), Name("Ink"), Name("DeviceRGB"), tint], "I": [Name("Indexed"), Name("DeviceRGB"), 255, bytes(v for i in range(256) for v in (i, 255 - i, 51))]}
+    rows = [("T", name.encode("ascii")), ("O", bytes(c + SHIFT for c in name.encode("ascii"))), ("K", f"漢字{key}".encode("cp932"))]
+    shown = [f"BT /{f} 10 Tf 72 {700 - 40 * i} Td <{raw.hex()}> Tj ET" for i, (f, raw) in enumerate(rows)]
+    fills = [f"/S cs {share:.2f} scn", f"/I cs {key % 256} sc", f"0 0 0 {share:.2f} k"]
+    text = put(Stream({}, "\n".join([*shown, *fills]).encode()))
+    page = put({"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, 612, 792], "Resources": {"Font": {"T": times, "O": shifted, "K": kanji}, "ColorSpace": spaces}, "Contents": text})
+    objects[tree.num] = {"Type": Name("Pages"), "Kids": [page], "Count": 1}
+    objects[root.num] = {"Type": Name("Catalog"), "Pages": tree}
+    return writer.assembled(objects, {"Root": root})
+
+
+def specimens(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, path, content: a file a part."""
+
+    def run(it):
+        for b in it:
+            made = [specimen(k, n, s / 100) for k, n, s in zip(b["p_partkey"], b["name"], b["p_size"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["p_partkey"], "path": b["p_partkey"].astype(str), "content": made})
+
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("name"), "p_size")
+    return p.mapInPandas(run, "doc_id long, path string, content binary")
+
+
+_NAMES = "p AS (SELECT p_partkey AS doc_id, concat_ws(' ', p_brand, p_type) AS name, p_size / 100.0::DOUBLE AS share FROM part)"
+_TIMES = "w AS (SELECT * FROM (VALUES " + ", ".join(f"({32 + i}, {x})" for i, x in enumerate(metrics.TIMES)) + ") v(code, width))"
+
+
+@query(f"WITH {_NAMES}, {_TIMES}, c AS (SELECT doc_id, unnest(string_split(name, '')) AS ch FROM p) SELECT doc_id, round(sum(width) / 100.0::DOUBLE, 6) AS w FROM c JOIN w ON w.code = ascii(ch) GROUP BY 1")
+def font_widths(spark: SparkSession, sf: str) -> DataFrame:
+    """How wide a name is in a standard font whose widths no file gives."""
+    return reader.table(specimens(spark, sf), "pieces").where("base = 'Times-Roman'").select("doc_id", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, 'Own' AS base, name AS text, round(5.0::DOUBLE * length(name), 6) AS w FROM p UNION ALL SELECT doc_id, 'Kai', concat('漢字', CAST(doc_id AS VARCHAR)), round(8.0::DOUBLE * (2 + length(CAST(doc_id AS VARCHAR))), 6) FROM p")
+def font_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes by a font's own map, and of one and two bytes by a predefined one."""
+    return reader.table(specimens(spark, sf), "pieces").where("base <> 'Times-Roman'").select("doc_id", "base", "text", F.round("w", 6).alias("w"))
+
+
+_BLACK = {n: dict(zip(colour.CMYK_TERMS, row, strict=True)) for n, row in zip("rgb", colour.CMYK, strict=True)}
+_INK = ", ".join(f"round(least(1, greatest(0, (255 + ({_BLACK[n]['kk']!r}::DOUBLE) * share * share + ({_BLACK[n]['k']!r}::DOUBLE) * share) / 255)), 6)" for n in "rgb")
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, 'tint' AS kind, round(1 - share, 6) AS r, round(1 - 0.5 * share, 6) AS g, round(1 - 0.75 * share, 6) AS b FROM p UNION ALL SELECT doc_id, 'index', round(doc_id % 256 / 255.0::DOUBLE, 6), round((255 - doc_id % 256) / 255.0::DOUBLE, 6), 0.2 FROM p UNION ALL SELECT doc_id, 'ink', {_INK} FROM p")
+def file_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """Fills by a separation's tint, a palette's entry and black ink: the last colour operation of each kind."""
+    ops = reader.table(specimens(spark, sf), "ops").where("code = 11")
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("op_id"))
+    # A space begins with a colour of its own; then comes the one that is asked for.
+    kind = F.element_at(F.create_map(F.lit(2), F.lit("tint"), F.lit(4), F.lit("index"), F.lit(5), F.lit("ink")), F.col("k"))
+    return ops.withColumn("k", k).where(F.col("k").isin(2, 4, 5)).select("doc_id", kind.alias("kind"), *(F.round(F.col("args")[i], 6).alias(n) for i, n in enumerate("rgb")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import lru_cache
 from typing import Any
 
 from quire.sources import cmaps
@@ -75,6 +76,14 @@ ENCODINGS = {"UCS2": "utf-16-be", "UTF16": "utf-16-be", "UTF8": "utf-8", "UTF32"
 STANDARD = {0x27: "’", 0x60: "‘", 0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xA4: "⁄", 0xA5: "¥", 0xA6: "ƒ", 0xA7: "§", 0xA8: "¤", 0xA9: "'", 0xAA: "“", 0xAB: "«", 0xAC: "‹", 0xAD: "›", 0xAE: "fi", 0xAF: "fl", 0xB1: "–", 0xB2: "†", 0xB3: "‡", 0xB4: "·", 0xB6: "¶", 0xB7: "•", 0xB8: "‚", 0xB9: "„", 0xBA: "”", 0xBB: "»", 0xBC: "…", 0xBD: "‰", 0xBF: "¿", 0xC1: "`", 0xC2: "´", 0xC3: "ˆ", 0xC4: "˜", 0xC5: "¯", 0xC6: "˘", 0xC7: "˙", 0xC8: "¨", 0xCA: "˚", 0xCB: "¸", 0xCD: "˝", 0xCE: "˛", 0xCF: "ˇ", 0xD0: "—", 0xE1: "Æ", 0xE3: "ª", 0xE8: "Ł", 0xE9: "Ø", 0xEA: "Œ", 0xEB: "º", 0xF1: "æ", 0xF5: "ı", 0xF8: "ł", 0xF9: "ø", 0xFA: "œ", 0xFB: "ß"}
 
 
+@lru_cache(maxsize=4)
+def characters(base: str) -> dict[int, str]:
+    """Characters by code of a base encoding; Windows' where it is another."""
+    codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
+    out = {c: bytes([c]).decode(codec, "replace") for c in range(32, 256)}
+    return {c: ch for c, ch in out.items() if c < 127} | STANDARD if base == "StandardEncoding" else out
+
+
 class Codes:
     """How a composite font's strings fall into codes, and codes into glyph numbers (CIDs) and characters."""
 
@@ -210,11 +219,7 @@ class Font:
     def _encoded(self, encoding: Any) -> dict[int, str]:
         """Characters by code: of the base encoding, and the differences from it."""
         base = encoding if isinstance(encoding, Name) else self.f.at(encoding, "BaseEncoding")
-        codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
-        out = {c: bytes([c]).decode(codec, "replace") for c in range(32, 256)}
-        if base == "StandardEncoding":
-            out = {c: ch for c, ch in out.items() if c < 127} | STANDARD
-        code = 0
+        out, code = dict(characters(str(base))), 0
         for x in self.f.at(encoding, "Differences") or []:
             x = self.f.get(x)
             if isinstance(x, int):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # The published widths from blank to tilde, in thousandths of the size.
 HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584]
@@ -34,17 +35,19 @@ def family(base: str) -> tuple[list[int], int] | None:
 
 def widths(base: str, chars: dict[int, str]) -> dict[int, float]:
     """Widths by code, of the codes that chars has characters for: an accented letter is as wide as its base."""
+    return {code: w for code, ch in chars.items() if (w := width(base, ch)) is not None}
+
+
+@lru_cache(maxsize=1 << 14)
+def width(base: str, ch: str) -> float | None:
+    """How wide a character is in a font by its name; None if that is not known."""
     found = family(base)
     if found is None:
-        return {}
+        return None
     table, which = found
-    out: dict[int, float] = {}
-    for code, ch in chars.items():
-        plain = unicodedata.normalize("NFD", ch)[:1]
-        if ch in MARKS and which >= 0:
-            out[code] = float(MARKS[ch][which])
-        elif " " <= plain <= "~":
-            out[code] = float(table[ord(plain) - 32])
-        elif table[0] == table[1]:
-            out[code] = float(table[0])
-    return out
+    plain = unicodedata.normalize("NFD", ch)[:1]
+    if ch in MARKS and which >= 0:
+        return float(MARKS[ch][which])
+    if " " <= plain <= "~":
+        return float(table[ord(plain) - 32])
+    return float(table[0]) if table[0] == table[1] else None

@@ -230,10 +230,16 @@ def text_items(pieces: DataFrame) -> DataFrame:
 
 
 def _files(raw: DataFrame, make: Callable[[bytes], bytes]) -> DataFrame:
+    """New files; those that cannot be read give none (the table ``errors`` tells which)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, path, data in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame({"doc_id": [doc_id], "path": [path], "content": [make(bytes(data))]})
+                try:
+                    made = make(bytes(data))
+                except Exception:  # noqa: BLE001  a damaged file is not the end of the job
+                    continue
+                yield pd.DataFrame({"doc_id": [doc_id], "path": [path], "content": [made]})
 
     return raw.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string, content binary")
 
@@ -267,14 +273,20 @@ def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, turns: d
 
 
 def merged(raw: DataFrame, group: str, order: str) -> DataFrame:
-    """One file for each group (a column of raw), of its files' pages by order: doc_id, path (the group), content."""
+    """One file for each group (a column of raw), of its files' pages by order: doc_id, path (the group), content.
+
+    Files that cannot be read are left out (the table ``errors`` tells which)."""
     from quire.operators import writer
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         b = writer.Build()
         for data in pdf["content"]:
-            b.add(Document(bytes(data)))
+            try:
+                d = Document(bytes(data))
+            except Exception:  # noqa: BLE001, S112  a damaged file is not the end of the job
+                continue
+            b.add(d)
         return pd.DataFrame({"doc_id": [int(pdf["doc_id"].min())], "path": [str(pdf[group].iloc[0])], "content": [b.bytes()]})
 
     return raw.groupBy(group).applyInPandas(run, "doc_id long, path string, content binary")
