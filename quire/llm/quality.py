@@ -68,8 +68,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), text.alias("_t"))
     d = d.select("*", F.filter(F.split("_t", SPACE), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     d = d.select("*", F.size("_w").alias("_n"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    starts = F.when(F.col("_n") >= WINDOW, F.sequence(F.lit(1), F.col("_n") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    d = d.select("*", F.transform(starts, lambda i: F.xxhash64(F.slice("_h", i, WINDOW))).alias("_win"))
+    # A run of 2k words hashed from its two halves: three passes make windows of eight.
+    windows, size = F.col("_h"), 1
+    while size < WINDOW:
+        ahead = F.greatest(F.size(windows) - size, F.lit(0))
+        d = d.select("*", F.zip_with(F.slice(windows, 1, ahead), F.slice(windows, size + 1, ahead), lambda a, b: F.xxhash64(a, b)).alias(f"_w{2 * size}"))
+        size *= 2
+        windows = F.col(f"_w{size}")
+    d = d.withColumnRenamed(f"_w{WINDOW}", "_win")
     # Windows by hash and place, only where some hash stands twice.
     d = d.select("*", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_s"))
     d = d.select("*", F.size("_s").alias("_k"))
