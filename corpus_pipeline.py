@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        held = len(Scratch.live)
+        held = len(Scratch.live())
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
         # What the stage itself wrote on the way is of no more use.
         Scratch.clear(held)

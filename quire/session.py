@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,20 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; readable after lost executors."""
 
-    #: Those of this process that still have their folders, as they were made.
-    live: list[Scratch] = []
+    _made = threading.local()
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        Scratch.live.append(self)
-
-    @staticmethod
-    def clear(since: int = 0) -> None:
-        """Delete the tables of all that were made from the since-th on; for results that are written or no longer asked for."""
-        for s in Scratch.live[since:]:
+        Scratch.live().append(self)
+
+    @classmethod
+    def live(cls) -> list[Scratch]:
+        """Those that this thread has made and not cleared, in order."""
+        if not hasattr(cls._made, "all"):
+            cls._made.all = []
+        return cls._made.all
+
+    @classmethod
+    def clear(cls, since: int = 0) -> None:
+        """Delete the tables of all that this thread made from the since-th on; for results that are written or no longer asked for."""
+        made = cls.live()
+        for s in made[since:]:
             s.drop()
-        del Scratch.live[since:]
+        del made[since:]
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
