@@ -39,17 +39,21 @@ def within_page(p: dict, page: dict) -> bool:
 
 
 class Printed:
-    """What is on a page already, to tell what is printed over it again."""
+    """What is on a page already, to tell what is printed over it again; by text and place, so that a word that fills a page costs no more than others."""
+
+    CELL = 4.0
 
     def __init__(self):
-        self.kept: dict[str, list[tuple[float, float, float]]] = {}
+        self.kept: dict[tuple[str, int, int], list[tuple[float, float, float]]] = {}
 
     def again(self, text: str, size: float, x: float, y: float) -> bool:
-        near, own = max(0.5, 0.15 * size), self.kept.setdefault(text, [])
-        for s, u, v in own:
-            if abs(s - size) < 0.1 and abs(u - x) < near and abs(v - y) < near:
-                return True
-        own.append((size, x, y))
+        near, kept, c = max(0.5, 0.15 * size), self.kept, self.CELL
+        for i in range(int((x - near) // c), int((x + near) // c) + 1):
+            for j in range(int((y - near) // c), int((y + near) // c) + 1):
+                for s, u, v in kept.get((text, i, j), ()):
+                    if abs(s - size) < 0.1 and abs(u - x) < near and abs(v - y) < near:
+                        return True
+        kept.setdefault((text, int(x // c), int(y // c)), []).append((size, x, y))
         return False
 
 

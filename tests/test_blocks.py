@@ -39,3 +39,21 @@ def test_numbered_heading_runs_and_front_matter():
 
 def test_collinear_rules_merge():
     assert reading.merged_rules([(10, 0, 5), (10.4, 6, 40), (10, 100, 104), (30, 0, 9)]) == [(10, 0, 40), (30, 0, 9)] or reading.merged_rules([(10, 0, 5), (10.4, 6, 40)]) == [(10, 0, 40)]
+
+
+def test_doubles_against_all_pairs_and_in_time():
+    import random
+    import time
+
+    from quire.operators.reading import Printed, without_doubles
+
+    rng = random.Random(2)
+    pieces = [{"text": rng.choice("ab"), "size": rng.choice([8.0, 8.05, 12.0, 30.0]), "x": rng.uniform(-20, 60), "y": rng.uniform(-5, 30)} for _ in range(600)]
+    kept = []
+    for p in pieces:
+        near = max(0.5, 0.15 * p["size"])
+        if not any(q["text"] == p["text"] and abs(q["size"] - p["size"]) < 0.1 and abs(q["x"] - p["x"]) < near and abs(q["y"] - p["y"]) < near for q in kept):
+            kept.append(p)
+    assert without_doubles(pieces) == kept and len(kept) < 600
+    page, began = Printed(), time.time()
+    assert not any(page.again("w", 10.0, 8.0 * i, 0.0) for i in range(100_000)) and time.time() - began < 5
