@@ -51,13 +51,10 @@ def mask_digits(text: Column) -> Column:
     return F.regexp_replace(text, "[0-9]+", "#")
 
 
-def character_counts(text: Column) -> Column:
-    """array<struct<ch,n>>: how often each character stands in a text, by one pass over its sorted characters."""
-    put = lambda a: F.when(a.n == 0, a.out).otherwise(F.concat(a.out, F.array(F.struct(a.ch.alias("ch"), a.n.alias("n")))))
-    state = lambda ch, n, out: F.struct(ch.alias("ch"), n.alias("n"), out.alias("out"))
-    start = state(F.lit(""), F.lit(0).cast("long"), F.array().cast("array<struct<ch:string,n:bigint>>"))
-    step = lambda a, c: F.when(a.ch == c, state(a.ch, a.n + 1, a.out)).otherwise(state(c, F.lit(1).cast("long"), put(a)))
-    return F.aggregate(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), start, step, put)
+def character_counts(text: str) -> Column:
+    """array<struct<ch,n>>: how often each character stands in the texts of a column: for each one that there is, what the text is longer than without it."""
+    distinct = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.transform(distinct, lambda c: F.struct(c.alias("ch"), (F.length(text) - F.length(F.replace(F.col(text), c, F.lit("")))).cast("long").alias("n")))
 
 
 def unligature(text: Column) -> Column:

@@ -44,7 +44,8 @@ def bag_agreement(mine: DataFrame, theirs: DataFrame, on: str) -> DataFrame:
     """on, precision, recall of the characters (but blanks) of two tables (on, text), as multisets."""
 
     def bag(df: DataFrame, name: str) -> DataFrame:
-        counts = df.select(on, F.inline(character_counts(F.regexp_replace("text", "[ \\t\\n\\r]+", ""))))
+        bare = df.select(on, F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("_t"))
+        counts = bare.select(on, F.inline(character_counts("_t")))
         return counts.groupBy(on, "ch").agg(F.sum("n").alias(name))
 
     j = bag(mine, "a").join(bag(theirs, "b"), [on, "ch"], "full").fillna(0, ["a", "b"])

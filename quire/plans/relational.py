@@ -230,8 +230,8 @@ def role_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH d AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY 1, 2), b AS (SELECT ch, sum(n) AS m FROM (SELECT item_id, ch, count(*) AS n FROM (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark) GROUP BY 1, 2) GROUP BY 1) SELECT doc_id, CAST(sum(least(n, coalesce(m, 0))) AS BIGINT) AS shared, round(CAST(sum(least(n, coalesce(m, 0))) AS DOUBLE) / sum(n), 6) AS precision FROM d LEFT JOIN b USING (ch) GROUP BY 1")
 def multiset_pr(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").select("doc_id", F.inline(fn.character_counts(F.col("text"))))
-    b = _t(spark, sf, "benchmark").select(F.inline(fn.character_counts(F.col("text")))).groupBy("ch").agg(F.sum("n").alias("m"))
+    d = _t(spark, sf, "documents").select("doc_id", F.inline(fn.character_counts("text")))
+    b = _t(spark, sf, "benchmark").select(F.inline(fn.character_counts("text"))).groupBy("ch").agg(F.sum("n").alias("m"))
     shared = F.sum(F.least("n", F.coalesce("m", F.lit(0))))
     # One row for each character that there is.
     return d.join(F.broadcast(b), "ch", "left").groupBy("doc_id").agg(shared.alias("shared"), F.round(shared.cast("double") / F.sum("n"), 6).alias("precision"))
