@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import colour
 from quire.operators import writer
 from quire.operators.blocks import documents_json
-from quire.session import Scratch
+from quire.session import Scratch, dealt
 from quire.sources import cmaps
 from quire.sources.pdf import metrics, reader
 from quire.sources.pdf.objects import Name, Ref, Stream
@@ -227,6 +227,11 @@ def cid_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SHIFT = 7
+#: Parts a task: one costs milliseconds to write and read, and thousands have their rows in a megabyte.
+PARTS = 500
+
+
+_PALETTE = bytes(v for i in range(256) for v in (i, 255 - i, 51))
 
 
 def specimen(key: int, name: str, share: float) -> bytes:
@@ -245,7 +250,7 @@ def specimen(key: int, name: str, share: float) -> bytes:
     kid = put({"Type": Name("Font"), "Subtype": Name("CIDFontType0"), "BaseFont": Name("Kai"), "DW": 800})
     kanji = put({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Kai"), "Encoding": Name("90ms-RKSJ-H"), "DescendantFonts": [kid]})
     tint = put({"FunctionType": 2, "Domain": [0, 1], "C0": [1, 1, 1], "C1": [0, 0.5, 0.25], "N": 1})
-    spaces = {"S": [Name("Separation"), Name("Ink"), Name("DeviceRGB"), tint], "I": [Name("Indexed"), Name("DeviceRGB"), 255, bytes(v for i in range(256) for v in (i, 255 - i, 51))]}
+    spaces = {"S": [Name("Separation"), Name("Ink"), Name("DeviceRGB"), tint], "I": [Name("Indexed"), Name("DeviceRGB"), 255, _PALETTE]}
     rows = [("T", name.encode("ascii")), ("O", bytes(c + SHIFT for c in name.encode("ascii"))), ("K", f"漢字{key}".encode("cp932"))]
     shown = [f"BT /{f} 10 Tf 72 {700 - 40 * i} Td <{raw.hex()}> Tj ET" for i, (f, raw) in enumerate(rows)]
     fills = [f"/S cs {share:.2f} scn", f"/I cs {key % 256} sc", f"0 0 0 {share:.2f} k"]
@@ -265,7 +270,7 @@ def specimens(spark: SparkSession, sf: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["p_partkey"], "path": b["p_partkey"].astype(str), "content": made})
 
     p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("name"), "p_size")
-    return p.mapInPandas(run, "doc_id long, path string, content binary")
+    return dealt(p, "p_partkey", PARTS).mapInPandas(run, "doc_id long, path string, content binary")
 
 
 _NAMES = "p AS (SELECT p_partkey AS doc_id, concat_ws(' ', p_brand, p_type) AS name, p_size / 100.0::DOUBLE AS share FROM part)"

@@ -43,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df by key in tasks of about so many rows: for work that costs much a row, whose few bytes would be one task of a scan."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; readable after lost executors."""
 

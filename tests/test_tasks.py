@@ -1,0 +1,10 @@
+"""That work is spread over tasks, and what small things cost."""
+
+from quire.plans import files
+
+PARTS = "/root/testdata/sf0.01"
+
+
+def test_parts_are_dealt_out(spark):
+    raw = files.specimens(spark, PARTS)
+    assert raw.rdd.getNumPartitions() == 4 and raw.select("doc_id").distinct().count() == 2000
