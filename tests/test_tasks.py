@@ -1,6 +1,10 @@
 """That work is spread over tasks, and what small things cost."""
 
 from quire.plans import files
+from quire.sources.pdf import objects
+from quire.sources.pdf.content import read
+from quire.sources.pdf.extract import Document
+from quire.sources.pdf.fonts import Font
 
 PARTS = "/root/testdata/sf0.01"
 
@@ -8,3 +12,20 @@ PARTS = "/root/testdata/sf0.01"
 def test_parts_are_dealt_out(spark):
     raw = files.specimens(spark, PARTS)
     assert raw.rdd.getNumPartitions() == 4 and raw.select("doc_id").distinct().count() == 2000
+
+
+def test_a_font_works_out_only_codes_that_are_shown():
+    d = Document(files.specimen(5, "Brand#5 LARGE", 0.25))
+    page = read(d.f, d.pages[0])
+    assert [p["text"] for p in page.pieces] == ["Brand#5 LARGE", "Brand#5 LARGE", "漢字5"]
+    simple = [f for f in page.fonts.values() if not f.wide]
+    assert len(simple) == 2 and all(len(f.single) == len(set("Brand#5 LARGE")) for f in simple)
+
+
+def test_differences_leave_the_base_encoding_as_it_is():
+    f = Document(files.specimen(1, "x", 0.1)).f
+    encoded = lambda e: Font(f, {"BaseFont": objects.Name("Times-Roman"), "Encoding": e}, "F")
+    base = encoded(objects.Name("WinAnsiEncoding"))
+    own = encoded({"BaseEncoding": objects.Name("WinAnsiEncoding"), "Differences": [65, objects.Name("B")]})
+    again = encoded(objects.Name("WinAnsiEncoding"))
+    assert own.map[65] == "B" and base.map[65] == again.map[65] == "A" and own.widths[65] != again.widths[65]
