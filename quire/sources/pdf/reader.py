@@ -20,6 +20,8 @@ from quire.sources.pdf import content
 from quire.sources.pdf.extract import Document
 
 RECT = "array<double>"
+#: Records of small files are handed on together, up to so many of them, or of so many bytes of files: a frame of its own costs more than a small file.
+ROWS, HELD = 2000, 1 << 20
 SCHEMAS = {
     "documents": "doc_id long, path string, n_pages int, info map<string,string>, perm long, page_mode string, page_layout string, fingerprint string, tagged boolean, lang string, xmp string, xfa boolean, xfa_xml string, open_page int, open_fit string, viewer_preferences map<string,string>, calc_order array<int>",
     "errors": "doc_id long, path string, table string, page_no int, reason string",
@@ -197,12 +199,20 @@ def table(raw: DataFrame, name: str, password: str = "", pages: list[int] | None
     only = set(pages) if pages is not None else None
     hidden = set(hide) if hide is not None else None
 
+    def frames(found: list[dict]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(found), 20000):
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in found[at : at + 20000]], dtype=object) for c in columns})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
         for batch in batches:
             for doc_id, path, data in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                found = [r | {"doc_id": doc_id} for r in records(name, path, bytes(data), password, only, hidden, cmaps)]
-                for at in range(0, len(found), 20000):
-                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in found[at : at + 20000]], dtype=object) for c in columns})
+                found += [r | {"doc_id": doc_id} for r in records(name, path, bytes(data), password, only, hidden, cmaps)]
+                held += len(data)
+                if len(found) >= ROWS or held >= HELD:
+                    yield from frames(found)
+                    found, held = [], 0
+        yield from frames(found)
 
     return raw.select("doc_id", "path", "content").mapInPandas(run, schema)
 
@@ -234,12 +244,19 @@ def _files(raw: DataFrame, make: Callable[[bytes], bytes]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            done, held = [], 0
             for doc_id, path, data in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
                 try:
                     made = make(bytes(data))
-                except Exception:  # noqa: BLE001  a damaged file is not the end of the job
+                except Exception:  # noqa: BLE001, S112  a damaged file is not the end of the job
                     continue
-                yield pd.DataFrame({"doc_id": [doc_id], "path": [path], "content": [made]})
+                done.append((doc_id, path, made))
+                held += len(made)
+                if held >= HELD:
+                    yield pd.DataFrame(done, columns=["doc_id", "path", "content"])
+                    done, held = [], 0
+            if done:
+                yield pd.DataFrame(done, columns=["doc_id", "path", "content"])
 
     return raw.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string, content binary")
 

@@ -1,7 +1,7 @@
 """That work is spread over tasks, and what small things cost."""
 
 from quire.plans import files
-from quire.sources.pdf import objects
+from quire.sources.pdf import objects, reader
 from quire.sources.pdf.content import read
 from quire.sources.pdf.extract import Document
 from quire.sources.pdf.fonts import Font
@@ -29,3 +29,27 @@ def test_differences_leave_the_base_encoding_as_it_is():
     own = encoded({"BaseEncoding": objects.Name("WinAnsiEncoding"), "Differences": [65, objects.Name("B")]})
     again = encoded(objects.Name("WinAnsiEncoding"))
     assert own.map[65] == "B" and base.map[65] == again.map[65] == "A" and own.widths[65] != again.widths[65]
+
+
+def test_arrays_of_numbers_are_read_at_once(monkeypatch):
+    plain, calls = objects.parse, []
+    monkeypatch.setattr(objects, "parse", lambda *a: calls.append(a) or plain(*a))
+    assert plain(b" [1 -2. +.5\n07\r]x", 0) == ([1, -2.0, 0.5, 7], 16) and not calls
+    assert plain(b"[]", 0) == ([], 2) and plain(b"[ 1 2 R 3]", 0) == ([objects.Ref(1, 2), 3], 10)
+    assert plain(b"[1 2 (a)3]", 0) == ([1, 2, b"a", 3], 10) and plain(b"[1 2", 0) == ([1, 2], 5) and plain(b"[1-2]", 0)[0] == [b"1-2"]
+
+
+def test_records_of_small_files_share_frames(monkeypatch):
+    frames = []
+    monkeypatch.setattr(reader.pd, "DataFrame", lambda d, f=reader.pd.DataFrame: frames.append(len(d["doc_id"])) or f(d))
+
+    class Raw:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            made = {"doc_id": [*range(40)], "path": ["p"] * 40, "content": [files.specimen(i, "x y", 0.5) for i in range(40)]}
+            return [run_row for f in run(iter([made])) for run_row in f["doc_id"]]
+
+    got = reader.table(Raw(), "pieces")
+    assert got == [i for i in range(40) for _ in range(3)] and frames == [120]
