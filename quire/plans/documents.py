@@ -7,12 +7,13 @@ import hashlib
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import filters, formcalc
 from quire.operators import reading, writer
-from quire.session import Scratch
+from quire.session import Scratch, dealt
 from quire.sources.pdf import reader
 from quire.sources.pdf.objects import Name, Ref, Stream
 from quire.sources.xfa import read_xfa
@@ -20,6 +21,8 @@ from quire.sources.xfa import read_xfa
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 PER_PAGE = 50
+#: Documents a task, as one costs milliseconds; words a page of xy_cut_lines.
+DOCUMENTS, WORDS = 125, 80
 
 
 def query(sql: str | None = None):
@@ -262,22 +265,33 @@ _WORDS = "w AS (SELECT doc_id, substring(t, 1, 40) AS t, n - 1 AS k, count(*) OV
 @query(f"WITH {_WORDS} SELECT doc_id, CAST(k // 80 + 1 AS BIGINT) AS page_no, CAST(k % 80 AS INTEGER) AS line_id, t AS text FROM w")
 def xy_cut_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Words laid out 80 to a page, in two columns where a page has 16 or more, come out in the order of the text."""
+    page = {"x0": 0.0, "y0": 0.0, "w": 612.0, "h": 792.0}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = {"x0": 0.0, "y0": 0.0, "w": 612.0, "h": 792.0}
-        rows = pdf.sort_values("k")
-        n = len(rows)
+    def laid(words: list[str]) -> list[dict]:
+        n = len(words)
         left = (n + 1) // 2 if n >= 16 else n
+        piece = lambda r, c: {"x": 40.0 + 290 * c, "y": 770.0 - 9.0 * r, "size": 8.0, "w": 100.0, "ang": 0.0, "text": words[r + c * left], "font": "F", "base": "F", "bold": False, "mcid": -1, "dir": "ltr"}
         # Rows are handed over as they stand on the page, from the top, left and right in turn.
-        at = [(i, 0) if i < left else (i - left, 1) for i in range(n)]
-        pieces = [{"x": 40.0 + 290 * c, "y": 770.0 - 9.0 * r, "size": 8.0, "w": 100.0, "ang": 0.0, "text": t, "font": "F", "base": "F", "bold": False, "mcid": -1, "dir": "ltr"} for (r, c), t in zip(at, rows["t"], strict=True)]
-        out = reading.page_lines([p for _, p in sorted(zip(at, pieces, strict=True), key=lambda x: x[0])], page)
-        return pd.DataFrame({"doc_id": int(pdf["doc_id"].iloc[0]), "page_no": int(pdf["page_no"].iloc[0]), "line_id": [x["line_id"] for x in out], "text": [x["text"] for x in out]})
+        return reading.page_lines([piece(r, c) for r in range(left) for c in (0, 1) if r + c * left < n and (not c or left < n)], page)
+
+    def run(it):
+        out: list[list] = [[], [], [], []]
+        frame = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "page_no", "line_id", "text"])
+        for b in it:
+            for doc_id, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words.as_py() or []
+                for at in range(0, len(words), WORDS):
+                    found = laid(words[at : at + WORDS])
+                    for column, values in zip(out, ([doc_id] * len(found), [at // WORDS + 1] * len(found), [x["line_id"] for x in found], [x["text"] for x in found]), strict=True):
+                        column += values
+                    if len(out[0]) >= 20000:
+                        yield frame()
+                        out[:] = [[], [], [], []]
+        yield frame()
 
     words_ = F.filter(F.split(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", " "), " "), lambda v: v != "")
-    w = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.posexplode(words_).alias("k", "t"))
-    w = w.select("doc_id", (F.floor(F.col("k") / 80) + 1).alias("page_no"), "k", F.substring("t", 1, 40).alias("t"))
-    return w.groupBy("doc_id", "page_no").applyInPandas(run, "doc_id long, page_no long, line_id int, text string")
+    d = dealt(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id", DOCUMENTS)
+    return d.select("doc_id", F.transform(words_, lambda v: F.substring(v, 1, 40)).alias("words")).mapInArrow(run, "doc_id long, page_no long, line_id int, text string")
 
 
 @query("SELECT o_custkey, count(*) AS repeats, sum(o_orderkey)::DOUBLE AS total FROM orders GROUP BY 1")

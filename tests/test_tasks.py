@@ -1,6 +1,6 @@
 """That work is spread over tasks, and what small things cost."""
 
-from quire.plans import files
+from quire.plans import documents, files
 from quire.sources.pdf import objects, reader
 from quire.sources.pdf.content import read
 from quire.sources.pdf.extract import Document
@@ -53,3 +53,12 @@ def test_records_of_small_files_share_frames(monkeypatch):
 
     got = reader.table(Raw(), "pieces")
     assert got == [i for i in range(40) for _ in range(3)] and frames == [120]
+
+
+def test_words_of_documents_are_laid_out_a_row_at_a_time(spark, tmp_path):
+    rows = [(1, " ".join(f"a{i}" for i in range(100))), (1, "b0  b1\tb2"), (2, None), (3, " "), (4, " ".join(f"c{i}" for i in range(16)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = documents.xy_cut_lines(spark, str(tmp_path))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want = [(1, i // 80 + 1, i % 80, f"a{i}") for i in range(100)] + [(1, 1, i, f"b{i}") for i in range(3)] + [(4, 1, i, f"c{i}") for i in range(16)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
