@@ -272,7 +272,11 @@ def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, turns: d
     """New files: pages picked in any order, turned (all by turn, single ones by turns), dropped, labelled, filled, noted, marked, renamed, encrypted; only what is reachable stays."""
     from quire.operators import writer
 
+    locks: list[writer.Lock] = []  # the task's own
+
     def make(data: bytes) -> bytes:
+        if encrypt is not None and not locks:
+            locks.append(writer.Lock(encrypt))
         if fields:
             data = writer.filled(data, fields, password)
         if notes:
@@ -284,7 +288,7 @@ def build(raw: DataFrame, pick: list[int] | None = None, turn: int = 0, turns: d
         b = b.dropped(drop) if drop else b
         b = b.told(info) if info else b
         b = b.labels(labels) if labels else b
-        return (b.watermark(watermark) if watermark else b).bytes(encrypt)
+        return (b.watermark(watermark) if watermark else b).bytes(locks[0] if locks else None)
 
     return _files(raw, make)
 

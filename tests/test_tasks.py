@@ -1,5 +1,6 @@
 """That work is spread over tasks, and what small things cost."""
 
+from quire.functions import ciphers
 from quire.plans import documents, files
 from quire.sources.pdf import objects, reader
 from quire.sources.pdf.content import read
@@ -62,3 +63,29 @@ def test_words_of_documents_are_laid_out_a_row_at_a_time(spark, tmp_path):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     want = [(1, i // 80 + 1, i % 80, f"a{i}") for i in range(100)] + [(1, 1, i, f"b{i}") for i in range(3)] + [(4, 1, i, f"c{i}") for i in range(16)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_files_sealed_together_share_the_slow_hash_and_no_key():
+    files_ = [documents.typeset(t) for t in ("one", "two", "three")]
+    made = []
+
+    class Raw:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            for f in run(iter([{"doc_id": [1, 2, 3], "path": ["p"] * 3, "content": files_}])):
+                made.extend(f["content"])
+
+    ciphers.hash_2b.cache_clear()
+    reader.build(Raw(), encrypt="pass")
+    assert ciphers.hash_2b.cache_info().misses == 4
+    opened = [Document(x, "pass") for x in made]
+    assert ciphers.hash_2b.cache_info().misses == 4
+    assert len({d.f.key for d in opened}) == 3 and [reader.records("lines", "p", x, "pass")[0]["text"] for x in made] == ["one", "two", "three"]
+    assert all(reader.records("errors", "p", x, w)[0]["reason"].startswith("PasswordNeeded") for x in made for w in ("", "Pass"))
+    # Sealed by another call: other salts.
+    again, made[:] = made[0], []
+    reader.build(Raw(), encrypt="pass")
+    salts = lambda x: Document(x, "pass").f.get(Document(x, "pass").f.trailer["Encrypt"])["U"][32:]
+    assert salts(again) != salts(made[0]) == salts(made[1])
