@@ -30,7 +30,7 @@ def upper_median(value: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
-def islands(df: DataFrame, group: list[str], order: list[str], begins: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, group: list[str], order: list[Column | str], begins: Column, name: str = "island") -> DataFrame:
     """df with the number of its island: one begins with each first row and where begins holds."""
     w = _by(group, *order)
     flag = F.when(F.row_number().over(w) == 1, 0).when(begins, 1).otherwise(0)
@@ -46,7 +46,7 @@ def carried(col: Column | str, group: list[str], order: list[str]) -> Column:
     return F.last(col, ignorenulls=True).over(_by(group, *order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def reach(end: Column | str, group: list[str], order: list[str]) -> Column:
+def reach(end: Column | str, group: list[str], order: list[Column | str]) -> Column:
     """The greatest end of all rows before."""
     return F.max(end).over(_by(group, *order).rowsBetween(Window.unboundedPreceding, -1))
 
@@ -60,8 +60,9 @@ def ranked_distinct(df: DataFrame, group: list[str], key: str, most: int) -> Dat
 def merged_intervals(df: DataFrame, group: list[str], start: str, end: str, slack: float, tie: list[str]) -> DataFrame:
     """group, start, end, n: intervals that overlap, or touch within slack, as one.
 
-    tie: what tells equal intervals of a group apart, as their order must be the same in every step."""
-    w = [start, end, *tie]
+    tie: what tells equal intervals of a group apart, as their order must be the same in every step.
+    Intervals without a start come last, and so count with the last of their group."""
+    w = [F.asc_nulls_last(c) for c in (start, end, *tie)]
     far = F.col(start) > reach(end, group, w) + slack
     return islands(df, group, w, far).groupBy(*group, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("island")
 
